@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import packing, quality, token_counts, wordbpe
 from .base import table
 
 TOKENIZER_BYTES, TOKENIZER_WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -29,11 +29,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER_BYTES))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of every document and the verdict of policy 2."""
+    measured = quality.measure(table(spark, sf_dir, "documents"))
+    return quality.apply_policy(quality.ledger(measured), quality.POLICIES[2])
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded, as digests."""
+    return wordbpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER_WORDS), outputs=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function."""
-    return {f.__name__: f for f in (op1_packing, op3_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op5_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op2_quality_rules": quality.SQL}
