@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, token_counts, wordbpe
+from . import language, packing, quality, token_counts, url_filter, wordbpe
 from .base import table
 
 TOKENIZER_BYTES, TOKENIZER_WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -40,11 +40,21 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER_WORDS), outputs=False)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function."""
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op5_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op5_bpe, op6_url_filter, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op2_quality_rules": quality.SQL}
+    return {"op2_quality_rules": quality.SQL, "op6_url_filter": url_filter.duckdb_sql()}
