@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .base import fold_of, map_batches, tune
 
@@ -177,7 +178,7 @@ def add_language(docs: DataFrame, model: Model, lang: str, score: str) -> DataFr
     """All columns of ``docs`` with the prediction under the two given names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
-    schema = docs.schema.add(lang, "string").add(score, "double")
+    schema = StructType([*docs.schema.fields]).add(lang, "string").add(score, "double")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model, found = shared.value, []

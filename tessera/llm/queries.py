@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality, token_counts, url_filter, wordbpe
+from . import language, near_dups, packing, pii, quality, token_counts, url_filter, wordbpe
 from .base import table
 
 TOKENIZER_BYTES, TOKENIZER_WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -50,9 +50,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dups.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function."""
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op5_bpe, op6_url_filter, op7_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op5_bpe, op6_url_filter, op7_language_id, op4_pii, op10_near_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
