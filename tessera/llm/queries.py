@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_dups, packing, pii, quality, token_counts, url_filter, wordbpe
+from . import ann, language, lm, near_dups, packing, pii, quality, token_counts, url_filter, wordbpe
 from .base import table
 
 TOKENIZER_BYTES, TOKENIZER_WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -60,9 +60,19 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and maximum-entropy scores of every document."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function."""
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op5_bpe, op6_url_filter, op7_language_id, op4_pii, op10_near_dups)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op5_bpe, op6_url_filter, op7_language_id, op4_pii, op10_near_dups, op8_ann, op9_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
