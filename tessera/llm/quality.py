@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import fresh
+
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Java's character class of the six ASCII white-space characters.
@@ -129,6 +131,17 @@ def apply_policy(entries: DataFrame, policy: Policy) -> DataFrame:
     return entries.withColumns({"base_failed": base, "kept": ~base & ~hit(policy.mask), "policy_version": F.lit(policy.version)})
 
 
+def only_kept(entries: DataFrame) -> DataFrame:
+    """The rows of a ledger that its policy keeps.
+
+    The filter also looks at a column that isn't deterministic. So Spark can't
+    push it below the projections, where it would repeat all their nested
+    expressions once for each use.
+    """
+    task = fresh("task_", entries.columns)
+    return entries.withColumn(task, F.spark_partition_id()).where(F.col("kept") & (F.col(task) >= 0)).drop(task)
+
+
 def ablation(entries: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of the policy: documents that fail it, that only it rejects, and that are kept without it.
 
