@@ -72,9 +72,9 @@ def error_health(critical: Column, high: Column, per_minute: Column) -> Column:
 
 
 def running_mean(rows: DataFrame, groups: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """``rows`` with the mean so far."""
+    """``rows`` with the mean so far, from an exact decimal sum."""
     w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.round(F.avg(value).over(w), 6))
+    return rows.withColumn(name, F.round(F.sum(F.col(value).cast("decimal(18,6)")).over(w).cast("double") / F.count(F.lit(1)).over(w), 6))
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:

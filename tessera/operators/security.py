@@ -36,7 +36,7 @@ def detect(chunks: DataFrame, id_column: str = "chunk_id", content: str = "conte
 
     ``custom`` adds rows as in the catalogue; what a ``whitelist`` pattern
     matches is left out; confidence below ``threshold`` too. Of overlapping
-    matches the most confident stays, then the longest, then the left-most.
+    matches the longest stays, then the most confident, then the left-most.
     """
     catalogue = (*S.patterns_for(framework, env), *custom)
     lines = chunks.select(F.col(id_column).alias("chunk_id"), (F.col(path) if path else F.lit("")).alias("file_path"), F.posexplode(F.split(F.coalesce(F.col(content), F.lit("")), "\n")).alias("n", "line"))
@@ -47,9 +47,13 @@ def detect(chunks: DataFrame, id_column: str = "chunk_id", content: str = "conte
     for w in whitelist:
         rows = rows.where(~F.col("content").rlike(w))
     placed = rows.withColumn("start_position", F.instr("line", F.col("content")) - 1).withColumn("end_position", F.col("start_position") + F.length("content"))
-    # one row for each place: the best of the patterns that found it
-    best = placed.groupBy("chunk_id", "file_path", "line_number", "line", "start_position").agg(F.max_by(F.struct("secret_type", "pattern_name", "confidence", "content", "end_position"), F.struct("confidence", "end_position", "pattern_name")).alias("b"))
-    return best.select("chunk_id", "file_path", "line_number", "start_position", "b.*", F.substring("line", 1, 200).alias("context"))
+    best = F.struct("start_position", "end_position", "secret_type", "pattern_name", "confidence", "content")
+    many = placed.groupBy("chunk_id", "file_path", "line_number", "line").agg(F.sort_array(F.collect_set(best)).alias("all_"))
+    # of matches that overlap the longest stays, then the most confident, then the left-most
+    order = lambda s: F.struct(s["end_position"] - s["start_position"], s["confidence"], -s["start_position"], s["pattern_name"])
+    beaten = lambda s: F.exists("all_", lambda o: (o["start_position"] < s["end_position"]) & (s["start_position"] < o["end_position"]) & (order(o) > order(s)))
+    rows = many.select("chunk_id", "file_path", "line_number", "line", F.explode(F.filter("all_", lambda s: ~beaten(s))).alias("b"))
+    return rows.select("chunk_id", "file_path", "line_number", "b.*", F.substring("line", 1, 200).alias("context"))
 
 
 def mask(chunks: DataFrame, found: DataFrame, id_column: str = "chunk_id", content: str = "content") -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import code_tokens
+
 MOST_RESULTS = 100
 
 
@@ -40,17 +44,22 @@ def similar_within(vectors: DataFrame, block: str, least: float = 0.7, id_column
 
 
 def hashed_embedder(dims: int = 64) -> Callable[[Column], Column]:
-    """A deterministic stand-in for an embedding model: signed feature hashing of words, unit length, all in the JVM."""
-
-    def embed(text: Column) -> Column:
-        from ..functions.text import code_tokens
-
-        hashes = F.transform(code_tokens(text), lambda t: F.xxhash64(t))
-        cells = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(dims)) == d), F.lit(0.0), lambda s, h: s + F.when(h < 0, -1.0).otherwise(1.0)))
-        norm = F.sqrt(F.aggregate(cells, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(cells, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
-
-    return embed
+    """A deterministic stand-in for an embedding model: signed feature hashing of words, unit length.
+
+    Words are hashed in the JVM; the sums run in Arrow batches, as a model would.
+    """
+    @F.pandas_udf("array<float>")
+    def sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            out = []
+            for h in hashes:
+                h = np.asarray(h, dtype=np.int64)
+                v = np.bincount(h % dims, weights=np.where(h < 0, -1.0, 1.0), minlength=dims)
+                norm = np.sqrt((v * v).sum())
+                out.append((v / norm if norm else v).astype(np.float32))
+            yield pd.Series(out)
+
+    return lambda text: sums(F.transform(code_tokens(text), lambda t: F.xxhash64(t)))
 
 
 def embed_distinct(chunks: DataFrame, embed: Callable[[Column], Column], content: str = "content") -> DataFrame:

@@ -70,7 +70,7 @@ def delete_by_metadata(spark, d):
 
 def requests(spark, d):
     """``events`` as requests."""
-    return docs(spark, d, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("endpoint"), F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"))
+    return docs(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("endpoint"), F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"))
 
 
 REQ = "r AS (SELECT event_id, ts, user_id, event_type AS endpoint, value AS duration_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code FROM events)"
@@ -123,7 +123,7 @@ def health_vote(spark, d):
 
 
 def alert_summary(spark, d):
-    rows = docs(spark, d, "events").select(F.col("event_type").alias("alert_type"), F.when(F.col("user_id") % 2 == 0, "ERROR").otherwise("WARNING").alias("severity"), F.col("ts").alias("triggered_at"), F.when(F.col("event_id") % 3 != 0, F.timestamp_seconds(F.floor(F.col("ts").cast("double")) + F.col("user_id"))).alias("resolved_at"))
+    rows = docs(spark, d, "events").select(F.col("event_type").alias("alert_type"), F.when(F.col("user_id") % 2 == 0, "ERROR").otherwise("WARNING").alias("severity"), F.col("ts").cast("timestamp").alias("triggered_at"), F.when(F.col("event_id") % 3 != 0, F.timestamp_seconds(F.floor(F.col("ts").cast("timestamp").cast("double")) + F.col("user_id"))).alias("resolved_at"))
     return monitoring.alert_summary(rows.withColumn("triggered_at", F.date_trunc("second", "triggered_at")))
 
 
@@ -229,7 +229,7 @@ QUERIES = {
     "error_stats_grouping_sets": (error_stats, f"WITH {REQ}, e AS (SELECT endpoint AS category, CASE WHEN duration_ms > 100 THEN 'high' ELSE 'low' END AS severity FROM r) SELECT CASE grouping(category, severity) WHEN 1 THEN 'category' WHEN 2 THEN 'severity' ELSE 'all' END AS facet, CASE grouping(category, severity) WHEN 1 THEN category WHEN 2 THEN severity ELSE '' END AS value, count(*) AS n FROM e GROUP BY GROUPING SETS ((category), (severity), ())"),
     "health_vote": (health_vote, f"WITH {REQ}, h AS (SELECT user_id, count(*) FILTER (WHERE duration_ms <= 100) AS healthy, count(*) FILTER (WHERE duration_ms > 100 AND duration_ms <= 150) AS degraded, count(*) FILTER (WHERE duration_ms > 150) AS unhealthy FROM r GROUP BY 1) SELECT *, CASE WHEN unhealthy = 0 AND degraded = 0 THEN 'healthy' WHEN unhealthy * 2 < healthy + degraded + unhealthy THEN 'degraded' ELSE 'unhealthy' END AS status FROM h"),
     "alert_summary": (alert_summary, "SELECT event_type AS alert_type, CASE WHEN user_id % 2 = 0 THEN 'ERROR' ELSE 'WARNING' END AS severity, count(*) AS n, count(*) FILTER (WHERE event_id % 3 <> 0) AS resolved, round(avg(CASE WHEN event_id % 3 <> 0 THEN user_id::DOUBLE END), 6) AS avg_resolution_s FROM events GROUP BY 1, 2"),
-    "update_running_mean": (update_running_mean, f"WITH {REQ} SELECT event_id, round(avg(duration_ms) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS mean FROM r WHERE status_code < 400"),
+    "update_running_mean": (update_running_mean, f"WITH {REQ} SELECT event_id, round((sum(duration_ms::DECIMAL(18, 6)) OVER w)::DOUBLE / count(*) OVER w, 6) AS mean FROM r WHERE status_code < 400 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"),
     "pipeline_status": (pipeline_status, "WITH s AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE quality = 0) AS failed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1) SELECT *, CASE WHEN failed = 0 THEN 'success' WHEN failed >= total THEN 'error' ELSE 'partial' END AS status, round((total - failed) / total, 6) AS success_rate FROM s"),
     "style_lint": (style_lint, f"WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, len(list_filter(ls, lambda x: length(x) > 120))::BIGINT AS long_lines, len(list_filter(ls, lambda x: regexp_matches(x, '[ \\t]$')))::BIGINT AS trailing_blanks, len(list_filter(ls, lambda x: contains(x, chr(9)) AND contains(x, '    ')))::BIGINT AS mixed_indent, list_max(list_transform(ls, lambda x: length(x)))::BIGINT AS longest_line, array_to_string(list_slice(flatten(list_transform(ls, lambda x, i: list_filter([CASE WHEN length(x) > 120 THEN i || ':long_lines' END, CASE WHEN regexp_matches(x, '[ \\t]$') THEN i || ':trailing_blanks' END, CASE WHEN contains(x, chr(9)) AND contains(x, '    ') THEN i || ':mixed_indent' END], lambda y: y IS NOT NULL))), 1, 10), ',') AS issues FROM t"),
     "line_metrics": (line_metrics, f"WITH m AS (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS total_lines, len({LS.format(chr(39).join(['regexp_matches(x, ', '^[ ' + chr(92) + 't' + chr(92) + 'r]*$', ')']))})::BIGINT AS blank_lines, len({LS.format(chr(39).join(['regexp_matches(x, ', '^[ ' + chr(92) + 't]*#', ')']))})::BIGINT AS comment_lines FROM documents) SELECT *, total_lines - blank_lines - comment_lines AS code_lines, round(CASE WHEN total_lines > blank_lines THEN comment_lines / (total_lines - blank_lines) ELSE 0 END, 6) AS comment_ratio FROM m"),
