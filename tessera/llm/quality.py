@@ -23,8 +23,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh
-
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Java's character class of the six ASCII white-space characters.
@@ -46,7 +44,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 50"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 25 * n_words"),
 )
@@ -105,7 +103,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         F.sort_array(F.transform(F.filter("k_", lambda k, j: (F.when(j > 0, same(k, at("k_", j - 1))).otherwise(False)) | (F.when(j < F.size("k_") - 1, same(k, at("k_", j + 1))).otherwise(False))), lambda k: k.bitwiseAND(F.col("m_")))).alias("p_"),
     )
     covered = F.aggregate(F.transform("p_", lambda p, j: F.least(F.lit(3).cast("long"), F.coalesce(at("p_", j + 1), p + 3) - p)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return twice.select(
+    found = twice.select(
         *kept,
         F.col("n_").cast("long").alias("n_words"),
         "word_chars",
@@ -114,6 +112,9 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         "n_lines",
     )
+    # a generator of one row: filters on the measurements stay above it, or Spark
+    # would push them down and repeat all the nested expressions for each use
+    return found.select(F.inline(F.array(F.struct(*found.columns))))
 
 
 def ledger(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -131,17 +132,6 @@ def apply_policy(entries: DataFrame, policy: Policy) -> DataFrame:
     return entries.withColumns({"base_failed": base, "kept": ~base & ~hit(policy.mask), "policy_version": F.lit(policy.version)})
 
 
-def only_kept(entries: DataFrame) -> DataFrame:
-    """The rows of a ledger that its policy keeps.
-
-    The filter also looks at a column that isn't deterministic. So Spark can't
-    push it below the projections, where it would repeat all their nested
-    expressions once for each use.
-    """
-    task = fresh("task_", entries.columns)
-    return entries.withColumn(task, F.spark_partition_id()).where(F.col("kept") & (F.col(task) >= 0)).drop(task)
-
-
 def ablation(entries: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of the policy: documents that fail it, that only it rejects, and that are kept without it.
 
@@ -175,7 +165,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
       (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
       len(ls)::BIGINT AS n_lines FROM w LEFT JOIN s USING (r)),
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-      + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+      + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
       + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed_bits,
   (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 63) = 0 AS kept, 2 AS policy_version FROM f
