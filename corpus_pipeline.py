@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     row = fresh("pipeline_row", docs.columns)
     whole = docs.select("text", F.struct(*docs.columns).alias(row))
     judged = quality.apply_policy(quality.ledger(quality.measure(whole, keep=(row,))), quality.POLICIES[2])
-    return quality.only_kept(judged).select(f"{row}.*")
+    return judged.where("kept").select(f"{row}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
