@@ -9,19 +9,21 @@ similarity is m / (a + b - m), and SIMILAR or more is a link. Classes are the
 connected components of links and exact copies.
 
 How groups of any size are handled: exact copies are one text from the start.
-The texts of a bucket are never paired with each other; each is compared with
-the bucket's leader, the one that shares most sketches with others (in a group
-of edited copies: the original), and where it isn't like it with the second and
-third. Then, across the classes found so far, texts that share several
-sketches at once (STRONG_KEYS keys of STRONG sketches each) are compared with
-the two ends of these much smaller buckets. So the number of comparisons is at
-most a fixed multiple of the number of texts, and all joins are on hashes or
-ids, so Spark can split hot keys.
+The texts of a bucket are first compared with the bucket's leader only, the one
+that shares most sketches with others (in a group of edited copies: the
+original), and where they aren't like it with the second and third. Then come
+thorough rounds: of every bucket that holds several classes, each two texts of
+different classes are compared, those that share most sketches first. Buckets
+are dealt out as blocks of two parts of PART texts, so a hot bucket is many
+small groups; a pair belongs to the first bucket it shares; and within a block a
+link that joins two classes spares the other pairs of these. Only texts that
+meet a text of another class with enough shared sketches send their shingles.
+So the work is linear where leaders suffice, and grows with the square of the
+number of texts in a bucket only where they are of different classes.
 
 What may be missed: a pair of similarity 0.8 shares each sketch with
-probability 0.8 ** 3, so fewer than MIN_SHARED of 24 once in 60,000. Of such a
-pair neither of which is like a leader, the strong keys find more than 9 in 10,
-and of one with similarity 0.85 or more 99 in 100.
+probability 0.8 ** 3, so fewer than MIN_SHARED of 24 once in 60,000. Every other
+link is found or joins texts that other links have joined.
 
 Defined results: a null text, or one without words, is like no other: a class
 of its own with no links. Rows that repeat a doc_id and text are one document
@@ -32,6 +34,7 @@ ignored. Documents with a null id take part; their class may be null.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +45,8 @@ from pyspark.sql import functions as F
 from .base import keep, map_batches, tune
 
 WORDS, SKETCHES, PICKED, SIMILAR = 5, 24, 3, 0.8
-#: Sketches that a pair must share to be aligned; keys of several sketches, and how many sketches each.
-MIN_SHARED, STRONG_KEYS, STRONG = 3, 40, 4
-#: The sketches of each strong key.
-STRONG_SETS = [sorted(np.random.default_rng(20 + k).permutation(SKETCHES)[:STRONG].tolist()) for k in range(STRONG_KEYS)]
+#: Sketches that a pair must share to be aligned; texts in one part of a bucket; from how many shared sketches on each thorough round compares.
+MIN_SHARED, PART, ROUNDS = 3, 256, (12, 3)
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, size=SKETCHES, dtype=np.uint64)
 SALTS = np.random.default_rng(12).integers(1, 1 << 63, size=WORDS, dtype=np.uint64) | np.uint64(1)
@@ -205,8 +206,82 @@ def verify(pairs: DataFrame, texts: DataFrame, material: DataFrame, least: float
     return keep(map_batches(both, work, "a long, b long"), "omh-links")
 
 
-def links(docs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Verified links (a, b) between the ids of different texts; ``texts`` has id, text_key, sketch of each."""
+def blocks(members: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Blocks of buckets that hold several classes: in one of them each two ``members`` (key, id, label) of a bucket meet.
+
+    Columns key, i, j, and a list of id, label, part and the columns of ``tables`` by id. Pairs are one of part i and one of part j.
+    """
+    parts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("from"), F.max("label").alias("to"))
+    parts = parts.where(F.col("from") != F.col("to")).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    placed = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    for t in tables:
+        placed = placed.join(t, "id")
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = F.struct("id", "label", "part", *(c for t in tables for c in t.columns if c != "id"))
+    return met.groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(held).alias("members"))
+
+
+def cross_pairs(batch: pa.RecordBatch, from_: int, below: int) -> Iterator[tuple]:
+    """Of each block: its key, columns, and the pairs (places, shared) of different classes that share from_ to below - 1 sketches, this bucket's first."""
+    key, i, j = (batch.column(k).to_numpy() for k in range(3))
+    lists = batch.column(3)
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    columns = lists.flatten().flatten()
+    ids, labels, part = (c.to_numpy() for c in columns[:3])
+    sketch = columns[3].flatten().to_numpy().reshape(-1, SKETCHES)
+    for k in range(batch.num_rows):
+        at = np.arange(ends[k], ends[k + 1])
+        x, y = at[part[at] == i[k]], at[part[at] == j[k]]
+        if not len(x) or not len(y):
+            continue
+        same = sketch[x][:, None, :] == sketch[y][None, :, :]
+        shared = np.count_nonzero(same, axis=2)
+        good = (labels[x][:, None] != labels[y][None, :]) & (shared >= from_) & (shared < below)
+        if i[k] == j[k]:
+            good = np.triu(good, 1)
+        if good.any():
+            before = int(np.argmax(sketch[x[0]] == key[k]))  # the sketch that this bucket holds
+            good &= ~same[:, :, :before].any(axis=2)
+            p, q = np.nonzero(good)
+            if len(p):
+                yield key[k], ids, labels, columns, x[p], y[q], shared[p, q]
+
+
+def thorough(members: DataFrame, labels: DataFrame, texts: DataFrame, material: DataFrame, from_: int, below: int, least: float) -> DataFrame:
+    """Links that join the classes of all pairs of a bucket with from_ to below - 1 shared sketches; written."""
+    named = keep(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "omh-named")
+    sketch = texts.select("id", "sketch")
+
+    def meet(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for key, ids, labels, _, x, y, _ in cross_pairs(batch, from_, below):
+            at = np.unique(np.concatenate([x, y]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(ids[at]), pa.array(labels[at])], names=["key", "id", "label"])
+
+    def join(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for _, ids, labels, columns, x, y, shared in cross_pairs(batch, from_, below):
+            root, found = {}, []
+
+            def top(label: int) -> int:
+                while (up := root.get(label, label)) != label:
+                    label = up
+                return label
+
+            read = lambda k: np.frombuffer(columns[4][k].as_buffer(), dtype=np.uint32)
+            for k in np.argsort(-shared, kind="stable").tolist():
+                a, b = int(x[k]), int(y[k])
+                p, q = top(int(labels[a])), top(int(labels[b]))
+                if p != q and similarity(read(a), read(b), least) >= least:
+                    root[max(p, q)] = min(p, q)
+                    found.append(sorted((int(ids[a]), int(ids[b]))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(z, type=pa.int64()) for z in zip(*found)], names=["a", "b"])
+
+    able = keep(map_batches(blocks(named, sketch), meet, "key long, id long, label long").distinct(), "omh-able")
+    return keep(map_batches(blocks(able, sketch, material), join, "a long, b long").distinct(), "omh-links")
+
+
+def links(docs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between the ids of different texts, and the labels of their components; ``texts`` has id, text_key, sketch of each."""
     flat = texts.select("id", F.explode("sketch").alias("key"))
     common = keep(flat.join(flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "omh-shared")
     fame = common.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("fame")).where(F.col("k") >= MIN_SHARED).select("id", "fame")
@@ -236,15 +311,14 @@ def links(docs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFram
     second = unlike.where("id <> l2").select(*pair("l2")).unionAll(unlike.where("id <> l3").select(*pair("l3")))
     second = keep(second.distinct().join(first, ["a", "b"], "left_anti"), "omh-pairs")
     found = keep(found.unionAll(verify(second, texts, material, least)), "omh-found")
-    # texts of different classes that share several sketches at once
-    named = fame.join(texts.select("id", "sketch"), "id").join(components(found), "id", "left").select("id", "fame", F.coalesce("label", "id").alias("label"), "sketch")
-    strong = F.array(*[F.xxhash64(F.lit(n), *(F.get("sketch", F.lit(i)) for i in chosen)) for n, chosen in enumerate(STRONG_SETS)])
-    keyed = keep(named.select("id", "fame", "label", F.explode(strong).alias("key")), "omh-strong")
-    rank = F.struct("fame", "id", "label")
-    ends = keyed.groupBy("key").agg(F.max(rank).alias("top"), F.min(rank).alias("low"), F.min("label").alias("from"), F.max("label").alias("to")).where(F.col("from") != F.col("to"))
-    met = keyed.join(ends, "key").select("id", "label", F.explode(F.array("top", "low")).alias("o")).where(F.col("label") != F.col("o.label"))
-    third = met.select(*pair("o.id")).distinct().join(first.unionAll(second), ["a", "b"], "left_anti")
-    return found.unionAll(verify(keep(third, "omh-pairs"), texts, material, least))
+    labels, below = components(found), SKETCHES + 1
+    for from_ in ROUNDS:
+        more = thorough(members, labels, texts, material, from_, below, least)
+        if not more.isEmpty():
+            found = keep(found.unionAll(more), "omh-found")
+            labels = components(found)
+        below = from_
+    return found.distinct(), labels
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,9 +341,9 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     tune(docs.sparkSession)
     table = sketch_table(docs)
     texts = keep(table.where(F.col("sketch").isNotNull() & F.col("doc_id").isNotNull()).groupBy("text_key").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("sketch").alias("sketch")), "omh-texts")
-    found = keep(links(docs, texts, least), "omh-found")
+    found, labels = links(docs, texts, least)
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    known = texts.select("text_key", "id").join(components(found).join(ends, "id"), "id", "left").select("text_key", F.coalesce("label", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    known = texts.select("text_key", "id").join(labels.join(ends, "id"), "id", "left").select("text_key", F.coalesce("label", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
     rows = table.select("doc_id", F.when(F.col("sketch").isNotNull(), F.col("text_key")).alias("text_key"))
     return rows.join(known, "text_key", "left").select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 

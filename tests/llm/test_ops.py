@@ -231,6 +231,26 @@ def test_near_duplicates(spark, hard):
     assert near_dups.classes(rows.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_group_without_a_hub(spark):
+    """Edited copies whose original is not in the table: few pairs are links, and most texts are unlike any leader."""
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{i}" for i in rng.integers(0, 3000, 400)], []
+    for k in range(300):
+        copy = list(base)
+        for n, at in enumerate(rng.choice(400, 6, replace=False)):
+            copy[at] = f"edit{k}x{n}"
+        texts.append(" ".join(copy))
+    s = [near_dups.shingles(t).astype(np.uint32) for t in texts]
+    label = list(range(len(s)))
+    for i in range(len(s)):
+        for j in range(i):
+            if label[i] != label[j] and near_dups.similarity(s[i], s[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dups.classes(rows).collect()} == dict(enumerate(label))
+
+
 def test_alignment_against_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(300):
