@@ -10,8 +10,9 @@ Counting covers all training texts (partial counts in the workers, then one
 shuffle by word). The weights are trained by distributed gradient updates: in
 each round every task starts from the shared weights, takes adaptive gradient
 steps over its texts, and returns its weights as half-precision blocks, which
-are averaged by block. A round takes every STRIDE-th position of every training
-text, another offset in each. The weights' size is fixed; only they are sent.
+are averaged by block. A round takes every ROUNDS-th position of the training
+texts, another offset in each, so the rounds together take every position once.
+The weights' size is fixed; only they are sent.
 
 Scoring runs in numpy batches. The counts of the TOP most frequent words go to
 the workers (a fixed bound); the other words of each text are counted there and
@@ -42,7 +43,7 @@ END = b"\n"
 CLASSES, WIDTH = 64, 64
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
 TOP = 200_000
-ROUNDS, STRIDE, STEP, MINIBATCH = 2, 4, 0.15, 4096
+ROUNDS, STEP, MINIBATCH = 2, 0.15, 4096
 #: Blocks in which weights are sent and averaged.
 BLOCKS = 64
 #: Words a worker counts before it passes the counts on.
@@ -191,7 +192,7 @@ def train_round(docs: DataFrame, model: Model, phase: int) -> None:
                     size += len(texts[end] or "")
                     end += 1
                 _, _, _, _, *m = places(own, lookup, texts[at:end])
-                m, m1, m2 = (x[phase::STRIDE] for x in m)
+                m, m1, m2 = (x[phase::ROUNDS] for x in m)
                 for s in range(0, len(m), MINIBATCH):
                     any_row = True
                     own.step(m[s : s + MINIBATCH], m1[s : s + MINIBATCH], m2[s : s + MINIBATCH], sums)
@@ -234,7 +235,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     del top
     if model.tokens:
         for k in range(ROUNDS):
-            train_round(training, model, k * (STRIDE // ROUNDS))
+            train_round(training, model, k)
     shared = spark.sparkContext.broadcast(model)
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 

@@ -311,6 +311,15 @@ def test_language_model(spark, documents, monkeypatch, top):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+def test_language_model_learns_from_every_position(spark):
+    """Words at odd places follow from the word before; those at even places are random."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(w for k in rng.integers(0, 8, 20) for w in (f"even{k}", f"odd{k}"))[: -len(" odd0")] for _ in range(8000)]
+    rows = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    # the even places cost log10(8) each; without the others learned, these cost about as much again
+    assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > -0.65 * log10(8)
+
+
 def test_language_model_is_a_distribution_and_takes_hard_input(spark, hard):
     model = lm.Model([b"a", b"b", lm.END], np.array([5, 3, 2]), 12, 5)
     p = np.exp([model.log_probs(np.array([m]), np.array([0]), np.array([1]))[0] for m in range(model.size + 1)])
