@@ -2,9 +2,12 @@
 
 A token's probability is that of its class times that of the token within the
 class; both are softmaxes over hashed features: the last word, the last two,
-and the word before the last (a skip). The CLASSES * WIDTH most frequent words
-have places in the classes; all others share one place, and within it have
-their smoothed unigram probability.
+and the word before the last (a skip), all by the hashes of the words themselves.
+The CLASSES * WIDTH most frequent words have places in the classes. All others
+share one place and are told apart below it by a tree: each level is a softmax
+over WIDTH branches, by the same features, along the bits of the word's hash. It
+has as many levels as leave LEAF words in a leaf in the mean, so it grows with the
+distinct words; within a leaf words have their smoothed unigram probability.
 
 Counting covers all training texts (partial counts in the workers, then one
 shuffle by word). The weights are trained by distributed gradient updates: in
@@ -12,7 +15,8 @@ each round every task starts from the shared weights, takes adaptive gradient
 steps over its texts, and returns its weights as half-precision blocks, which
 are averaged by block. A round takes every ROUNDS-th position of the training
 texts, another offset in each, so the rounds together take every position once.
-The weights' size is fixed; only they are sent.
+The rows of the weights grow with the square root of the distinct
+words, since every task sends them all; only they are sent.
 
 Scoring runs in numpy batches. The counts of the TOP most frequent words go to
 the workers (a fixed bound); the other words of each text are counted there and
@@ -27,11 +31,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +46,10 @@ from .base import fold_of, keep, tune
 #: The end token; no word holds white space.
 END = b"\n"
 CLASSES, WIDTH = 64, 64
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
+#: Least bits of a word feature's row (a class feature's has one less), and rows for the square root of the distinct words.
+BITS, ROWS = 14, 16
+#: Distinct words in a leaf of the tree of rare words, in the mean; bits of a branch; the hash before a text.
+LEAF, BRANCH, START = 1024, 6, 0x1B873593CC9E2D51
 TOP = 200_000
 ROUNDS, STEP, MINIBATCH = 2, 0.15, 4096
 #: Blocks in which weights are sent and averaged.
@@ -74,10 +82,29 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def hash_of(word: bytes) -> int:
+    """Spark's xxhash64 of a word, without sign."""
+    return xxhash.xxh64_intdigest(word, seed=42)
+
+
+def leaves(vocabulary: DataFrame, common: list[bytes], counts: np.ndarray, types: int) -> np.ndarray:
+    """Mass of each leaf of the tree of rare words (all but ``common``): their counts, one for each, and one for an unseen word."""
+    levels = 0
+    while LEAF << (BRANCH * levels) < types - len(common):
+        levels += 1
+    mass, shift = np.ones(1 << (BRANCH * levels)), 64 - BRANCH * levels
+    leaf = F.shiftrightunsigned(F.xxhash64("word"), shift) if levels else F.lit(0).cast("long")
+    found = vocabulary.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("n") + 1).alias("mass")).toArrow()
+    mass[found["leaf"].to_numpy()] += found["mass"].to_numpy()
+    for word, n in zip(common, counts.tolist()):
+        mass[hash_of(word) >> shift if levels else 0] -= n + 1
+    return mass
+
+
 class Model:
     """Vocabulary, classes and weights."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, types: int):
+    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, types: int, mass: np.ndarray | None = None):
         self.words, self.tokens, self.types = words, tokens, types
         self.log_counts = np.log10(counts + 1.0)
         self.size = min(len(words), CLASSES * WIDTH - 1)  # places of words; the next one is for all others
@@ -90,25 +117,38 @@ class Model:
             self.word_bias = np.maximum(np.log(grid / grid.sum(1, keepdims=True)), -60).astype(np.float32)
             self.class_bias = np.log(grid.sum(1) / grid.sum()).astype(np.float32)
         self.word_bias[grid == 0] = -1e9
-        #: log10 of the mass of other words, one unseen type included
-        self.log_others = float(np.log10(max(0, tokens - counts[: self.size].sum()) + types - self.size + 1))
-        self.class_w = np.zeros((CLASS_ROWS, self.n_classes), dtype=np.float32)
-        self.word_w = np.zeros((WORD_ROWS, WIDTH), dtype=np.float32)
+        if mass is None:
+            mass = np.array([max(0, tokens - counts[: self.size].sum()) + types - self.size + 1.0])
+        #: log10 of the mass of each leaf, and of each level of the tree the shares of the branches of its nodes
+        self.leaf_logs, self.branch_bias = np.log10(mass), []
+        while len(mass) > 1:
+            grid = mass.reshape(-1, WIDTH)
+            mass = grid.sum(1)
+            self.branch_bias.insert(0, np.log(grid / mass[:, None]).astype(np.float32))
+        self.levels = len(self.branch_bias)
+        self.hashes = np.fromiter(map(hash_of, words), dtype=np.uint64, count=len(words))
+        self.bits = max(BITS, int(np.ceil(np.log2(ROWS * np.sqrt(max(1, types))))))
+        self.class_w = np.zeros((1 << (self.bits - 1), self.n_classes), dtype=np.float32)
+        self.word_w = np.zeros((1 << self.bits, WIDTH), dtype=np.float32)
 
     def lookup(self) -> dict[bytes, int]:
         return dict(zip(self.words, range(len(self.words))))
 
     def features(self, m1: np.ndarray, m2: np.ndarray) -> np.ndarray:
-        """Hashes of the three features of each position."""
+        """Hashes of the three features of each position, from the hashes of the two words before."""
         a, b = m1.astype(np.uint64) + np.uint64(1), m2.astype(np.uint64) + np.uint64(1)
         h = np.stack([a * np.uint64(0x9E3779B97F4A7C15), (a * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (b * np.uint64(0x165667B19E3779F9)), b * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x5851F42D4C957F2D)])
         return h ^ (h >> np.uint64(29))
 
+    def row_of(self, x: np.ndarray, bits: int) -> np.ndarray:
+        return (x >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)  # 16 bits sort by radix
+
     def class_rows(self, h: np.ndarray) -> np.ndarray:
-        return ((h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - 13)).astype(np.uint16)
+        return self.row_of(h * np.uint64(0xFF51AFD7ED558CCD), self.bits - 1)
 
     def word_rows(self, h: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        return (((h + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(64 - 14)).astype(np.uint16)
+        """``classes`` are numbers of classes or of the tree's nodes."""
+        return self.row_of((h + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xC4CEB9FE1A85EC53), self.bits)
 
     @staticmethod
     def softmax(w: np.ndarray, rows: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,29 +163,44 @@ class Model:
         total = z @ np.ones(z.shape[1], dtype=np.float32)
         return z, total, own - np.log(total)
 
-    def forward(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray):
-        """Rows, exponentials and totals of both factors, and natural log-probabilities of places ``m`` after ``m1`` and ``m2``."""
+    def forward(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray | None = None):
+        """Factors (weights' number, rows, exponentials, totals, own entries), and natural log-probabilities of places ``m`` after ``m1`` and ``m2``.
+
+        With ``leaf`` those of the leaves of rare words are included.
+        """
         h, classes = self.features(m1, m2), m // WIDTH
         rows_c, rows_w = self.class_rows(h), self.word_rows(h, classes)
-        ec, tc, lc = self.softmax(self.class_w, rows_c, self.class_bias, classes)
+        ec, tc, logs = self.softmax(self.class_w, rows_c, self.class_bias, classes)
         ew, tw, lw = self.softmax(self.word_w, rows_w, np.take(self.word_bias, classes, axis=0), m % WIDTH)
-        return (rows_c, ec, tc), (rows_w, ew, tw), lc + lw
-
-    def log_probs(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray) -> np.ndarray:
+        logs = logs + lw
+        factors = [(0, rows_c, ec, tc, classes), (1, rows_w, ew, tw, m % WIDTH)]
+        at = np.flatnonzero(m == self.size) if leaf is not None and self.levels else []
+        if len(at):
+            h, leaf = h[:, at], leaf[at]
+            for k, bias in enumerate(self.branch_bias):
+                path = leaf >> (BRANCH * (self.levels - k - 1))
+                node, own = path >> BRANCH, path & (WIDTH - 1)
+                rows = self.word_rows(h, node + ((k + 1) << 32))
+                e, t, lk = self.softmax(self.word_w, rows, np.take(bias, node, axis=0), own)
+                logs[at] += lk
+                factors.append((1, rows, e, t, own))
+        return factors, logs
+
+    def log_probs(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
         out = np.empty(len(m), dtype=np.float64)
         for s in range(0, len(m), MINIBATCH):
-            out[s : s + MINIBATCH] = self.forward(m[s : s + MINIBATCH], m1[s : s + MINIBATCH], m2[s : s + MINIBATCH])[2]
+            e = s + MINIBATCH
+            out[s:e] = self.forward(m[s:e], m1[s:e], m2[s:e], None if leaf is None else leaf[s:e])[1]
         return out
 
-    def step(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> None:
+    def step(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> None:
         """One adaptive gradient step."""
-        (rows_c, pc, tc), (rows_w, pw, tw), _ = self.forward(m, m1, m2)
-        here = np.arange(len(m))
-        for w, rows, p, total, own, seen in ((self.class_w, rows_c, pc, tc, m // WIDTH, sums[0]), (self.word_w, rows_w, pw, tw, m % WIDTH, sums[1])):
+        for k, rows, p, total, own in self.forward(m, m1, m2, leaf)[0]:
+            w, seen, here = (self.class_w, self.word_w)[k], sums[k], np.arange(len(own))
             p *= (1 / total)[:, None]
             p[here, own] -= 1
             for r in rows:
-                order = np.argsort(r, kind="stable")  # rows are 16-bit: a radix sort
+                order = np.argsort(r, kind="stable")  # a radix sort if rows are 16-bit
                 ordered = r[order]
                 first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
                 # two neighbouring numbers are added as one complex number, which takes half the time
@@ -157,20 +212,24 @@ class Model:
                 w[at] -= g
 
 
-def places(model: Model, lookup: dict[bytes, int], texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """All tokens of some texts: rank (-1: not in TOP), place, the two places before, and where each text begins."""
+def places(model: Model, lookup: dict[bytes, int], texts: list[str | None]) -> tuple:
+    """All tokens of some texts: words and sizes of each text, where it begins; rank (-1: not in TOP), place, the hashes of the two words before, and leaf."""
     words = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    rank = np.concatenate([np.fromiter(map(lookup.get, w, repeat(-1)), dtype=np.int64, count=len(w)) for w in words])
+    flat = list(chain.from_iterable(words))
+    rank = np.fromiter(map(lookup.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
     m = np.where((rank < 0) | (rank >= model.size), model.size, rank)
+    hashes = model.hashes[np.maximum(rank, 0)] if len(model.hashes) else np.zeros(len(rank), dtype=np.uint64)
+    unlisted = np.flatnonzero(rank < 0)
+    hashes[unlisted] = np.fromiter((hash_of(flat[i]) for i in unlisted.tolist()), dtype=np.uint64, count=len(unlisted))
+    leaf = (hashes >> np.uint64(64 - BRANCH * model.levels)).astype(np.int64) if model.levels else np.zeros(len(rank), dtype=np.int64)
     first = np.cumsum(sizes) - sizes
-    start = model.size + 1
-    m1, m2 = np.roll(m, 1), np.roll(m, 2)
-    m1[first] = start
-    m2[first] = start
+    m1, m2 = np.roll(hashes, 1), np.roll(hashes, 2)
+    m1[first] = START
+    m2[first] = START
     second = (first + 1)[sizes > 1]
-    m2[second] = start
-    return words, sizes, first, rank, m, m1, m2
+    m2[second] = START
+    return words, sizes, first, rank, m, m1, m2, leaf
 
 
 def train_round(docs: DataFrame, model: Model, phase: int) -> None:
@@ -182,7 +241,7 @@ def train_round(docs: DataFrame, model: Model, phase: int) -> None:
         base, any_row = shared.value, False
         own = object.__new__(Model)
         own.__dict__.update(base.__dict__, class_w=base.class_w.copy(), word_w=base.word_w.copy())
-        sums, lookup = (np.zeros(CLASS_ROWS, dtype=np.float32), np.zeros(WORD_ROWS, dtype=np.float32)), base.lookup()
+        sums, lookup = (np.zeros(len(own.class_w), dtype=np.float32), np.zeros(len(own.word_w), dtype=np.float32)), base.lookup()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             at = 0
@@ -192,10 +251,10 @@ def train_round(docs: DataFrame, model: Model, phase: int) -> None:
                     size += len(texts[end] or "")
                     end += 1
                 _, _, _, _, *m = places(own, lookup, texts[at:end])
-                m, m1, m2 = (x[phase::ROUNDS] for x in m)
+                m, m1, m2, leaf = (x[phase::ROUNDS] for x in m)
                 for s in range(0, len(m), MINIBATCH):
                     any_row = True
-                    own.step(m[s : s + MINIBATCH], m1[s : s + MINIBATCH], m2[s : s + MINIBATCH], sums)
+                    own.step(*(x[s : s + MINIBATCH] for x in (m, m1, m2, leaf)), sums)
                 at = end
         if any_row:
             flat = [x.reshape(BLOCKS, -1).astype(np.float16) for x in (own.class_w, own.word_w)]
@@ -219,6 +278,7 @@ def train_round(docs: DataFrame, model: Model, phase: int) -> None:
         cut = model.class_w.size // BLOCKS
         model.class_w.reshape(BLOCKS, -1)[row["block"]] = x[:cut]
         model.word_w.reshape(BLOCKS, -1)[row["block"]] = x[cut:]
+    shared.destroy()  # its copies are on the disks of the driver and of each executor
 
 
 def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -231,7 +291,9 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     vocabulary = keep(count_words(training), "lm-words")
     facts = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types")).first()
     top = vocabulary.orderBy(F.desc("n"), "word").limit(TOP).toArrow()
-    model = Model(top["word"].to_pylist(), top["n"].to_numpy().astype(np.int64), int(facts["tokens"]), int(facts["types"]))
+    words, counts = top["word"].to_pylist(), top["n"].to_numpy().astype(np.int64)
+    placed = CLASSES * WIDTH - 1
+    model = Model(words, counts, int(facts["tokens"]), int(facts["types"]), leaves(vocabulary, words[:placed], counts[:placed], int(facts["types"])))
     del top
     if model.tokens:
         for k in range(ROUNDS):
@@ -249,11 +311,11 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
                 while end < len(texts) and size < 2 << 20:
                     size += len(texts[end] or "")
                     end += 1
-                words, sizes, first, rank, m, m1, m2 = places(model, lookup, texts[at:end])
+                words, sizes, first, rank, m, m1, m2, leaf = places(model, lookup, texts[at:end])
                 known = rank >= 0
                 logs = np.where(known, model.log_counts[np.maximum(rank, 0)] if len(model.log_counts) else 0.0, 0.0)
                 other = m == model.size
-                lm = model.log_probs(m, m1, m2) / LN10 + np.where(other, logs - model.log_others, 0.0)
+                lm = model.log_probs(m, m1, m2, leaf) / LN10 + np.where(other, logs - model.leaf_logs[leaf], 0.0)
                 add = lambda x: np.add.reduceat(x, first)
                 rare = [[{"word": w, "n": n} for w, n in Counter([ws[i] for i in np.flatnonzero(~known[f : f + n]).tolist()]).items()] for ws, f, n in zip(words, first.tolist(), sizes.tolist())]
                 part = batch.slice(at, end - at)
@@ -266,6 +328,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
 
     ddl = f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, lm double, rare array<struct<word:binary,n:long>>"
     scored = keep(docs.select("doc_id", (fold == held_out).alias("held_out"), "text").mapInArrow(run, ddl), "lm-scored")
+    shared.destroy()
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
     found = rare.join(vocabulary, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     whole = scored.drop("rare").join(found, "row", "left").fillna(0, ["more", "more_logs"])

@@ -320,6 +320,28 @@ def test_language_model_learns_from_every_position(spark):
     assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > -0.65 * log10(8)
 
 
+def test_language_model_tells_rare_words_apart(spark, monkeypatch):
+    """With 63 places, most words are beyond the classes; each at an odd place follows from the one before."""
+    monkeypatch.setattr(lm, "CLASSES", 1)
+    rng = np.random.default_rng(10)
+    texts = [" ".join(w for k in rng.integers(0, 600, 20) for w in (f"even{k}", f"odd{k}")) for _ in range(8000)]
+    rows = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > -0.9 * log10(600)
+
+
+def test_language_model_has_a_distribution_over_rare_words(spark):
+    vocabulary = spark.createDataFrame([(f"w{i}".encode(), 1600 - i) for i in range(1600)], "word binary, n long")
+    mass = lm.leaves(vocabulary, [b"w0", b"w1"], np.array([1600, 1599]), 1600)
+    want = np.ones(64)
+    for i in range(2, 1600):
+        want[lm.hash_of(f"w{i}".encode()) >> 58] += 1601 - i
+    assert mass.tolist() == want.tolist()
+    model = lm.Model([b"w0", b"w1"], np.array([1600, 1599]), 1_280_800, 1600, mass)
+    model.word_w += np.random.default_rng(3).normal(size=model.word_w.shape).astype(np.float32)
+    m, leaf = np.append([0, 1], np.full(64, 2)), np.append([0, 0], np.arange(64))
+    assert np.exp(model.log_probs(m, np.full(66, 7), np.full(66, 8), leaf)).sum() == pytest.approx(1, rel=1e-4)
+
+
 def test_language_model_is_a_distribution_and_takes_hard_input(spark, hard):
     model = lm.Model([b"a", b"b", lm.END], np.array([5, 3, 2]), 12, 5)
     p = np.exp([model.log_probs(np.array([m]), np.array([0]), np.array([1]))[0] for m in range(model.size + 1)])
