@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,21 +19,33 @@ BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers receive, by rows and by bytes."""
+    """Bound the Arrow batches that Python workers receive, by rows and by bytes (settings of the session: Spark reads them when a plan runs)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Folders made for sessions of one machine that name none, by application.
+_own: dict[str, str] = {}
+#: Tables written so far and not yet released: path to session.
+_kept: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where the setting is missing (plain
-    local tests) a folder of this machine is used and stored in the setting.
+    ``spark.checkpoint.dir`` names it. Where the setting is missing, a folder
+    of this machine serves a session whose executors are threads of the driver;
+    any other session is refused, since its executors couldn't read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+            atexit.register(shutil.rmtree, _own[context.applicationId], True)
+        folder = _own[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -40,11 +54,35 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a later stage, or a task that is run again after an
     executor was lost, reads files instead of computing everything once more.
+    :func:`release` removes tables that nothing reads any more, :func:`clean`
+    all of a session's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _kept[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back.kept_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of :func:`keep` that no later plan reads."""
+    for df in tables:
+        _remove(getattr(df, "kept_path", None))
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that this session keeps; for when its results are saved."""
+    for path in [p for p, s in _kept.items() if s is spark]:
+        _remove(path)
+
+
+def _remove(path: str | None) -> None:
+    spark = _kept.pop(path, None)
+    if spark is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
