@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -33,10 +34,9 @@ import regex
 from pyspark.sql import DataFrame
 
 from .base import map_batches, tune
-from .bytebpe import byte_letters
+from .bytebpe import UNKNOWN, WHITE, byte_letters
 
-#: White space as the file's pattern reads it, and the file's words (fixed values of the format).
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The file's words (fixed values of the format).
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
 #: What str.split() takes for white space but the file doesn't.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
@@ -68,7 +68,10 @@ class WordBpe:
 
     def __init__(self, path: str):
         import ahocorasick
+        from tokenizers import Tokenizer
 
+        library = Tokenizer.from_file(path)
+        self.normal, self.pre, self.unknown = library.normalizer, library.pre_tokenizer, re.compile(f"[{UNKNOWN}]")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -172,6 +175,9 @@ class WordBpe:
         plain = run.isascii()
         if plain:
             low = run.lower()
+        elif self.unknown.search(run):
+            ids = [n for word, _ in self.pre.pre_tokenize_str(self.normal.normalize_str(run)) for n in self.encode_word(word)]
+            return array("I", ids).tobytes(), " ".join([self.names[n] for n in ids])
         else:  # NFC, then lower case letter by letter (no final sigma)
             low = unicodedata.normalize("NFC", run).replace("\u03a3", "\u03c3").lower()
         words = [low] if plain and low.isalpha() else WORDS.findall(low)
