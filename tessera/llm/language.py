@@ -7,13 +7,14 @@ languages of the winning family one against one; the language with most wins
 is predicted, ties going to the larger sum of margins.
 
 The machines are fitted on the driver from a bounded, documented sample of the
-labelled rows (SAMPLE_ROWS in all, LANGUAGE_ROWS of a language, chosen by a
-hash of the text); what reaches the driver are sparse counts of DIM cells.
+labelled rows: LANGUAGE_ROWS of each language, fewer where SAMPLE_ROWS in all
+would be passed, but at least one; those of least hash of id and text, so the
+choice is the same at any partitioning. Every language of a labelled row with a
+letter is learned. What reaches the driver are sparse counts of DIM cells.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter,
 or when no language could be learned; every input row gives one row; an empty
-table gives an empty result; other columns are ignored. A language is learned
-from LEAST_ROWS labelled rows on; at most MOST_LANGUAGES, the most frequent.
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .base import fold_of, map_batches, tune
 
 DIM = 1 << 13
-SAMPLE_ROWS, LANGUAGE_ROWS, LEAST_ROWS, MOST_LANGUAGES = 6000, 600, 5, 200
+SAMPLE_ROWS, LANGUAGE_ROWS = 6000, 600
 #: Characters that are counted at a time.
 SLICE = 1 << 20
 #: Families of language codes (fixed values); another code is a family of its own.
@@ -143,18 +144,18 @@ class Model:
 
 def learn(docs: DataFrame, folds: int = 5) -> Model:
     """The model of the rows with a lang, a letter, and fold other than 0."""
-    tune(docs.sparkSession)
-    rows = docs.select("text", F.col("lang").cast("string").alias("lang"), fold_of(F.col("doc_id"), folds).alias("fold"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.col("fold") != 0) & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    spark = docs.sparkSession
+    tune(spark)
+    rows = docs.select("text", F.col("lang").cast("string").alias("lang"), fold_of(F.col("doc_id"), folds).alias("fold"), F.xxhash64("doc_id", "text").alias("draw"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.col("fold") != 0) & F.col("text").rlike(r"\p{L}")).drop("fold")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("draw").alias("least")).collect()
     if not counts:
         return Model([], np.zeros((0, DIM), dtype=np.float32), [])
-    most = min(LANGUAGE_ROWS, SAMPLE_ROWS // len(counts))
-    # keep a row if the hash of its text lies under its language's share; the share aims at `most` rows
-    limit = F.lit(0.0)
-    for r in counts:
-        limit = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, most / r["count"]))).otherwise(limit)
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < limit * 1_000_003).select("lang", "text")
+    most = max(1, min(LANGUAGE_ROWS, SAMPLE_ROWS // len(counts)))
+    # rows that surely hold the `most` of least hash: about three times as many, and the very least; then exactly these
+    shares = spark.createDataFrame([(r["lang"], r["least"], float(min(1.0, (3 * most + 50) / r["rows"]))) for r in counts], "lang string, least long, share double")
+    near = rows.join(F.broadcast(shares), "lang").where((F.col("draw") == F.col("least")) | ((F.col("draw") / F.lit(2.0**64) + 0.5) < F.col("share")))
+    chosen = near.select("lang", "text", "draw")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = []
@@ -162,9 +163,11 @@ def learn(docs: DataFrame, folds: int = 5) -> Model:
             c = counts_of(text)
             at = np.flatnonzero(c)
             packed.append(at.astype("<u4").tobytes() + c[at].astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.binary())], names=["lang", "cells"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, type=pa.binary())], names=["lang", "draw", "cells"])
 
-    taken = map_batches(chosen, work, "lang string, cells binary").limit(2 * SAMPLE_ROWS).collect()
+    order = Window.partitionBy("lang").orderBy("draw", "cells")
+    taken = map_batches(chosen, work, "lang string, draw long, cells binary").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth").collect()
+    taken.sort(key=lambda r: (r["lang"], r["draw"], bytes(r["cells"])))  # in any partitioning the same sums
     x = np.zeros((len(taken), DIM), dtype=np.float32)
     for row, r in zip(x, taken):
         cells = np.frombuffer(r["cells"], dtype="<u4")
