@@ -66,8 +66,8 @@ POLICIES = {1: Policy(1, BASE_MASK), 2: Policy(2, 0b111111)}
 def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, the measurements, and n_lines (lines that hold a word)."""
     has_word = lambda line: line.rlike(r"[^ \t-\r]")
-    kept = [F.col(f"`{c}`") for c in keep]
-    text = docs.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("t_"))
+    kept = ["row_"]  # one struct, so that no kept column can clash with the names below
+    text = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row_"), F.coalesce(F.col("text"), F.lit("")).alias("t_"))
     split = text.select(
         *kept,
         F.array_remove(F.split("t_", f"{BLANK}+"), "").alias("w_"),
@@ -114,7 +114,8 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     )
     # a generator of one row: filters on the measurements stay above it, or Spark
     # would push them down and repeat all the nested expressions for each use
-    return found.select(F.inline(F.array(F.struct(*found.columns))))
+    flat = F.struct(*(F.col("row_").getField(c).alias(c) for c in keep), *found.columns[1:])
+    return found.select(F.inline(F.array(flat)))
 
 
 def ledger(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
