@@ -26,9 +26,11 @@ probability 0.8 ** 3, so fewer than MIN_SHARED of 24 once in 60,000. Every other
 link is found or joins texts that other links have joined.
 
 Defined results: a null text, or one without words, is like no other: a class
-of its own with no links. Rows that repeat a doc_id and text are one document
-and give one row each. An empty table gives an empty result. Other columns are
-ignored. Documents with a null id take part; their class may be null.
+of its own. Every input row gives one row. Rows that repeat a doc_id and text
+are one document; rows that repeat a doc_id with another text are another one.
+An empty table gives an empty result. Other columns are ignored, and ids may be
+of any type that can be ordered. Documents with a null id take part; the class
+of such documents alone has a null id.
 """
 
 from __future__ import annotations
@@ -39,10 +41,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import keep, map_batches, tune
+from .base import fresh, keep, map_batches, release, tune
 
 WORDS, SKETCHES, PICKED, SIMILAR = 5, 24, 3, 0.8
 #: Sketches that a pair must share to be aligned; texts in one part of a bucket; from how many shared sketches on each thorough round compares.
@@ -56,7 +58,7 @@ class WordHashes(dict):
     """64-bit hashes of words; begun anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -173,6 +175,11 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     return (same + m) / (total - same - m)
 
 
+def row_key(doc_id: Column, text_key: Column) -> Column:
+    """What rows share that are one document."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("~")), F.lit(":"), F.coalesce(text_key, F.lit("~")))
+
+
 def sketch_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (md5) and sketches of every row; written."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -277,47 +284,60 @@ def thorough(members: DataFrame, labels: DataFrame, texts: DataFrame, material:
                 yield pa.RecordBatch.from_arrays([pa.array(z, type=pa.int64()) for z in zip(*found)], names=["a", "b"])
 
     able = keep(map_batches(blocks(named, sketch), meet, "key long, id long, label long").distinct(), "omh-able")
-    return keep(map_batches(blocks(able, sketch, material), join, "a long, b long").distinct(), "omh-links")
+    found = keep(map_batches(blocks(able, sketch, material), join, "a long, b long").distinct(), "omh-links")
+    release(named, able)
+    return found
 
 
 def links(docs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between the ids of different texts, and the labels of their components; ``texts`` has id, text_key, sketch of each."""
+    """Verified links (a, b) between the ids of different texts, enough to join all that belong together, and the labels of their components.
+
+    ``texts`` has id, text_key, first_doc and sketch of each different text.
+    """
     flat = texts.select("id", F.explode("sketch").alias("key"))
     common = keep(flat.join(flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "omh-shared")
-    fame = common.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("fame")).where(F.col("k") >= MIN_SHARED).select("id", "fame")
-    members = common.select("key", "id").join(fame, "id")
+    fame = keep(common.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("fame")).where(F.col("k") >= MIN_SHARED).select("id", "fame"), "omh-fame")
+    members = keep(common.select("key", "id").join(fame, "id"), "omh-members")
+    release(common)
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()], type=pa.binary())], names=["id", "shingles"])
 
-    wanted = fame.select("id").join(texts.select("id", "text_key"), "id")
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.md5("text").alias("text_key"), "text").join(wanted, ["id", "text_key"], "left_semi")
+    wanted = fame.select("id").join(texts, "id").select("id", row_key(F.col("first_doc"), F.col("text_key")).alias("row_key"))
+    whole = docs.select(row_key(F.col("doc_id"), F.md5("text")).alias("row_key"), "text").join(wanted, "row_key")
     material = keep(map_batches(whole.select("id", "text"), read, "id long, shingles binary").dropDuplicates(["id"]), "omh-material")
 
     def leader(table: DataFrame, name: str, *but: str) -> DataFrame:
         """``table`` with the most famous text of each bucket that isn't one of ``but``."""
         others = table.where(F.lit(True) if not but else ~F.col("id").isin(*(F.col(x) for x in but)))
         top = others.groupBy("key").agg((-F.max(F.struct("fame", (-F.col("id")).alias("minus")))["minus"]).alias(name))
-        return keep(table.join(top, "key", "left"), "omh-members")
+        return keep(table.join(top, "key", "left"), "omh-led")
 
-    led = leader(members, "l1")
-    led = leader(led, "l2", "l1")
-    led = leader(led.where(F.col("l2").isNotNull()), "l3", "l1", "l2")
+    led = [leader(members, "l1")]
+    led.append(leader(led[-1], "l2", "l1"))
+    led.append(leader(led[-1].where(F.col("l2").isNotNull()), "l3", "l1", "l2"))
+    release(*led[:-1])
+    led = led[-1]
     pair = lambda other: [F.least("id", other).alias("a"), F.greatest("id", other).alias("b")]
     first = keep(led.where("id <> l1").select(*pair("l1")).distinct(), "omh-pairs")
-    found = verify(first, texts, material, least)
-    hit = found.withColumn("hit", F.lit(True))
+    once = verify(first, texts, material, least)
+    hit = once.withColumn("hit", F.lit(True))
     unlike = keep(led.where("id <> l1").select("id", "l2", "l3", *pair("l1")).join(hit, ["a", "b"], "left").where(F.col("hit").isNull()).select("id", "l2", "l3").distinct(), "omh-unlike")
     second = unlike.where("id <> l2").select(*pair("l2")).unionAll(unlike.where("id <> l3").select(*pair("l3")))
     second = keep(second.distinct().join(first, ["a", "b"], "left_anti"), "omh-pairs")
-    found = keep(found.unionAll(verify(second, texts, material, least)), "omh-found")
+    twice = verify(second, texts, material, least)
+    found = keep(once.unionAll(twice), "omh-found")
+    release(led, first, once, unlike, second, twice)
     labels, below = components(found), SKETCHES + 1
     for from_ in ROUNDS:
         more = thorough(members, labels, texts, material, from_, below, least)
         if not more.isEmpty():
-            found = keep(found.unionAll(more), "omh-found")
+            old, found = found, keep(found.unionAll(more), "omh-found")
+            release(old, labels)
             labels = components(found)
+        release(more)
         below = from_
+    release(fame, members, material)
     return found.distinct(), labels
 
 
@@ -331,27 +351,46 @@ def components(edges: DataFrame) -> DataFrame:
         # a label is itself an id of the component: jump to its label
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("onward"))
         new = keep(lower.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("onward", "label")).alias("label")), "omh-labels")
-        labels = new.select("id", "label")
+        release(labels)
+        labels = new.drop("was")
+        labels.kept_path = new.kept_path
         if new.where("was <> label").isEmpty():
+            release(both)
             return labels
 
 
-def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), n_links (of its text to other texts) of every row."""
+def grouped(docs: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """The sketch table of ``docs``, and of each different text with words: text_key, class_id (the smallest doc_id of its class), stays (the row key of the document of the class that stays)."""
     tune(docs.sparkSession)
     table = sketch_table(docs)
-    texts = keep(table.where(F.col("sketch").isNotNull() & F.col("doc_id").isNotNull()).groupBy("text_key").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("sketch").alias("sketch")), "omh-texts")
+    # of a text the sketches are always the same, so the largest is any
+    texts = table.where(F.col("sketch").isNotNull()).groupBy("text_key").agg(F.min("doc_id").alias("first_doc"), F.max("sketch").alias("sketch"))
+    texts = keep(texts.withColumn("id", F.monotonically_increasing_id()), "omh-texts")
     found, labels = links(docs, texts, least)
-    ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    known = texts.select("text_key", "id").join(labels.join(ends, "id"), "id", "left").select("text_key", F.coalesce("label", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    joined = keep(texts.select("text_key", "id", "first_doc").join(labels, "id"), "omh-joined")
+    first = joined.groupBy("label").agg(F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "text_key")).alias("x")).select("label", "x.first_doc", F.col("x.text_key").alias("first_key"))
+    linked = joined.select("text_key", "label").join(first, "label").select("text_key", F.col("first_doc").alias("class_id"), row_key(F.col("first_doc"), F.col("first_key")).alias("stays"))
+    alone = texts.join(labels, "id", "left_anti").select("text_key", F.col("first_doc").alias("class_id"), row_key(F.col("first_doc"), F.col("text_key")).alias("stays"))
+    known = keep(linked.unionAll(alone), "omh-known")
+    release(texts, labels, joined)
+    return table, known
+
+
+def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class) of every row."""
+    table, known = grouped(docs, least)
     rows = table.select("doc_id", F.when(F.col("sketch").isNotNull(), F.col("text_key")).alias("text_key"))
-    return rows.join(known, "text_key", "left").select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return rows.join(known.withColumn("known", F.lit(True)), "text_key", "left").select("doc_id", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The documents of ``docs`` that stay: of each class the one with the smallest id, once; all columns are kept."""
-    stay = classes(docs, least).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id").distinct()
-    named = stay.withColumnRenamed("doc_id", "stay_id")
-    numbered = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    kept = numbered.join(named, numbered["doc_id"] == named["stay_id"], "left_semi")
-    return kept.unionAll(docs.where(F.col("doc_id").isNull()))
+    """The documents of ``docs`` that stay: of each class the one with the smallest id (of several texts of that id the one of least md5), once; all columns are kept.
+
+    Documents without words all stay. Of rows that are one document but differ in other columns any one stays.
+    """
+    table, known = grouped(docs, least)
+    key = fresh("omh_key", docs.columns)
+    wordless = table.where(F.col("sketch").isNull()).select(row_key(F.col("doc_id"), F.col("text_key")).alias(key))
+    stay = known.select(F.col("stays").alias(key)).unionAll(wordless).distinct()
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.md5("text")))
+    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).drop(key)
