@@ -1,12 +1,17 @@
 """Personal data in whole texts (operator 4).
 
 Fixed patterns find e-mail addresses, IP addresses, payment cards and phone
-numbers. They seed a bootstrap: the words around each seed are a lexical
-pattern, other identifier-like strings stand in the same patterns, and Spark
-scores the graph of patterns and instances iteratively. A pattern is trusted
-to the extent that its instances are, an instance to the extent that its
-patterns are; seeds stay trusted. Strings in patterns of high confidence that
-several different seeds support are new identifiers of the pattern's kind.
+numbers. Together with secrets that their form alone gives away (SECRET) they
+seed a bootstrap. Each identifier-like string of a text stands in lexical
+patterns: the words beside it, two to the left and one to the right, and these,
+or one to the left, or one to the right, with the string's shape, in which
+digits and letters are classes. Other strings stand in the same patterns, and Spark scores
+the graph of patterns and instances iteratively: a pattern is trusted to the
+extent that its instances are, an instance to the extent that its patterns are;
+seeds stay trusted, and a string of a shape that the fixed patterns judged and
+refused (a card number with a wrong check digit) stays distrusted. Strings in
+patterns of high confidence that several different seeds support are new
+identifiers of the pattern's kind, SECRET ones among them.
 
 Only counted edges (pattern, instance) are shuffled, never texts. A passage
 that many documents share gives one edge. The rounds are cut by written tables.
@@ -26,10 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import fresh, keep, map_batches, tune
+from .base import fresh, keep, map_batches, release, tune
 
-#: Kinds, in the order that breaks ties.
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds, in the order that breaks ties; the fixed patterns have the first four, secrets come from the bootstrap alone.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS, SECRET_KIND = 4, 4
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 #: A run of digits can only start where the last one ended, so no start inside one is tried.
@@ -37,13 +43,17 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: Identifier-like strings: at least 7 digits with the usual marks between them, or something around an "@".
+#: Identifier-like strings: at least 7 digits with the usual marks between them, something around an "@", or a long run of letters and digits with both.
 NUMBER = re.compile(r"(?<![\w+])[(]?[0-9][0-9().\x20-]{5,40}[0-9](?!\w)")
 ACCOUNT = re.compile(r"(?<!\S)[^\s@]{1,64}@[^\s@]{1,64}(?!\S)")
-#: Characters on either side that are looked at for context words.
-REACH = 64
-#: Rounds of scoring; smoothing; what a pattern needs: confidence, and different seed instances.
-ROUNDS, SMOOTH, CONFIDENT, SUPPORT = 3, 1.0, 0.9, 5
+KEY = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{12,256}(?![A-Za-z0-9_-])")
+#: Secrets by their form alone (fixed values of public formats): long hexadecimal strings and providers' prefixes.
+SECRET = re.compile(r"[0-9a-f]{40}|[0-9a-f]{64}|sk-[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{36}|AKIA[0-9A-Z]{16}")
+HEX = re.compile(r"[0-9a-f]{12,}|[0-9A-F]{12,}")
+#: Characters on either side that are looked at for context words, and the longest part of one that counts.
+REACH, WORD = 64, 24
+#: Rounds of scoring at most, and the change that ends them; smoothing; what a pattern needs: confidence, and different seed instances.
+ROUNDS, STILL, SMOOTH, CONFIDENT, SUPPORT = 12, 1e-3, 1.0, 0.7, 5
 
 
 def luhn(digits: str) -> bool:
@@ -81,33 +91,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def context(text: str, start: int, end: int) -> str | None:
-    """The lexical pattern around a span: two words to the left and one to the right, without digits, in lower case."""
-    left = text[max(0, start - REACH) : start].split()[-2:]
-    right = text[end : end + REACH].split()[:1]
-    if not left:
-        return None
-    return re.sub("[0-9]+", "0", " ".join([*left, "_", *right]).lower())
+def shape(text: str) -> str:
+    """Digits as 9 by their number, runs of letters as a; a secret's hexadecimal digits as x."""
+    if HEX.fullmatch(text) and not text.isdigit():
+        return "x"
+    return re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "9", text))[:48]
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like strings that overlap no span."""
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns around a span, most special first, with its shape; words in lower case, digits as 0."""
+    plain = lambda part: re.sub("[0-9]+", "0", part.lower())
+    before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
+    left, right = [plain(x[-WORD:]) for x in before.split()[-2:]], [plain(x[:WORD]) for x in after.split()[:1]]
+    glued = lambda side, at: "" if not side or side[at].isspace() else "+"
+    form = f"<{shape(text[start:end])}>"
     found = []
-    for pattern in [NUMBER] * bool(DIGIT.search(text)) + [ACCOUNT] * ("@" in text):
-        for m in pattern.finditer(text):
-            if pattern is NUMBER and sum(map(str.isdigit, m[0])) < 7:
-                continue
-            if not any(a < m.end() and m.start() < b for a, _, b in taken) and not any(a < m.end() and m.start() < b for a, b in found):
-                found.append(m.span())
+    if left:
+        if len(left) == 2:
+            found.append(" ".join([*left, glued(before, -1) + "<>" + glued(after, 0), *right]))
+        found.append(" ".join([*left, glued(before, -1) + form + glued(after, 0), *right]))
+        found.append(f"{left[-1]} {glued(before, -1)}{form}")
+    if right:
+        found.append(f"{form}{glued(after, 0)} {right[0]}")
+    return found
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like strings that overlap no span and not each other; one pass over both sorted lists."""
+    numbers = [m.span() for m in NUMBER.finditer(text) if sum(map(str.isdigit, m[0])) >= 7] if DIGIT.search(text) else []
+    accounts = [m.span() for m in ACCOUNT.finditer(text)] if "@" in text else []
+    keys = [m.span() for m in KEY.finditer(text)] if numbers or DIGIT.search(text) else []
+    found: list[tuple[int, int]] = []
+    for more in (numbers, accounts, keys):
+        sure = sorted([*((s, e) for s, _, e in taken), *found])
+        free, k, reach = [], 0, 0
+        for s, e in more:
+            while k < len(sure) and sure[k][0] < e:
+                reach = max(reach, sure[k][1])
+                k += 1
+            if reach <= s:
+                free.append((s, e))
+        found += free
     return sorted(found)
 
 
+def refused(instance: str) -> bool:
+    """Whether the fixed patterns judge strings of this form, so that one without a span failed their test."""
+    digits = re.sub("[ -]", "", instance)
+    return bool(IP.fullmatch(instance)) or digits.isdigit() and 14 <= len(digits) <= 19
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base spans and context edges of every row; written, as it is read several times."""
+    """doc_id, text_hash, base spans and context edges of every row; written, as it is read several times.
+
+    An edge's kind is that of a seed, -1 for an unknown string, -2 for a refused one.
+    """
     tune(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    span, edge = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]), pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("pattern", pa.string()), ("instance", pa.string())])
+    span, edge = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]), pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("patterns", pa.list_(pa.string())), ("instance", pa.string())])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans, edges = [], []
@@ -115,40 +157,61 @@ def scan(docs: DataFrame) -> DataFrame:
             text = text or ""
             base = base_spans(text)
             spans.append([{"s": s, "k": k, "e": e} for s, k, e in base])
-            rows = [(s, e, k) for s, k, e in base] + [(s, e, -1) for s, e in candidates(text, base)]
-            near = ((s, e, k, context(text, s, e), text[s:e]) for s, e, k in rows)
-            edges.append([{"s": s, "e": e, "kind": k, "pattern": p, "instance": i[:128]} for s, e, k, p, i in near if p])
+            rows = [(s, e, k) for s, k, e in base]
+            for s, e in candidates(text, base):
+                rows.append((s, e, SECRET_KIND if SECRET.fullmatch(text, s, e) else -2 if refused(text[s:e]) else -1))
+            near = ((s, e, k, contexts(text, s, e), text[s:e]) for s, e, k in rows)
+            edges.append([{"s": s, "e": e, "kind": k, "patterns": p, "instance": i[:128]} for s, e, k, p, i in near if p])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, type=pa.list_(span)), pa.array(edges, type=pa.list_(edge))], names=["doc_id", "text_hash", "spans", "edges"])
 
-    ddl = f"doc_id {id_type}, text_hash long, spans array<struct<s:int,k:int,e:int>>, edges array<struct<s:int,e:int,kind:int,pattern:string,instance:string>>"
+    ddl = f"doc_id {id_type}, text_hash long, spans array<struct<s:int,k:int,e:int>>, edges array<struct<s:int,e:int,kind:int,patterns:array<string>,instance:string>>"
     return keep(map_batches(hashed, work, ddl), "pii-scan")
 
 
 def trusted_patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, kind and confidence of the patterns that discover identifiers."""
-    rows = scanned.select(F.explode("edges").alias("x")).select("x.*")
-    edges = keep(rows.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
-    seeds = F.when(F.col("kind") >= 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    scores = edges.select("pattern", "instance", "kind", seeds.alias("trust"))
+    """pattern, kind, support and confidence of the patterns that discover identifiers; written."""
+    rows = scanned.select(F.explode("edges").alias("x")).select(F.explode("x.patterns").alias("pattern"), F.col("x.instance").alias("instance"), F.col("x.kind").alias("kind"))
+    edges = rows.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    # a pattern that too few different seeds support can never be trusted: it and its edges are out from the start
+    seeds = edges.groupBy("pattern", "kind").count().where(F.col("kind") >= 0)
+    best = seeds.groupBy("pattern").agg(F.max_by("kind", F.struct("count", -F.col("kind"))).alias("kind"), F.max("count").alias("support")).where(F.col("support") >= SUPPORT)
+    best = keep(best, "pii-support")
+    edges = keep(edges.withColumnRenamed("kind", "own").join(best, "pattern"), "pii-edges")
+    # by kind: a seed of the pattern's kind is trusted, one of another kind or a refused string is not
+    fixed = F.when(F.col("own") == F.col("kind"), F.lit(1.0)).when(F.col("own") != -1, F.lit(0.0))
+    scores = edges.select("pattern", "instance", F.coalesce(fixed, F.lit(0.0)).alias("trust"))
+    written, patterns = None, None
     for step in range(rounds):
         # a pattern: the smoothed mean trust of its instances
-        patterns = scores.groupBy("pattern").agg((F.sum("trust") / (F.count(F.lit(1)) + F.lit(SMOOTH))).alias("confidence"))
-        if step == rounds - 1:
+        new = keep(scores.groupBy("pattern").agg((F.sum("trust") / (F.count(F.lit(1)) + F.lit(SMOOTH))).alias("confidence")), "pii-patterns")
+        moved = None if patterns is None else new.join(patterns.withColumnRenamed("confidence", "was"), "pattern").agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0]
+        if patterns is not None:
+            release(patterns)
+        patterns = new
+        if step == rounds - 1 or moved is not None and moved < STILL:
             break
         # an instance: that at least one of its patterns is right
         carried = edges.join(patterns, "pattern")
-        instances = carried.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("found"))
-        scores = keep(edges.join(instances, "instance").select("pattern", "instance", "kind", F.when(F.col("kind") >= 0, 1.0).otherwise(F.col("found")).alias("trust")), "pii-scores")
-    support = edges.where(F.col("kind") >= 0).groupBy("pattern", "kind").count()
-    best = support.groupBy("pattern").agg(F.max_by("kind", F.struct("count", -F.col("kind"))).alias("kind"), F.sum("count").alias("support"))
-    return best.join(patterns, "pattern").where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern", "kind", "confidence")
+        instances = carried.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("found"))
+        scores = keep(edges.join(instances, ["instance", "kind"]).select("pattern", "instance", F.coalesce(fixed, F.col("found")).alias("trust")), "pii-scores")
+        if written is not None:
+            release(written)
+        written = scores
+    trusted = keep(best.join(patterns, "pattern").where(F.col("confidence") >= CONFIDENT), "pii-trusted")
+    release(*(x for x in (edges, best, patterns, written) if x is not None))
+    return trusted
 
 
 def discovered(scanned: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the new spans of the documents that have any."""
-    asked = scanned.select("doc_id", "text_hash", F.explode("edges").alias("x")).where(F.col("x.kind") < 0)
-    named = asked.select("doc_id", "text_hash", "x.s", "x.e", "x.pattern").join(keep(trusted_patterns(scanned), "pii-patterns"), "pattern")
-    return named.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", F.col("kind").alias("k"), "e")).alias("added"))
+    """doc_id, text_hash and the new spans of the documents that have any.
+
+    The kind of a string is that of its most confident trusted pattern.
+    """
+    asked = scanned.select("doc_id", "text_hash", F.explode("edges").alias("x")).where((F.col("x.kind") == -1) | (F.col("x.kind") == SECRET_KIND))
+    flat = asked.select("doc_id", "text_hash", "x.s", "x.e", F.explode("x.patterns").alias("pattern"))
+    named = flat.join(trusted_patterns(scanned), "pattern")
+    span = named.groupBy("doc_id", "text_hash", "s", "e").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("k"))
+    return span.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "k", "e")).alias("added"))
 
 
 def spelled(spans: Column) -> Column:
@@ -158,14 +221,15 @@ def spelled(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans, and n_added of every row."""
+    """doc_id, counts of base spans by kind, base_sha256, spans, n_spans (all of them) and n_added of every row."""
     scanned = scan(docs)
     added = discovered(scanned).withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"})
-    both = scanned.join(added, scanned["doc_id"].eqNullSafe(added["id_"]) & (scanned["text_hash"] == added["hash_"]), "left")
+    both = scanned.drop("edges").join(added, scanned["doc_id"].eqNullSafe(added["id_"]) & (scanned["text_hash"] == added["hash_"]), "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     count = lambda n: F.size(F.filter("spans", lambda x: x["k"] == n)).cast("long")
     more = F.coalesce("added", none)
-    return both.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)), F.sha2(spelled(F.col("spans")), 256).alias("base_sha256"), spelled(F.concat("spans", more)).alias("all_"), F.size(more).cast("long").alias("n_added")).withColumnRenamed("all_", "spans")
+    found = both.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(KINDS[:BASE_KINDS])), F.sha2(spelled(F.col("spans")), 256).alias("base_sha256"), spelled(F.concat("spans", more)).alias("all_"), (F.size("spans") + F.size(more)).cast("long").alias("n_spans"), F.size(more).cast("long").alias("n_added"))
+    return found.withColumnRenamed("all_", "spans")
 
 
 def redact(docs: DataFrame) -> DataFrame:
