@@ -5,11 +5,15 @@ labels from which the tree judges the others: per host, path segments become
 a tree; segments that vary (digits, hexadecimal names, or one of many rare
 siblings) become wildcards, siblings whose share of blocked labels doesn't
 differ from their parent's (chi-squared, one degree of freedom) are merged,
-and a template is rejected if its smoothed share of blocked labels is high.
+and a template is rejected if its smoothed share of blocked labels is high. The
+share is smoothed down the tree: a branch begins with its parent's share, which
+counts as PRIOR labels, and the host with one half; so a branch with few labels
+or none takes after its host, and one that holds all labels of its parent has
+its share, for the same labels are no new evidence.
 
 The tree works on counted distinct typed paths, not on pages, so a host with a
 third of all pages adds few rows; the last join, from pages to templates, is
-one whose skew Spark splits. A template without labels is allowed.
+one whose skew Spark splits. A host without labels is allowed.
 
 Defined results: a null url, or one without "://", has an empty host and path,
 no rule, and the verdict allow; every input row gives one row; an empty table
@@ -25,15 +29,15 @@ from .base import ascii_lower, keep
 
 #: (verdict, host, path); a rule fits its host and all subdomains.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels of the tree; what lies deeper is a wildcard at the end of the last one.
 LEVELS = 4
 #: A parent with more children than this has its rare children (below the mean) generalised.
 MANY_CHILDREN = 16
 #: Chi-squared below which a branch counts as like its parent (95 %).
 ALIKE = 3.84
-#: Reject at this smoothed purity, (blocked + 1) / (labelled + 2).
-REJECT = 0.9
-END, TAIL, ANY, HEX, LONG = "{end}", "{tail}", "*", "{hex}", "{long}"
+#: Labels that a parent's share counts as; reject from this smoothed share of blocked labels on.
+PRIOR, REJECT = 2.0, 0.8
+END, TAIL, ANY, HEX, LONG = "{end}", "/{tail}", "*", "{hex}", "{long}"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -60,12 +64,12 @@ def typed_segments(path: Column) -> list[Column]:
         return F.when(F.length(s) > 64, LONG).when(s.rlike("^[0-9a-fA-F-]{16,}$"), HEX).otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))
 
     found = [F.coalesce(typed(F.get(segments, F.lit(k))), F.lit(END)) for k in range(LEVELS)]
-    found[-1] = F.when(F.size(segments) > LEVELS, TAIL).otherwise(found[-1])
+    found[-1] = F.when(F.size(segments) > LEVELS, F.concat(found[-1], F.lit(TAIL))).otherwise(found[-1])
     return found
 
 
 def template_tree(pages: DataFrame) -> DataFrame:
-    """host, s0.. (typed segments), t0.. (generalised), labelled and blocked of each distinct typed path's template.
+    """host, s0.. (typed segments), template, template_labelled, template_blocked and template_share of each distinct typed path.
 
     ``pages`` has host, s0.., and label (block, allow or null).
     """
@@ -85,20 +89,29 @@ def template_tree(pages: DataFrame) -> DataFrame:
         nodes = nodes.join(named, [*above, f"s{k}"])
     nodes = keep(nodes, "url-nodes")
     templates = ["host", *(f"t{k}" for k in range(LEVELS))]
-    sums = nodes.groupBy(*templates).agg(F.sum("labelled").alias("template_labelled"), F.sum("blocked").alias("template_blocked"))
-    return nodes.join(sums, templates).select("host", *segments, F.concat(F.lit("/"), F.concat_ws("/", *templates[1:])).alias("template"), "template_labelled", "template_blocked")
+    # down the tree: the share of each branch begins with its parent's
+    above, shares = [], None
+    for k in range(LEVELS + 1):
+        sums = nodes.groupBy(*templates[: k + 1]).agg(F.sum("labelled").alias("template_labelled"), F.sum("blocked").alias("template_blocked"))
+        held = sums.join(shares, above) if above else sums.withColumns({"share": F.lit(0.5), "above": F.lit(-1)})
+        smoothed = (F.col("template_blocked") + F.lit(PRIOR) * F.col("share")) / (F.col("template_labelled") + F.lit(PRIOR))
+        shares = held.withColumn("share", F.when(F.col("template_labelled") == F.col("above"), F.col("share")).otherwise(smoothed))
+        above = templates[: k + 1]
+        last, shares = shares.drop("above"), shares.select(*above, "share", F.col("template_labelled").alias("above"))
+    sums = last.withColumnRenamed("share", "template_share")
+    return nodes.join(sums, templates).select("host", *segments, F.concat(F.lit("/"), F.concat_ws("/", *templates[1:])).alias("template"), "template_labelled", "template_blocked", "template_share")
 
 
 def judge(pages: DataFrame, rules=RULES, id_column: str = "page_id") -> DataFrame:
-    """page id, host, path, rule, verdict, and for pages without a rule their template and its label counts."""
+    """page id, host, path, rule, verdict, and for pages without a rule their template, its label counts and its smoothed share."""
     segments = [f"s{k}" for k in range(LEVELS)]
     split = pages.select(F.col(f"`{id_column}`").alias("page_id"), *(c.alias(n) for c, n in zip(parts(F.col("url")), ("host", "path"))))
     rule, label = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = split.select("*", rule.alias("rule"), label.alias("label"))
     typed = ruled.select("*", *(c.alias(n) for c, n in zip(typed_segments(F.col("path")), segments)))
-    sure = ruled.where(F.col("rule").isNotNull()).select("page_id", "host", "path", "rule", F.col("label").alias("verdict"), F.lit(None).cast("string").alias("template"), F.lit(0).cast("long").alias("template_labelled"), F.lit(0).cast("long").alias("template_blocked"))
-    reject = F.col("template_blocked") + 1 >= F.lit(REJECT) * (F.col("template_labelled") + 2)
-    learned = typed.where(F.col("rule").isNull()).join(template_tree(typed), ["host", *segments]).select("page_id", "host", "path", "rule", F.when(reject, "block").otherwise("allow").alias("verdict"), "template", "template_labelled", "template_blocked")
+    sure = ruled.where(F.col("rule").isNotNull()).select("page_id", "host", "path", "rule", F.col("label").alias("verdict"), F.lit(None).cast("string").alias("template"), F.lit(0).cast("long").alias("template_labelled"), F.lit(0).cast("long").alias("template_blocked"), F.lit(None).cast("double").alias("template_share"))
+    reject = F.col("template_share") >= F.lit(REJECT)
+    learned = typed.where(F.col("rule").isNull()).join(template_tree(typed), ["host", *segments]).select("page_id", "host", "path", "rule", F.when(reject, "block").otherwise("allow").alias("verdict"), "template", "template_labelled", "template_blocked", "template_share")
     return sure.unionAll(learned)
 
 
@@ -109,7 +122,7 @@ def duckdb_sql(rules=RULES) -> str:
     case = lambda found: "CASE " + " ".join(f"{f} '{x}'" for f, x in zip(fits, found)) + " END"
     typed = lambda s: f"CASE WHEN length({s}) > 64 THEN '{LONG}' WHEN regexp_matches({s}, '^[0-9a-fA-F-]{{16,}}$') THEN '{HEX}' ELSE regexp_replace({s}, '[0-9]+', '{{n}}', 'g') END"
     of = [f"coalesce({typed(f'g[{k + 1}]')}, '{END}')" for k in range(LEVELS)]
-    of[-1] = f"CASE WHEN len(g) > {LEVELS} THEN '{TAIL}' ELSE {of[-1]} END"
+    of[-1] = f"CASE WHEN len(g) > {LEVELS} THEN {of[-1]} || '{TAIL}' ELSE {of[-1]} END"
     with_ = [
         r"p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages)",
         f"r AS (SELECT *, {case([h + p for _, h, p in cases])} AS rule, {case([v for v, _, _ in cases])} AS label, string_split(regexp_replace(path, '^/', ''), '/') AS g FROM p)",
@@ -124,9 +137,18 @@ def duckdb_sql(rules=RULES) -> str:
             f"m{k} AS (SELECT {above}, s{k}, CASE WHEN c = 1 THEN s{k} WHEN c > {MANY_CHILDREN} AND n * c < an THEN '{ANY}' WHEN b * al - l * ab = 0 OR (b * al - l * ab) * (b * al - l * ab) < {ALIKE}::DOUBLE * l * ab * (al - ab) THEN '{ANY}' ELSE s{k} END AS t{k} FROM q{k})",
             f"n{k + 1} AS (SELECT * FROM n{k} JOIN m{k} USING ({above}, s{k}))",
         ]
-    tops = ", ".join(f"t{k}" for k in range(LEVELS))
-    with_.append(f"z AS (SELECT host, {', '.join(segments)}, '/' || concat_ws('/', {tops}) AS template, (sum(labelled) OVER w)::BIGINT AS tl, (sum(blocked) OVER w)::BIGINT AS tb FROM n{LEVELS} WINDOW w AS (PARTITION BY host, {tops}))")
+    tops = [f"t{k}" for k in range(LEVELS)]
+    prior, before = f"{PRIOR}::DOUBLE", "0.5::DOUBLE"
+    for k in range(LEVELS + 1):
+        group = ", ".join(["host", *tops[:k]])
+        join = f" JOIN h{k - 1} USING ({', '.join(['host', *tops[: k - 1]])})" if k else ""
+        with_ += [
+            f"b{k} AS (SELECT {group}, sum(labelled)::BIGINT AS tl, sum(blocked)::BIGINT AS tb FROM n{LEVELS} GROUP BY ALL)",
+            f"h{k} AS (SELECT {group}, b{k}.tl, b{k}.tb, {f'CASE WHEN b{k}.tl = h{k - 1}.tl THEN h{k - 1}.share ELSE' if k else ''} (b{k}.tb + {prior} * {f'h{k - 1}.share' if k else before}) / (b{k}.tl + {prior}) {'END' if k else ''} AS share FROM b{k}{join})",
+        ]
+    all_tops = ", ".join(tops)
+    with_.append(f"z AS (SELECT host, {', '.join(segments)}, '/' || concat_ws('/', {all_tops}) AS template, tl, tb, share FROM n{LEVELS} JOIN h{LEVELS} USING (host, {all_tops}))")
     return (
-        f"WITH {', '.join(with_)} SELECT page_id, host, path, rule, label AS verdict, NULL::VARCHAR AS template, 0::BIGINT AS template_labelled, 0::BIGINT AS template_blocked FROM y WHERE rule IS NOT NULL "
-        f"UNION ALL SELECT page_id, host, path, rule, CASE WHEN tb + 1 >= {REJECT}::DOUBLE * (tl + 2) THEN 'block' ELSE 'allow' END, template, tl, tb FROM y JOIN z USING (host, {', '.join(segments)}) WHERE rule IS NULL"
+        f"WITH {', '.join(with_)} SELECT page_id, host, path, rule, label AS verdict, NULL::VARCHAR AS template, 0::BIGINT AS template_labelled, 0::BIGINT AS template_blocked, NULL::DOUBLE AS template_share FROM y WHERE rule IS NOT NULL "
+        f"UNION ALL SELECT page_id, host, path, rule, CASE WHEN share >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END, template, tl, tb, share FROM y JOIN z USING (host, {', '.join(segments)}) WHERE rule IS NULL"
     )
