@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows and bytes that one Arrow batch may hold; long texts make batches short.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -107,6 +107,8 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
                 yield out
             elif out is not None:
                 yield from out
+            del out, batch
+        pa.default_memory_pool().release_unused()  # the worker lives on and runs other tasks
 
     return df.mapInArrow(run, schema)
 

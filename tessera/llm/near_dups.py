@@ -106,7 +106,7 @@ def labelled(s: np.ndarray) -> np.ndarray:
 def sketches(s: np.ndarray) -> np.ndarray:
     """The Order MinHash sketches of labelled shingles."""
     out = np.empty(SKETCHES, dtype=np.uint64)
-    step = SKETCHES if len(s) <= 20_000 else 1
+    step = min(SKETCHES, max(1, 60_000 // len(s)))  # small working sets
     for k in range(0, SKETCHES, step):
         seeds = SEEDS[k : k + step]
         h = mixed(s[None, :] ^ seeds[:, None])
