@@ -1,22 +1,25 @@
 """Language-model scoring (operator 9): a hashed maximum-entropy model.
 
-A token's probability is that of its class times that of the token within the
-class; both are softmaxes over hashed features: the last word, the last two,
-and the word before the last (a skip), all by the hashes of the words themselves.
-The CLASSES * WIDTH most frequent words have places in the classes. All others
-share one place and are told apart below it by a tree: each level is a softmax
-over WIDTH branches, by the same features, along the bits of the word's hash. It
-has as many levels as leave LEAF words in a leaf in the mean, so it grows with the
-distinct words; within a leaf words have their smoothed unigram probability.
+A token's probability is that of its class, times those of the class within it
+and of the token within that: DEPTH softmaxes of WIDTH branches, each over hashed
+features: the last word, the last two, and the word before the last (a skip),
+all by the hashes of the words themselves. The WIDTH ** DEPTH - 1 most frequent
+words have places, in the order of their counts. All others share one place and
+are told apart below it by a tree of the same softmaxes along the bits of the
+word's hash. It has as many levels as leave LEAF words in a leaf in the mean, so
+it grows with the distinct words; within a leaf words have their smoothed
+unigram probability.
 
 Counting covers all training texts (partial counts in the workers, then one
-shuffle by word). The weights are trained by distributed gradient updates: in
-each round every task starts from the shared weights, takes adaptive gradient
-steps over its texts, and returns its weights as half-precision blocks, which
-are averaged by block. A round takes every ROUNDS-th position of the training
-texts, another offset in each, so the rounds together take every position once.
-The rows of the weights grow with the square root of the distinct
-words, since every task sends them all; only they are sent.
+shuffle by word). The weights are trained by distributed gradient updates. The
+training texts are dealt by a hash into shards of a fixed number of tokens, in
+the order of that hash, whatever the partitions or cores; in each round every
+shard starts from the shared weights, takes adaptive gradient steps, and returns
+its weights as half-precision blocks, whose exact sums give the mean by block. A
+round takes every ROUNDS-th position of the training texts, another offset in
+each, so the rounds together take every position once. The rows of the weights
+grow with the square root of the distinct words and the tokens of a shard with
+the weights, so what is sent stays in proportion.
 
 Scoring runs in numpy batches. The counts of the TOP most frequent words go to
 the workers (a fixed bound); the other words of each text are counted there and
@@ -45,13 +48,16 @@ from .base import fold_of, keep, tune
 
 #: The end token; no word holds white space.
 END = b"\n"
-CLASSES, WIDTH = 64, 64
-#: Least bits of a word feature's row (a class feature's has one less), and rows for the square root of the distinct words.
-BITS, ROWS = 14, 16
-#: Distinct words in a leaf of the tree of rare words, in the mean; bits of a branch; the hash before a text.
-LEAF, BRANCH, START = 1024, 6, 0x1B873593CC9E2D51
+#: Branches of a softmax (and their bits), and softmaxes above a placed word.
+WIDTH, BRANCH, DEPTH = 16, 4, 3
+#: Least bits of a feature's row, and rows for the square root of the distinct words.
+BITS, ROWS = 16, 64
+#: Distinct words in a leaf of the tree of rare words, in the mean; the hash before a text.
+LEAF, START = 1024, 0x1B873593CC9E2D51
 TOP = 200_000
 ROUNDS, STEP, MINIBATCH = 2, 0.15, 4096
+#: Training tokens of a shard for each weight.
+SHARD = 2
 #: Blocks in which weights are sent and averaged.
 BLOCKS = 64
 #: Words a worker counts before it passes the counts on.
@@ -101,35 +107,36 @@ def leaves(vocabulary: DataFrame, common: list[bytes], counts: np.ndarray, types
     return mass
 
 
+def biases(mass: np.ndarray) -> list[np.ndarray]:
+    """Of each level of a tree over ``mass``, the logs of the shares of the branches of its nodes; the root first."""
+    found = []
+    while len(mass) > 1:
+        grid = mass.reshape(-1, WIDTH)
+        mass = grid.sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found.insert(0, np.where(grid > 0, np.log(grid / mass[:, None]), -1e9).astype(np.float32))
+    return found
+
+
 class Model:
     """Vocabulary, classes and weights."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, types: int, mass: np.ndarray | None = None):
         self.words, self.tokens, self.types = words, tokens, types
         self.log_counts = np.log10(counts + 1.0)
-        self.size = min(len(words), CLASSES * WIDTH - 1)  # places of words; the next one is for all others
-        placed = np.append(counts[: self.size], max(0, tokens - counts[: self.size].sum())).astype(np.float64) + 1
-        self.n_classes = self.size // WIDTH + 1
-        grid = np.zeros(self.n_classes * WIDTH)
-        grid[: len(placed)] = placed
-        grid = grid.reshape(-1, WIDTH)
-        with np.errstate(divide="ignore"):
-            self.word_bias = np.maximum(np.log(grid / grid.sum(1, keepdims=True)), -60).astype(np.float32)
-            self.class_bias = np.log(grid.sum(1) / grid.sum()).astype(np.float32)
-        self.word_bias[grid == 0] = -1e9
+        self.size = min(len(words), WIDTH**DEPTH - 1)  # places of words; the next one is for all others
+        placed = np.zeros(WIDTH**DEPTH)
+        placed[: self.size] = counts[: self.size] + 1.0
+        placed[self.size] = max(0, tokens - counts[: self.size].sum()) + 1.0
+        self.place_bias = biases(placed)
         if mass is None:
             mass = np.array([max(0, tokens - counts[: self.size].sum()) + types - self.size + 1.0])
-        #: log10 of the mass of each leaf, and of each level of the tree the shares of the branches of its nodes
-        self.leaf_logs, self.branch_bias = np.log10(mass), []
-        while len(mass) > 1:
-            grid = mass.reshape(-1, WIDTH)
-            mass = grid.sum(1)
-            self.branch_bias.insert(0, np.log(grid / mass[:, None]).astype(np.float32))
+        #: log10 of the mass of each leaf of rare words
+        self.leaf_logs, self.branch_bias = np.log10(mass), biases(mass)
         self.levels = len(self.branch_bias)
         self.hashes = np.fromiter(map(hash_of, words), dtype=np.uint64, count=len(words))
         self.bits = max(BITS, int(np.ceil(np.log2(ROWS * np.sqrt(max(1, types))))))
-        self.class_w = np.zeros((1 << (self.bits - 1), self.n_classes), dtype=np.float32)
-        self.word_w = np.zeros((1 << self.bits, WIDTH), dtype=np.float32)
+        self.weights = np.zeros((1 << self.bits, WIDTH), dtype=np.float32)
 
     def lookup(self) -> dict[bytes, int]:
         return dict(zip(self.words, range(len(self.words))))
@@ -140,50 +147,43 @@ class Model:
         h = np.stack([a * np.uint64(0x9E3779B97F4A7C15), (a * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (b * np.uint64(0x165667B19E3779F9)), b * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x5851F42D4C957F2D)])
         return h ^ (h >> np.uint64(29))
 
-    def row_of(self, x: np.ndarray, bits: int) -> np.ndarray:
-        return (x >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)  # 16 bits sort by radix
-
-    def class_rows(self, h: np.ndarray) -> np.ndarray:
-        return self.row_of(h * np.uint64(0xFF51AFD7ED558CCD), self.bits - 1)
-
-    def word_rows(self, h: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """``classes`` are numbers of classes or of the tree's nodes."""
-        return self.row_of((h + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xC4CEB9FE1A85EC53), self.bits)
-
-    @staticmethod
-    def softmax(w: np.ndarray, rows: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """exp of the sums of weight rows and bias, their totals, and the log-probabilities of the entries ``at``."""
-        z = np.take(w, rows[0], axis=0)
-        z += np.take(w, rows[1], axis=0)
-        z += np.take(w, rows[2], axis=0)
+    def rows(self, h: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Rows of the weights for each feature at some nodes (numbers that differ between all softmaxes)."""
+        x = (h + (nodes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xC4CEB9FE1A85EC53)
+        return (x >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.uint32)  # 16 bits sort by radix
+
+    def softmax(self, h: np.ndarray, nodes: np.ndarray, bias: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, exp of the sums of weights and bias, their totals, and the log-probabilities of the entries ``own``."""
+        rows = self.rows(h, nodes)
+        z = np.take(self.weights, rows[0], axis=0)
+        z += np.take(self.weights, rows[1], axis=0)
+        z += np.take(self.weights, rows[2], axis=0)
         z += bias
         np.minimum(z, 60, out=z)
-        own = z[np.arange(len(z)), at]
+        logs = z[np.arange(len(z)), own]
         np.exp(z, out=z)
-        total = z @ np.ones(z.shape[1], dtype=np.float32)
-        return z, total, own - np.log(total)
+        total = z @ np.ones(WIDTH, dtype=np.float32)
+        return rows, z, total, logs - np.log(total)
 
     def forward(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray | None = None):
-        """Factors (weights' number, rows, exponentials, totals, own entries), and natural log-probabilities of places ``m`` after ``m1`` and ``m2``.
+        """Factors (rows, exponentials, totals, own entries), and natural log-probabilities of places ``m`` after ``m1`` and ``m2``.
 
         With ``leaf`` those of the leaves of rare words are included.
         """
-        h, classes = self.features(m1, m2), m // WIDTH
-        rows_c, rows_w = self.class_rows(h), self.word_rows(h, classes)
-        ec, tc, logs = self.softmax(self.class_w, rows_c, self.class_bias, classes)
-        ew, tw, lw = self.softmax(self.word_w, rows_w, np.take(self.word_bias, classes, axis=0), m % WIDTH)
-        logs = logs + lw
-        factors = [(0, rows_c, ec, tc, classes), (1, rows_w, ew, tw, m % WIDTH)]
-        at = np.flatnonzero(m == self.size) if leaf is not None and self.levels else []
+        h, logs, factors = self.features(m1, m2), np.zeros(len(m)), []
+
+        def descend(at, h: np.ndarray, path: np.ndarray, levels: list[np.ndarray], first: int) -> None:
+            for k, bias in enumerate(levels):
+                here = path >> (BRANCH * (len(levels) - k - 1))
+                node, own = here >> BRANCH, here & (WIDTH - 1)
+                rows, e, total, found = self.softmax(h, node + (first + (k << 32)), np.take(bias, node, axis=0), own)
+                logs[at] += found
+                factors.append((rows, e, total, own))
+
+        descend(slice(None), h, m, self.place_bias, 0)
+        at = np.flatnonzero(m == self.size) if leaf is not None and self.levels else ()
         if len(at):
-            h, leaf = h[:, at], leaf[at]
-            for k, bias in enumerate(self.branch_bias):
-                path = leaf >> (BRANCH * (self.levels - k - 1))
-                node, own = path >> BRANCH, path & (WIDTH - 1)
-                rows = self.word_rows(h, node + ((k + 1) << 32))
-                e, t, lk = self.softmax(self.word_w, rows, np.take(bias, node, axis=0), own)
-                logs[at] += lk
-                factors.append((1, rows, e, t, own))
+            descend(at, h[:, at], leaf[at], self.branch_bias, 1 << 40)
         return factors, logs
 
     def log_probs(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
@@ -193,21 +193,20 @@ class Model:
             out[s:e] = self.forward(m[s:e], m1[s:e], m2[s:e], None if leaf is None else leaf[s:e])[1]
         return out
 
-    def step(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> None:
-        """One adaptive gradient step."""
-        for k, rows, p, total, own in self.forward(m, m1, m2, leaf)[0]:
-            w, seen, here = (self.class_w, self.word_w)[k], sums[k], np.arange(len(own))
+    def step(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray, seen: np.ndarray) -> None:
+        """One adaptive gradient step; ``seen`` has the sum of squared gradients of each row."""
+        w = self.weights
+        for rows, p, total, own in self.forward(m, m1, m2, leaf)[0]:
             p *= (1 / total)[:, None]
-            p[here, own] -= 1
+            p[np.arange(len(own)), own] -= 1
             for r in rows:
                 order = np.argsort(r, kind="stable")  # a radix sort if rows are 16-bit
                 ordered = r[order]
                 first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
                 # two neighbouring numbers are added as one complex number, which takes half the time
-                pairs = np.complex64 if p.shape[1] % 2 == 0 else np.float32
-                g = np.add.reduceat(np.take(p, order, axis=0).view(pairs), first, axis=0).view(np.float32)
+                g = np.add.reduceat(np.take(p, order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
                 at = ordered[first]
-                seen[at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+                seen[at] += np.einsum("ij,ij->i", g, g) / WIDTH
                 g *= (STEP / np.sqrt(seen[at] + 1e-3))[:, None]
                 w[at] -= g
 
@@ -232,19 +231,23 @@ def places(model: Model, lookup: dict[bytes, int], texts: list[str | None]) -> t
     return words, sizes, first, rank, m, m1, m2, leaf
 
 
-def train_round(docs: DataFrame, model: Model, phase: int) -> None:
-    """Average the weights that all tasks reach from the present ones, and put them into ``model``."""
-    spark = docs.sparkSession
+def train_round(training: DataFrame, model: Model, phase: int) -> None:
+    """Average the weights that all shards reach from the present ones, and put them into ``model``.
+
+    ``training`` has text, and draw, a hash of the row.
+    """
+    spark = training.sparkSession
+    shards = max(1, -(-model.tokens // (SHARD * model.weights.size)))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, any_row = shared.value, False
-        own = object.__new__(Model)
-        own.__dict__.update(base.__dict__, class_w=base.class_w.copy(), word_w=base.word_w.copy())
-        sums, lookup = (np.zeros(len(own.class_w), dtype=np.float32), np.zeros(len(own.word_w), dtype=np.float32)), base.lookup()
+        own, seen, lookup = None, None, None
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            at = 0
+            texts, at = batch.column(0).to_pylist(), 0
+            if texts and own is None:
+                own = object.__new__(Model)
+                own.__dict__.update(shared.value.__dict__, weights=shared.value.weights.copy())
+                seen, lookup = np.zeros(len(own.weights), dtype=np.float32), own.lookup()
             while at < len(texts):  # about 2 MB of text at a time
                 end, size = at, 0
                 while end < len(texts) and size < 2 << 20:
@@ -253,31 +256,26 @@ def train_round(docs: DataFrame, model: Model, phase: int) -> None:
                 _, _, _, _, *m = places(own, lookup, texts[at:end])
                 m, m1, m2, leaf = (x[phase::ROUNDS] for x in m)
                 for s in range(0, len(m), MINIBATCH):
-                    any_row = True
-                    own.step(*(x[s : s + MINIBATCH] for x in (m, m1, m2, leaf)), sums)
+                    own.step(*(x[s : s + MINIBATCH] for x in (m, m1, m2, leaf)), seen)
                 at = end
-        if any_row:
-            flat = [x.reshape(BLOCKS, -1).astype(np.float16) for x in (own.class_w, own.word_w)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), type=pa.int32()), pa.array([a.tobytes() + b.tobytes() for a, b in zip(*flat)], type=pa.binary())], names=["block", "weights"])
+        if own is not None:
+            flat = own.weights.reshape(BLOCKS, -1).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), type=pa.int32()), pa.array([x.tobytes() for x in flat], type=pa.binary())], names=["block", "weights"])
 
     def mean(block: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = None, 0
         for part in parts:
             for raw in part["weights"]:
-                x = np.frombuffer(raw, dtype=np.float16).astype(np.float32)
+                x = np.frombuffer(raw, dtype=np.float16).astype(np.float64)  # their sums are exact, in any order
                 total = x if total is None else total + x
                 n += 1
         yield pd.DataFrame({"block": [block[0]], "weights": [(total / n).astype(np.float32).tobytes()]})
 
-    # a task's weights are as large as those of any other: as many tasks as there are cores, twice
-    tasks = docs.rdd.getNumPartitions()
-    fewer = docs.select("text").coalesce(max(2 * spark.sparkContext.defaultParallelism, tasks // 16))
-    sent = fewer.mapInArrow(run, "block int, weights binary")
+    shard = F.pmod("draw", F.lit(shards)).cast("int")
+    dealt = training.repartitionById(shards, shard).sortWithinPartitions("draw")
+    sent = dealt.select("text").mapInArrow(run, "block int, weights binary")
     for row in sent.groupBy("block").applyInPandas(mean, "block int, weights binary").collect():
-        x = np.frombuffer(row["weights"], dtype=np.float32)
-        cut = model.class_w.size // BLOCKS
-        model.class_w.reshape(BLOCKS, -1)[row["block"]] = x[:cut]
-        model.word_w.reshape(BLOCKS, -1)[row["block"]] = x[cut:]
+        model.weights.reshape(BLOCKS, -1)[row["block"]] = np.frombuffer(row["weights"], dtype=np.float32)
     shared.destroy()  # its copies are on the disks of the driver and of each executor
 
 
@@ -287,12 +285,12 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     tune(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     fold = fold_of(F.col("doc_id"), folds)
-    training = docs.where(fold != held_out).select("text")
+    training = docs.where(fold != held_out).select("text", F.xxhash64("doc_id", "text").alias("draw"))
     vocabulary = keep(count_words(training), "lm-words")
     facts = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types")).first()
     top = vocabulary.orderBy(F.desc("n"), "word").limit(TOP).toArrow()
     words, counts = top["word"].to_pylist(), top["n"].to_numpy().astype(np.int64)
-    placed = CLASSES * WIDTH - 1
+    placed = WIDTH**DEPTH - 1
     model = Model(words, counts, int(facts["tokens"]), int(facts["types"]), leaves(vocabulary, words[:placed], counts[:placed], int(facts["types"])))
     del top
     if model.tokens:

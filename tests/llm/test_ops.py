@@ -321,8 +321,9 @@ def test_language_model_learns_from_every_position(spark):
 
 
 def test_language_model_tells_rare_words_apart(spark, monkeypatch):
-    """With 63 places, most words are beyond the classes; each at an odd place follows from the one before."""
-    monkeypatch.setattr(lm, "CLASSES", 1)
+    """With 15 places, most words are beyond the classes; each at an odd place follows from the one before."""
+    monkeypatch.setattr(lm, "DEPTH", 1)
+    monkeypatch.setattr(lm, "LEAF", 16)
     rng = np.random.default_rng(10)
     texts = [" ".join(w for k in rng.integers(0, 600, 20) for w in (f"even{k}", f"odd{k}")) for _ in range(8000)]
     rows = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
@@ -332,14 +333,51 @@ def test_language_model_tells_rare_words_apart(spark, monkeypatch):
 def test_language_model_has_a_distribution_over_rare_words(spark):
     vocabulary = spark.createDataFrame([(f"w{i}".encode(), 1600 - i) for i in range(1600)], "word binary, n long")
     mass = lm.leaves(vocabulary, [b"w0", b"w1"], np.array([1600, 1599]), 1600)
-    want = np.ones(64)
+    want = np.ones(16)
     for i in range(2, 1600):
-        want[lm.hash_of(f"w{i}".encode()) >> 58] += 1601 - i
+        want[lm.hash_of(f"w{i}".encode()) >> 60] += 1601 - i
     assert mass.tolist() == want.tolist()
     model = lm.Model([b"w0", b"w1"], np.array([1600, 1599]), 1_280_800, 1600, mass)
-    model.word_w += np.random.default_rng(3).normal(size=model.word_w.shape).astype(np.float32)
-    m, leaf = np.append([0, 1], np.full(64, 2)), np.append([0, 0], np.arange(64))
-    assert np.exp(model.log_probs(m, np.full(66, 7), np.full(66, 8), leaf)).sum() == pytest.approx(1, rel=1e-4)
+    model.weights += np.random.default_rng(3).normal(size=model.weights.shape).astype(np.float32)
+    m, leaf = np.append([0, 1], np.full(16, 2)), np.append([0, 0], np.arange(16))
+    assert np.exp(model.log_probs(m, np.full(18, 7), np.full(18, 8), leaf)).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_language_model_does_not_depend_on_partitions(spark, documents):
+    few = {r.doc_id: r.score for r in lm.score(documents.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in lm.score(documents.repartition(13)).collect()}
+    assert few == pytest.approx(many, rel=1e-5)
+
+
+def test_language_model_step_against_brute_force():
+    """Scores and one gradient step, token by token over plain lists."""
+    words = [f"w{i}".encode() for i in range(40)]
+    model = lm.Model(words, np.arange(80, 40, -1), 3000, 60, np.full(16, 20.0))
+    rng = np.random.default_rng(4)
+    model.weights += rng.normal(0, 0.3, model.weights.shape).astype(np.float32)
+    m, leaf = rng.integers(0, 41, 30), rng.integers(0, 16, 30)
+    m1, m2 = (rng.integers(0, 1 << 60, 30).astype(np.uint64) for _ in range(2))
+    before, changes, squares, want = model.weights.astype(float), {}, {}, []
+    for i in range(30):
+        h, total = model.features(m1[i : i + 1], m2[i : i + 1]), 0.0
+        path = [(model.place_bias[k], m[i] >> (4 * (3 - k)), m[i] >> (4 * (2 - k)) & 15, k << 32) for k in range(3)]
+        path += [(model.branch_bias[0], 0, leaf[i], 1 << 40)] if m[i] == 40 else []
+        for bias, node, own, first in path:
+            at = [int(r) for r in model.rows(h, np.array([node + first])).ravel()]
+            z = bias[node].astype(float) + sum(before[r] for r in at)
+            p = np.exp(z) / np.exp(z).sum()
+            total += np.log(p[own])
+            for f, r in enumerate(at):
+                changes.setdefault((first, f, r), np.zeros(16))
+                changes[first, f, r] += p - np.eye(16)[own]
+        want.append(total)
+    assert model.log_probs(m, m1, m2, leaf) == pytest.approx(want, rel=1e-4)
+    seen = np.zeros(len(model.weights), dtype=np.float32)
+    model.step(m, m1, m2, leaf, seen)
+    for (_, _, r), g in changes.items():
+        squares[r] = squares.get(r, 0) + (g * g).mean()
+        before[r] -= g * lm.STEP / np.sqrt(squares[r] + 1e-3)
+    assert np.abs(before - model.weights).max() < 1e-3
 
 
 def test_language_model_is_a_distribution_and_takes_hard_input(spark, hard):
