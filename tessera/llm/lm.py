@@ -51,11 +51,11 @@ END = b"\n"
 #: Branches of a softmax (and their bits), and softmaxes above a placed word.
 WIDTH, BRANCH, DEPTH = 16, 4, 3
 #: Least bits of a feature's row, and rows for the square root of the distinct words.
-BITS, ROWS = 16, 64
+BITS, ROWS = 16, 32
 #: Distinct words in a leaf of the tree of rare words, in the mean; the hash before a text.
 LEAF, START = 1024, 0x1B873593CC9E2D51
 TOP = 200_000
-ROUNDS, STEP, MINIBATCH = 2, 0.15, 4096
+ROUNDS, STEP, MINIBATCH = 1, 0.15, 4096
 #: Training tokens of a shard for each weight.
 SHARD = 2
 #: Blocks in which weights are sent and averaged.
@@ -195,20 +195,51 @@ class Model:
 
     def step(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray, seen: np.ndarray) -> None:
         """One adaptive gradient step; ``seen`` has the sum of squared gradients of each row."""
-        w = self.weights
+        w, whole = self.weights, self.weights.view(ROW).ravel()
         for rows, p, total, own in self.forward(m, m1, m2, leaf)[0]:
             p *= (1 / total)[:, None]
             p[np.arange(len(own)), own] -= 1
             for r in rows:
-                order = np.argsort(r, kind="stable")  # a radix sort if rows are 16-bit
-                ordered = r[order]
-                first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-                # two neighbouring numbers are added as one complex number, which takes half the time
-                g = np.add.reduceat(np.take(p, order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
-                at = ordered[first]
-                seen[at] += np.einsum("ij,ij->i", g, g) / WIDTH
-                g *= (STEP / np.sqrt(seen[at] + 1e-3))[:, None]
-                w[at] -= g
+                at, g = summed(r, p)
+                power = np.einsum("ij,ij->i", g, g)
+                power /= WIDTH
+                power += np.take(seen, at)
+                seen[at] = power
+                power += 1e-3
+                g *= (STEP / np.sqrt(power))[:, None]
+                new = np.take(w, at, axis=0)
+                new -= g
+                whole[at] = new.view(ROW).ravel()  # whole rows are copied much faster than rows of numbers
+
+
+#: A row of the weights as one value.
+ROW = np.dtype((np.void, 4 * WIDTH))
+
+
+def by_row(r: np.ndarray) -> np.ndarray:
+    """A stable order of row numbers; numbers of 16 bits sort by radix, longer ones in two such passes."""
+    if r.dtype == np.uint16:
+        return np.argsort(r, kind="stable")
+    order = np.argsort(r.astype(np.uint16), kind="stable")
+    return order[np.argsort((r >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
+
+
+def summed(r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different row numbers of ``r``, and the sum of the rows of ``p`` for each."""
+    order = by_row(r)
+    ordered = r[order]
+    new = np.empty(len(r), dtype=bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    size = np.diff(first, append=len(r))
+    g = np.take(p, order[first], axis=0)
+    many = np.flatnonzero(size > 1)
+    if len(many):  # most numbers occur once: only the others are added up
+        rest = np.take(p, order[np.repeat(size > 1, size)], axis=0)
+        # two neighbouring numbers are added as one complex number, which takes half the time
+        g[many] = np.add.reduceat(rest.view(np.complex64), np.cumsum(size[many]) - size[many], axis=0).view(np.float32)
+    return ordered[first], g
 
 
 def places(model: Model, lookup: dict[bytes, int], texts: list[str | None]) -> tuple:
@@ -217,13 +248,14 @@ def places(model: Model, lookup: dict[bytes, int], texts: list[str | None]) -> t
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     flat = list(chain.from_iterable(words))
     rank = np.fromiter(map(lookup.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-    m = np.where((rank < 0) | (rank >= model.size), model.size, rank)
-    hashes = model.hashes[np.maximum(rank, 0)] if len(model.hashes) else np.zeros(len(rank), dtype=np.uint64)
+    m = np.minimum(rank.view(np.uint64), np.uint64(model.size)).view(np.int64)  # -1 is the largest number without sign
+    hashes = np.take(model.hashes, rank, mode="clip") if len(model.hashes) else np.zeros(len(rank), dtype=np.uint64)
     unlisted = np.flatnonzero(rank < 0)
     hashes[unlisted] = np.fromiter((hash_of(flat[i]) for i in unlisted.tolist()), dtype=np.uint64, count=len(unlisted))
-    leaf = (hashes >> np.uint64(64 - BRANCH * model.levels)).astype(np.int64) if model.levels else np.zeros(len(rank), dtype=np.int64)
+    leaf = (hashes >> np.uint64(64 - BRANCH * model.levels)).view(np.int64) if model.levels else np.zeros(len(rank), dtype=np.int64)
     first = np.cumsum(sizes) - sizes
-    m1, m2 = np.roll(hashes, 1), np.roll(hashes, 2)
+    m1, m2 = np.empty_like(hashes), np.empty_like(hashes)
+    m1[1:], m2[2:] = hashes[:-1], hashes[:-2]
     m1[first] = START
     m2[first] = START
     second = (first + 1)[sizes > 1]
