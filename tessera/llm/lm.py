@@ -55,7 +55,7 @@ BITS, ROWS = 16, 32
 #: Distinct words in a leaf of the tree of rare words, in the mean; the hash before a text.
 LEAF, START = 1024, 0x1B873593CC9E2D51
 TOP = 200_000
-ROUNDS, STEP, MINIBATCH = 1, 0.15, 4096
+ROUNDS, STEP, MINIBATCH = 1, 0.15, 8192
 #: Training tokens of a shard for each weight.
 SHARD = 2
 #: Blocks in which weights are sent and averaged.
@@ -188,8 +188,8 @@ class Model:
 
     def log_probs(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
         out = np.empty(len(m), dtype=np.float64)
-        for s in range(0, len(m), MINIBATCH):
-            e = s + MINIBATCH
+        for s in range(0, len(m), 4096):  # what fits the caches
+            e = s + 4096
             out[s:e] = self.forward(m[s:e], m1[s:e], m2[s:e], None if leaf is None else leaf[s:e])[1]
         return out
 
