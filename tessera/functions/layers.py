@@ -60,22 +60,92 @@ FRAMEWORK_IMPORTS = {
     "flask": ("flask", "flask_restful", "flask_login", "flask_sqlalchemy"),
     "fastapi": ("fastapi", "pydantic", "starlette"),
 }
+#: Layer by base class, and by decorator, of a framework.
 DETECTOR_BASES = {
     "django": {
-        "Entity": "models.Model Model", "View": "View TemplateView ListView DetailView CreateView UpdateView DeleteView FormView APIView ViewSet ModelViewSet GenericViewSet ReadOnlyModelViewSet GenericAPIView",
-        "Serializer": "Serializer ModelSerializer HyperlinkedModelSerializer", "Form": "Form ModelForm", "Admin": "ModelAdmin TabularInline StackedInline", "Middleware": "MiddlewareMixin",
+        "models.Model": "Entity",
+        "Model": "Entity",
+        "View": "View",
+        "TemplateView": "View",
+        "ListView": "View",
+        "DetailView": "View",
+        "CreateView": "View",
+        "UpdateView": "View",
+        "DeleteView": "View",
+        "FormView": "View",
+        "APIView": "View",
+        "ViewSet": "View",
+        "ModelViewSet": "View",
+        "GenericViewSet": "View",
+        "ReadOnlyModelViewSet": "View",
+        "GenericAPIView": "View",
+        "Serializer": "Serializer",
+        "ModelSerializer": "Serializer",
+        "HyperlinkedModelSerializer": "Serializer",
+        "Form": "Form",
+        "ModelForm": "Form",
+        "ModelAdmin": "Admin",
+        "TabularInline": "Admin",
+        "StackedInline": "Admin",
+        "MiddlewareMixin": "Middleware",
     },
-    "flask": {"Controller": "Resource MethodView", "Form": "FlaskForm", "Entity": "db.Model"},
-    "fastapi": {"Schema": "BaseModel", "Config": "BaseSettings"},
-}
+    "flask": {
+        "Resource": "Controller",
+        "MethodView": "Controller",
+        "FlaskForm": "Form",
+        "db.Model": "Entity",
+    },
+    "fastapi": {
+        "BaseModel": "Schema",
+        "BaseSettings": "Config",
+    },
+}
 DETECTOR_DECORATORS = {
     "django": {
-        "View": "api_view action permission_classes authentication_classes login_required permission_required csrf_exempt require_http_methods require_GET require_POST",
-        "Signal": "receiver", "Admin": "admin.register register", "Task": "shared_task task",
+        "api_view": "View",
+        "action": "View",
+        "permission_classes": "View",
+        "authentication_classes": "View",
+        "login_required": "View",
+        "permission_required": "View",
+        "csrf_exempt": "View",
+        "require_http_methods": "View",
+        "require_GET": "View",
+        "require_POST": "View",
+        "receiver": "Signal",
+        "admin.register": "Admin",
+        "register": "Admin",
+        "shared_task": "Task",
+        "task": "Task",
     },
-    "flask": {"Controller": "route get post put delete patch errorhandler", "Middleware": "before_request after_request before_first_request", "View": "login_required"},
-    "fastapi": {"Controller": "get post put delete patch options head api_route websocket", "Middleware": "on_event middleware", "Service": "Depends"},
-}
+    "flask": {
+        "route": "Controller",
+        "get": "Controller",
+        "post": "Controller",
+        "put": "Controller",
+        "delete": "Controller",
+        "patch": "Controller",
+        "errorhandler": "Controller",
+        "before_request": "Middleware",
+        "after_request": "Middleware",
+        "before_first_request": "Middleware",
+        "login_required": "View",
+    },
+    "fastapi": {
+        "get": "Controller",
+        "post": "Controller",
+        "put": "Controller",
+        "delete": "Controller",
+        "patch": "Controller",
+        "options": "Controller",
+        "head": "Controller",
+        "api_route": "Controller",
+        "websocket": "Controller",
+        "on_event": "Middleware",
+        "middleware": "Middleware",
+        "Depends": "Service",
+    },
+}
 DETECTOR_NAMES = (("service", "Service"), ("repository", "Repository"), ("dao", "Repository"), ("controller", "Controller"), ("view", "View"), ("serializer", "Serializer"), ("form", "Form"), ("model", "Entity"), ("schema", "Schema"), ("middleware", "Middleware"), ("admin", "Admin"), ("config", "Config"), ("settings", "Config"), ("test", "Test"), ("util", "Util"), ("helper", "Util"))
 DETECTOR_FILES = (("models.py", "Entity"), ("views.py", "View"), ("serializers.py", "Serializer"), ("forms.py", "Form"), ("admin.py", "Admin"), ("urls.py", "Router"), ("signals.py", "Signal"), ("tasks.py", "Task"), ("middleware.py", "Middleware"), ("management/commands", "Command"), ("migrations", "Migration"), ("tests.py", "Test"), ("test_", "Test"))
 DETECTOR_FOLDERS = (("services", "Service"), ("repositories", "Repository"), ("controllers", "Controller"), ("routes", "Router"), ("endpoints", "Controller"), ("schemas", "Schema"), ("utils", "Util"), ("helpers", "Util"), ("config", "Config"), ("settings", "Config"), ("tests", "Test"))
@@ -157,7 +227,7 @@ def framework_score(modules: Column) -> Column:
 
 def _first_known(values: Column, framework: Column, tables: dict) -> Column:
     """The layer of the first value (whole or last component) that a framework's table has."""
-    flat = [(f, x, layer) for f, table in tables.items() for layer, names in table.items() for x in names.split()]
+    flat = [(f, x, layer) for f, table in tables.items() for x, layer in table.items()]
     known = F.create_map(*[F.lit(v) for f, x, layer in flat for v in (f"{f}:{x}", layer)])
     of = lambda d: F.coalesce(known[F.concat(framework, F.lit(":"), d)], known[F.concat(framework, F.lit(":"), F.element_at(F.split(d, r"\."), -1))])
     return F.get(F.array_compact(F.transform(values, of)), F.lit(0))

@@ -1,11 +1,13 @@
 """Secret detection, masking and reports.
 
-Detection stays in the JVM: each pattern's matches are extracted within the
-row, so nothing is shuffled; reports aggregate small rows.
+Detection stays in the JVM: each pattern's matches and their offsets are
+extracted within the row; only lines with a match are shuffled, by chunk and
+line number. Every occurrence is kept. Reports aggregate small rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,14 +19,48 @@ from ..functions import secrets as S
 TEST_PATH, EXAMPLE, LOWERED = r"(?i)(^|/)tests?(/|_)|test_|_test\.", r"(?i)(example|sample|dummy|placeholder|changeme|your[_-])", 0.3
 
 
-def _matches(line: Column, pattern: str) -> Column:
-    """Matches of a pattern in a line, upper and lower case alike; the group of the secret if there is one."""
-    has_group = "(" in pattern.replace(r"\(", "").replace("(RSA |DSA |EC |OPENSSH )?", "")
-    return F.regexp_extract_all(line, F.lit(f"(?i){pattern}"), F.lit(1 if has_group else 0))
+def _matches(line: Column, kind: str, name: str, confidence: float, pattern: str) -> Column:
+    """All matches of a pattern in a line, upper and lower case alike, with the offset of the secret: the pattern's group if there is one.
 
-
-def _named(kind: str, name: str, confidence: float) -> Callable[[Column], Column]:
-    return lambda m: F.struct(F.lit(kind).alias("secret_type"), F.lit(name).alias("pattern_name"), F.lit(float(confidence)).alias("confidence"), m.alias("content"))
+    The gaps between the matches and the matches' own lengths add up to the
+    offsets; the part of a match before its group is made a group too.
+    """
+    p = f"(?i){pattern}"
+    group = _group(pattern)
+    pick = lambda expression, n: F.regexp_extract_all(line, F.lit(expression), F.lit(n))
+    whole, gaps = pick(p, 0), F.split(line, p, -1)
+    if group is None:
+        found, before = whole, F.lit(None)
+    else:
+        parted = f"(?i)({pattern[:group]}){pattern[group:]}"
+        found, before = pick(parted, 2), pick(parted, 1)
+    length = lambda parts: F.length(F.concat_ws("", parts))
+
+    def at(m: Column, i: Column) -> Column:
+        start = length(F.slice(gaps, F.lit(1), i + 1)) + length(F.slice(whole, F.lit(1), i))
+        start = start if group is None else start + F.length(F.get(before, i))
+        return F.struct(F.lit(kind).alias("secret_type"), F.lit(name).alias("pattern_name"), F.lit(float(confidence)).alias("confidence"), m.alias("content"), start.cast("int").alias("start_position"))
+
+    none = F.array().cast("array<struct<secret_type:string,pattern_name:string,confidence:double,content:string,start_position:int>>")
+    return F.when(line.rlike(p), F.transform(found, at)).otherwise(none)
+
+
+def _group(pattern: str) -> int | None:
+    """Where the secret's group begins in a pattern; an optional group is none."""
+    k, in_class = 0, False
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+            k += pattern[k + 1 : k + 2] in ("]", "^")
+        elif c == "(" and pattern[k + 1 : k + 2] != "?":
+            return None if re.match(r"\((?:\\.|[^()\\])*\)[?*]", pattern[k:]) else k
+        k += 1
+    return None
 
 
 def _of_type(kind: str) -> Callable[[Column], Column]:
@@ -40,20 +76,21 @@ def detect(chunks: DataFrame, id_column: str = "chunk_id", content: str = "conte
     """
     catalogue = (*S.patterns_for(framework, env), *custom)
     lines = chunks.select(F.col(id_column).alias("chunk_id"), (F.col(path) if path else F.lit("")).alias("file_path"), F.posexplode(F.split(F.coalesce(F.col(content), F.lit("")), "\n")).alias("n", "line"))
-    found = F.flatten(F.array(*[F.transform(_matches(F.col("line"), p), _named(t, n, c)) for _, t, n, c, p in catalogue]))
+    found = F.flatten(F.array(*[_matches(F.col("line"), t, n, c, p) for _, t, n, c, p in catalogue]))
     rows = lines.select("chunk_id", "file_path", "n", "line", F.explode(found).alias("s")).select("chunk_id", "file_path", (F.col("n") + 1).alias("line_number"), "line", "s.*").where(F.col("content") != "")
     lowered = F.col("file_path").rlike(TEST_PATH) | F.col("content").rlike(EXAMPLE)
     rows = rows.withColumn("confidence", F.round(F.when(lowered, F.col("confidence") - LOWERED).otherwise(F.col("confidence")), 6)).where(F.col("confidence") >= threshold)
     for w in whitelist:
         rows = rows.where(~F.col("content").rlike(w))
-    placed = rows.withColumn("start_position", F.instr("line", F.col("content")) - 1).withColumn("end_position", F.col("start_position") + F.length("content"))
+    placed = rows.withColumn("context", F.substring("line", 1, 200)).withColumn("end_position", F.col("start_position") + F.length("content"))
     best = F.struct("start_position", "end_position", "secret_type", "pattern_name", "confidence", "content")
-    many = placed.groupBy("chunk_id", "file_path", "line_number", "line").agg(F.sort_array(F.collect_set(best)).alias("all_"))
+    # only lines with a match meet, by chunk and number
+    many = placed.groupBy("chunk_id", "file_path", "line_number").agg(F.sort_array(F.collect_set(best)).alias("all_"), F.min("context").alias("context"))
     # of matches that overlap the longest stays, then the most confident, then the left-most
     order = lambda s: F.struct(s["end_position"] - s["start_position"], s["confidence"], -s["start_position"], s["pattern_name"])
     beaten = lambda s: F.exists("all_", lambda o: (o["start_position"] < s["end_position"]) & (s["start_position"] < o["end_position"]) & (order(o) > order(s)))
-    rows = many.select("chunk_id", "file_path", "line_number", "line", F.explode(F.filter("all_", lambda s: ~beaten(s))).alias("b"))
-    return rows.select("chunk_id", "file_path", "line_number", "b.*", F.substring("line", 1, 200).alias("context"))
+    rows = many.select("chunk_id", "file_path", "line_number", "context", F.explode(F.filter("all_", lambda s: ~beaten(s))).alias("b"))
+    return rows.select("chunk_id", "file_path", "line_number", "b.*", "context")
 
 
 def mask(chunks: DataFrame, found: DataFrame, id_column: str = "chunk_id", content: str = "content") -> DataFrame:

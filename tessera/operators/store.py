@@ -1,7 +1,10 @@
 """Versioned chunk store on plain Parquet: upsert, deletes, reads.
 
-A version is a folder; a small pointer table names the present one and is
-replaced last, so readers see the old or the new store, never half of one.
+A version is a folder; the present one is named by the pointer file of the
+highest number. Pointers are empty files whose names say all, made in one step
+and never replaced, so readers see the old or the new store at any moment, and a
+writer that dies leaves the old one. Of writers that begin from the same version
+one wins and the others get an error.
 Everything goes through Hadoop's file system, so any shared store will do.
 """
 
@@ -28,7 +31,8 @@ def stored_rows(chunks: DataFrame, vector: str = "embedding", dims: int | None =
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with the same key."""
+    """``old`` with the rows of ``new`` in place of those with the same key; of rows of ``new`` that share a key one stays."""
+    new = new.dropDuplicates([key])
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -58,13 +62,17 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, version) of all pointers; of equal numbers the smallest name comes last, as it counts."""
+        fs, path = self._fs()
+        found = fs.globStatus(path(f"{self.path}/current-*")) or []
+        names = [f.getPath().getName().split("-", 2)[1:] for f in found]
+        return sorted(sorted(((int(n), v) for n, v in names), key=lambda x: x[1], reverse=True), key=lambda x: x[0])
+
     def version(self) -> str | None:
         """Name of the present version."""
-        fs, path = self._fs()
-        pointer = path(f"{self.path}/current")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+        found = self._pointers()
+        return found[-1][1] if found else None
 
     def read(self) -> DataFrame | None:
         """The present rows, or None before the first write."""
@@ -73,21 +81,26 @@ class Store:
 
     def write(self, rows: DataFrame) -> str:
         """Make ``rows`` the present version."""
+        found = self._pointers()
+        number = found[-1][0] + 1 if found else 1
         v = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{v}")
-        fs, path = self._fs()
-        new, pointer = path(f"{self.path}/.current-{v}"), path(f"{self.path}/current")
-        out = fs.create(new, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        fs.delete(pointer, True)
-        fs.rename(new, pointer)
+        self._point(number, v)
         return v
 
+    def _point(self, number: int, v: str) -> None:
+        """Publish version ``v`` under a number; an error if another writer has taken it."""
+        fs, path = self._fs()
+        mine = path(f"{self.path}/current-{number:012d}-{v}")
+        fs.create(mine, False).close()
+        if self._pointers()[-1] != (number, v):
+            fs.delete(mine, False)
+            raise RuntimeError(f"another writer has published version {number}")
+
     def upsert(self, rows: DataFrame) -> str:
         """Add rows, replacing those with the same key."""
         old = self.read()
-        return self.write(rows if old is None else upserted(old, rows, self.key))
+        return self.write(rows.dropDuplicates([self.key]) if old is None else upserted(old, rows, self.key))
 
     def delete_ids(self, ids: DataFrame) -> str:
         """Drop the keys of ``ids``."""
