@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions import layers
 from ..schemas import PARSED
 
 LEAST, MOST, OVERLAP = 50, 500, 20
@@ -85,15 +87,51 @@ def arguments_of(args: ast.arguments) -> list[str]:
     return plain + [form.format(a.arg) for a, form in more if a]
 
 
-def python_function(path: str, node: ast.FunctionDef | ast.AsyncFunctionDef, lines: list[str], owner: str | None, least: int) -> tuple | None:
+def path_layer(path: str) -> str:
+    """Layer of a Python file, as :func:`tessera.functions.layers.python_path_layer`."""
+    low = path.replace("\\", "/").lower()
+    name = low.rsplit("/", 1)[-1]
+    stem = name.rsplit(".", 1)[0] if "." in name[1:] else name
+    for layer, parts, stems, starts, ends in layers.PYTHON_PATHS:
+        if any(x in low for x in parts) or stem in stems or stem.startswith(tuple(starts)) or stem.endswith(tuple(ends)):
+            return layer
+    return "Unknown"
+
+
+def framework_of(modules: set[str]) -> str | None:
+    """As :func:`tessera.functions.layers.framework_from_imports`."""
+    known = (("django", {"django", "rest_framework"}), ("flask", {"flask"}), ("fastapi", {"fastapi"}))
+    return next((name for name, marks in known if marks & modules), None)
+
+
+def class_layer(name: str, bases: list[str], decorators: list[str], framework: str | None, file_layer: str) -> str:
+    """As :func:`tessera.functions.layers.python_class_layer`; a dotted base counts by its last part too."""
+    low, given = name.lower(), {x for b in bases for x in (b.lower(), b.lower().rsplit(".", 1)[-1])}
+    for layer, names in layers.CLASS_BASES.get(framework, ()):
+        if given & set(names):
+            return layer
+    if framework == "django" and "middleware" in low:
+        return "Middleware"
+    if any("test" in d.lower() for d in decorators):
+        return "Test"
+    return next((layer for layer, parts in layers.CLASS_NAMES if any(x in low for x in parts)), file_layer)
+
+
+def function_layer(decorators: list[str], framework: str | None, parent: str) -> str:
+    """As :func:`tessera.functions.layers.python_function_layer`."""
+    given = {x for d in decorators for x in (d.lower(), d.lower().rsplit(".", 1)[-1])}
+    return next((layer for layer, names in layers.FUNCTION_DECORATORS.get(framework, ()) if given & set(names)), parent)
+
+
+def python_function(path: str, node: ast.FunctionDef | ast.AsyncFunctionDef, lines: list[str], owner: str | None, least: int, framework: str | None = None, parent: str = "Unknown") -> tuple | None:
     """A function's chunk, if it is more than a line or two."""
     start = min([node.lineno, *(d.lineno for d in node.decorator_list)])
     content = "\n".join(lines[start - 1 : node.end_lineno])
     if node.end_lineno - start < 2 or len(content) // 4 < least:
         return None
-    name = node.name
+    name, decorators = node.name, [dotted(d) for d in node.decorator_list]
     dunder = name.startswith("__") and name.endswith("__")
-    return row(path, "python", start, node.end_lineno, content, name, owner, type="method" if owner else "function", decorators=[dotted(d) for d in node.decorator_list], arguments=arguments_of(node.args), returns=dotted(node.returns) if node.returns else None, docstring=(ast.get_docstring(node) or "")[:200], is_async=isinstance(node, ast.AsyncFunctionDef), is_private=name.startswith("_") and not dunder, is_dunder=dunder)
+    return row(path, "python", start, node.end_lineno, content, name, owner, function_layer(decorators, framework, parent), type="method" if owner else "function", framework=framework, decorators=decorators, arguments=arguments_of(node.args), returns=dotted(node.returns) if node.returns else None, docstring=(ast.get_docstring(node) or "")[:200], is_async=isinstance(node, ast.AsyncFunctionDef), is_private=name.startswith("_") and not dunder, is_dunder=dunder)
 
 
 def python_chunks(path: str, text: str, least: int = 10) -> list[tuple]:
@@ -103,33 +141,51 @@ def python_chunks(path: str, text: str, least: int = 10) -> list[tuple]:
     except (SyntaxError, ValueError, RecursionError):
         return python_by_indent(path, text) or lines_of(path, text, "python")
     lines, out = text.split("\n"), []
-    modules, _ = imports_of(tree)
+    modules, names = imports_of(tree)
+    framework, of_file = framework_of(modules), path_layer(path)
+    froms = [f"{m}:{'|'.join(sorted(x))}" for m, x in sorted(names.items())]
     for node in tree.body:
         if isinstance(node, ast.ClassDef):
             start = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            out.append(row(path, "python", start, node.end_lineno, "\n".join(lines[start - 1 : node.end_lineno]), None, node.name, type="class", bases=[dotted(b) for b in node.bases], decorators=[dotted(d) for d in node.decorator_list], imports=sorted(modules), docstring=(ast.get_docstring(node) or "")[:200]))
+            bases, decorators = [dotted(b) for b in node.bases], [dotted(d) for d in node.decorator_list]
+            layer = class_layer(node.name, bases, decorators, framework, of_file)
+            out.append(row(path, "python", start, node.end_lineno, "\n".join(lines[start - 1 : node.end_lineno]), None, node.name, layer, type="class", framework=framework, bases=bases, decorators=decorators, imports=sorted(modules), from_imports=froms, docstring=(ast.get_docstring(node) or "")[:200]))
             if node.end_lineno - start > LONG_CLASS:
-                out += [c for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)) and (c := python_function(path, m, lines, node.name, least))]
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and (c := python_function(path, node, lines, None, least)):
+                out += [c for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)) and (c := python_function(path, m, lines, node.name, least, framework, layer))]
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and (c := python_function(path, node, lines, None, least, framework, of_file)):
             out.append(c)
     return out or lines_of(path, text, "python")
 
 
 def python_by_indent(path: str, text: str) -> list[tuple]:
-    """Top-level blocks of broken Python, by indentation."""
-    lines, out, n = text.split("\n"), [], 0
+    """Blocks of broken Python by indentation: classes, their methods, and functions outside of these."""
+    lines, out, owners = text.split("\n"), [], []
+    indents = [len(x) - len(x.lstrip()) if x.strip() and not x.lstrip().startswith("#") else None for x in lines]
+    # after each line the first one that is indented no deeper; found from the end with a stack
+    ends, stack = [len(lines)] * len(lines), []
+    for n in range(len(lines) - 1, -1, -1):
+        if indents[n] is not None:
+            while stack and indents[stack[-1]] > indents[n]:
+                stack.pop()
+            ends[n] = stack[-1] if stack else len(lines)
+            stack.append(n)
+    n = 0
     while n < len(lines):
         m = re.match(r"(\s*)(class|(?:async\s+)?def)\s+(\w+)", lines[n])
         if not m:
             n += 1
             continue
-        end = n + 1
-        while end < len(lines) and (not lines[end].strip() or lines[end].lstrip().startswith("#") or len(lines[end]) - len(lines[end].lstrip()) > len(m[1])):
-            end += 1
-        content = "\n".join(lines[n:end])
-        is_class = m[2] == "class"
-        out.append(row(path, "python", n + 1, end, content, None if is_class else m[3], m[3] if is_class else None, type="class" if is_class else "function", parsed_by="indentation"))
-        n = end
+        while owners and owners[-1][0] <= n:
+            owners.pop()
+        end, is_class = ends[n], m[2] == "class"
+        owner = owners[-1][1] if owners and not is_class else None
+        kind = "class" if is_class else "method" if owner else "function"
+        out.append(row(path, "python", n + 1, end, "\n".join(lines[n:end]), None if is_class else m[3], m[3] if is_class else owner, path_layer(path), type=kind, parsed_by="indentation"))
+        if is_class:
+            owners.append((end, m[3]))
+            n += 1  # its methods are blocks too
+        else:
+            n = end
     return out
 
 
@@ -182,8 +238,17 @@ def python_pieces(path: str, text: str, least: int = LEAST, most: int = MOST) ->
             if size(a, b) >= least:
                 add(a, b, "method" if owner else "function", node.name, owner)
             return
+        # before statements that control others once a part is large enough, and anywhere once it would be too large
         start, part = a, 1
-        for stop in [s.lineno - 1 for s in node.body if isinstance(s, (ast.If, ast.For, ast.While, ast.Try, ast.With))] + [b]:
+        control = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.With, ast.AsyncWith, ast.Match)
+        for stop in [s.lineno - 1 for s in node.body if isinstance(s, control)] + [b]:
+            while size(start, stop) > most:
+                cut, held = start, len(lines[start - 1])
+                while (held + 1 + len(lines[cut])) // 4 <= most:
+                    held += 1 + len(lines[cut])
+                    cut += 1
+                add(start, cut, "function_part", f"{node.name}_part{part}", owner)
+                start, part = cut + 1, part + 1
             if stop >= start and (size(start, stop) >= least or stop == b):
                 add(start, stop, "function_part", f"{node.name}_part{part}", owner)
                 start, part = stop + 1, part + 1
@@ -214,7 +279,9 @@ def python_pieces(path: str, text: str, least: int = LEAST, most: int = MOST) ->
 # ---- Java -------------------------------------------------------------------
 
 TYPE = re.compile(r"((?:(?:public|protected|private|static|final|abstract|sealed)\s+)*)(class|interface|enum|record)\s+(\w+)(?:<[^{]*?>)?([^{;]*)\{")
-METHOD = re.compile(r"((?:(?:public|protected|private|static|final|abstract|synchronized|default|native)\s+)*)(?:<[^>]+>\s+)?([\w.<>\[\], ?]+?)\s+(\w+)\s*\(([^()]*)\)\s*(?:throws\s+[\w., ]+)?\s*\{")
+#: A method's name, arguments and opening brace; its header is read backwards from there, so the scan is linear.
+METHOD = re.compile(r"(?<![\w.])(\w++)\s*+\(([^()]*+)\)\s*+(?:throws\s++[\w.]++(?:\s*+,\s*+[\w.]++)*+\s*+)?+\{")
+RETURNS = re.compile(r"[\w.<>\[\], ?&]+")
 MODIFIERS = {"public", "protected", "private", "static", "final", "abstract", "synchronized", "default", "native"}
 #: Words that look like a return type or a method's name before a block.
 NOT_TYPES, NOT_NAMES = {"return", "new", "else", "throw", "case", "do", "try"}, {"if", "for", "while", "switch", "catch", "synchronized", "try"}
@@ -225,14 +292,22 @@ def blanked(text: str) -> str:
     return re.sub(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
 
 
-def block_end(code: str, start: int) -> int:
-    """Offset after the brace that closes the one at ``start``."""
-    depth = 0
-    for m in re.finditer("[{}]", code[start:]):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return start + m.end()
-    return len(code)
+def brace_ends(code: str) -> dict[int, int]:
+    """The offset after the brace that closes each opening one; one pass."""
+    ends, open_ = {}, []
+    for m in re.finditer("[{}]", code):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            ends[open_.pop()] = m.end()
+    return ends
+
+
+def header_of(code: str, name: int, floor: int) -> tuple[int, list[str]] | None:
+    """Where the header before a method's name begins, and its words without annotations; None if it is no method's."""
+    begin = max(floor, *(code.rfind(x, floor, name) + 1 for x in ";{})"))
+    words = [(m.start(), m[0]) for m in re.finditer(r"\S+", code[begin:name]) if not m[0].startswith("@")]
+    return (begin + words[0][0], [w for _, w in words]) if words else None
 
 
 def spring_layer(name: str, content: str) -> str:
@@ -246,26 +321,35 @@ def spring_layer(name: str, content: str) -> str:
 def java_chunks(path: str, text: str) -> list[tuple]:
     """Classes, interfaces and all methods in them; lines if there are none."""
     code, out = blanked(text), []
-    package = re.search(r"^\s*package\s+([\w.]+)\s*;", code, re.M)
-    line = lambda at: text.count("\n", 0, at) + 1
+    package = re.search(r"^[ \t]*package\s+([\w.]+)\s*;", code, re.M)
+    ends, breaks = brace_ends(code), [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_left(breaks, at) + 1
+    close = lambda brace: ends.get(brace, len(code))
+    methods = list(METHOD.finditer(code))
+    starts = [f.start() for f in methods]
     for m in TYPE.finditer(code):
-        begin, end = m.start(), block_end(code, m.end() - 1)
-        while begin and (a := re.search(r"(@\w+(?:\([^)]*\))?\s*)$", code[:begin])):
-            begin = a.start()
+        begin, end = m.start(), close(m.end() - 1)
+        floor = max(code.rfind(x, 0, begin) + 1 for x in ";{}")
+        marks = re.search(r"@\w[\w.]*\s*(?:\([^)]*\)\s*)?(?:@\w[\w.]*\s*(?:\([^)]*\)\s*)?)*$", code[floor:begin])
+        begin = floor + marks.start() if marks else begin
         content, name = text[begin:end], m[3]
         extends, implements = re.search(r"extends\s+([\w.<>]+)", m[4]), re.search(r"implements\s+([\w.<>, ]+)", m[4])
         kind = "interface" if m[2] == "interface" else "class"
         out.append(row(path, "java", line(begin), line(end - 1), content, None, name, "Unknown" if kind == "interface" else spring_layer(name, content), type=kind, package=package and package[1], modifiers=m[1].split(), extends=extends and extends[1], implements=implements and [x.strip() for x in implements[1].split(",")]))
         if kind == "interface":
             continue
-        for f in METHOD.finditer(code, m.end(), end):
-            words = f"{f[1]} {f[2]}".split()
+        for f in methods[bisect_left(starts, m.end()) : bisect_left(starts, end)]:
+            header = header_of(code, f.start(), m.end())
+            if header is None or f[1] in NOT_NAMES:
+                continue
+            first, words = header
             modifiers, kind_of = [w for w in words if w in MODIFIERS], " ".join(w for w in words if w not in MODIFIERS)
-            if not kind_of or kind_of.split()[0] in NOT_TYPES or f[3] in NOT_NAMES:
+            kind_of = re.sub(r"^<[^>]*>\s*", "", kind_of)
+            if not RETURNS.fullmatch(kind_of) or kind_of.split()[0] in NOT_TYPES:
                 continue
-            stop = block_end(code, f.end() - 1)
-            names = [x.strip().split()[-1] for x in f[4].split(",") if x.strip()]
-            out.append(row(path, "java", line(f.start() + len(f[0]) - len(f[0].lstrip())), line(stop - 1), text[f.start() : stop].strip("\n"), f[3], name, spring_layer(name, ""), type="method", return_type=kind_of or "void", parameters=names, modifiers=modifiers, package=package and package[1]))
+            stop = close(f.end() - 1)
+            names = [x.strip().split()[-1] for x in f[2].split(",") if x.strip()]
+            out.append(row(path, "java", line(first), line(stop - 1), text[first:stop], f[1], name, spring_layer(name, ""), type="method", return_type=kind_of, parameters=names, modifiers=modifiers, package=package and package[1]))
     once = {c[:9]: c for c in reversed(out)}  # a method of a nested class is found from both
     return list(reversed(once.values())) or lines_of(path, text, "java")
 
