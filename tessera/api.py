@@ -8,7 +8,8 @@ from collections import OrderedDict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bm25, changes, fusion, parsers, security, stats, vectors
+from .operators import bm25, changes, fusion, history, parsers, security, stats, vectors
+from .operators.keyword_index import KeywordIndex
 from .operators.store import Projects, Store, chunk_id, matching, metadata_search, stored_rows
 from .sources import files, git
 
@@ -64,13 +65,21 @@ class Engine:
     def process_repository(self, root: str, project: str) -> DataFrame:
         """Read, parse, mask, embed and store a repository; statistics by language and layer."""
         rows = files.repository(self.spark, root, project)
-        self.chunks.upsert(self._ingest(rows, project))
+        self._replace(rows, project)
         self._save_state(rows.select("path", "file_hash"), project)
         return stats.grouping_counts(self.chunks.read().where(F.col("project_id") == project), "language", "layer_type", tokens="token_count")
 
     def process_files(self, paths: list[str], root: str, project: str) -> str:
         """The same for some files."""
-        return self.chunks.upsert(self._ingest(files.listed(self.spark, paths, root, project), project))
+        return self._replace(files.listed(self.spark, paths, root, project), project)
+
+    def _replace(self, rows: DataFrame, project: str) -> str:
+        """Store the chunks of some files in place of all that the project has of them."""
+        new, held = self._ingest(rows, project), self.chunks.read()
+        if held is None:
+            return self.chunks.write(new)
+        gone = rows.select(F.lit(project).alias("project_id"), F.col("path").alias("file_path")).distinct()
+        return self.chunks.write(held.join(gone, ["project_id", "file_path"], "left_anti").unionByName(new, allowMissingColumns=True))
 
     def _save_state(self, rows: DataFrame, project: str) -> None:
         state = rows.select(F.concat_ws("|", F.lit(project), "path").alias("state_id"), F.lit(project).alias("project_id"), F.col("path").alias("file_path"), "file_hash")
@@ -111,9 +120,29 @@ class Engine:
     def hybrid_search(self, query: str, k: int = 10, mode: str = "hybrid", alpha: float = 0.5, project: str | None = None, filters: dict | None = None) -> DataFrame:
         """Fused search with the chunks' columns; filters hold for both sides."""
         rows = self._rows(project, filters)
+        if mode == "keyword" and not project and not filters:
+            found = self.keyword_index().search(query, k)
+            return rows.join(F.broadcast(found.withColumnRenamed("id", "chunk_id")), "chunk_id").orderBy(F.desc("score"), "chunk_id")
         found = fusion.hybrid(bm25.tokenized(rows, "chunk_id", "content"), rows.withColumnRenamed("chunk_id", "vec_id"), query, self._vector(query), k, mode, alpha)
         return rows.join(F.broadcast(found.withColumnRenamed("id", "chunk_id")), "chunk_id").orderBy(F.desc("score"), "chunk_id")
 
+    def keyword_index(self) -> KeywordIndex:
+        """The keyword index of the present version, built if it isn't there; indexes of other versions go."""
+        index = KeywordIndex(self.spark, f"{self.chunks.path}-keywords", self.chunks.version())
+        if not index.ready():
+            index.build(bm25.tokenized(self.chunks.read(), "chunk_id", "content"))
+            index.drop_others()
+        return index
+
+    def status(self) -> DataFrame:
+        """Chunks, files and different contents of each project."""
+        rows = self.chunks.read()
+        return history.state_summary(rows.select("project_id", "file_path", F.sha2("content", 256).alias("digest")), "digest")
+
+    def export(self, rows: DataFrame, path: str, *columns: str) -> None:
+        """Write rows as JSON lines, as logs and metrics are exported."""
+        history.json_lines(rows, *(columns or rows.columns)).write.mode("overwrite").text(path)
+
     def similar_code(self, snippet: str, k: int = 10, least: float = 0.7, without_file: str | None = None) -> DataFrame:
         """Chunks like a snippet, without those of its own file."""
         rows = self.chunks.read()

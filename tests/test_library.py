@@ -178,3 +178,53 @@ def test_cache():
     now[0] = 11
     c.get("a", lambda: 1)
     assert c.stats() == {"size": 2, "hits": 1, "misses": 4, "evictions": 1, "hit_rate": 0.2}
+
+
+def test_masks_sit_where_the_secret_is(spark):
+    lines = ['password = "word"', 'pass_1 = 1; password = "pass_1"', "a ghp_" + "a" * 36 + " b ghp_" + "a" * 36]
+    rows = spark.createDataFrame([(str(n), "x.py", x) for n, x in enumerate(lines)], "chunk_id string, file_path string, content string")
+    out = {r.chunk_id: (r.content, r.masked_count) for r in security.scan(rows).collect()}
+    assert out == {"0": ('password = "[MASKED_PASSWORD]"', 1), "1": ('pass_1 = 1; password = "[MASKED_PASSWORD]"', 1), "2": ('a "[MASKED_TOKEN]" b "[MASKED_TOKEN]"', 2)}
+
+
+def test_long_java_comments_take_linear_time():
+    import time
+
+    text = "class A {\n// " + "word " * 20_000 + "\n/* " + "word word\n" * 10_000 + "*/\npublic int a() { return 1; }\n}"
+    began = time.time()
+    assert [c[4] for c in parsers.java_chunks("A.java", text)] == [None, "a"]
+    assert time.time() - began < 1
+
+
+def test_straight_functions_are_cut_to_size():
+    text = "def big():\n" + "".join(f"    value_{i} = compute(something, {i})\n" for i in range(900))
+    parts = parsers.python_pieces("a.py", text)
+    assert max(p[7] for p in parts) <= parsers.MOST and "\n".join(p[8] for p in parts) == text.rstrip("\n")
+
+
+def test_store_survives_a_writer_that_dies(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.write(spark.createDataFrame([("a", 1)], "chunk_id string, n int"))
+    old = s.version()
+    spark.createDataFrame([("b", 2)], "chunk_id string, n int").write.parquet(f"{s.path}/v-dead")  # written, never published
+    assert s.version() == old and [r.chunk_id for r in s.read().collect()] == ["a"]
+    number = s._pointers()[-1][0] + 1
+    s._point(number, "v-0")
+    with pytest.raises(RuntimeError):
+        s._point(number, "v-1")
+    assert s.version() == "v-0"
+
+
+def test_keyword_index_is_built_once_for_a_version(spark, tmp_path):
+    from tessera.operators import bm25
+    from tessera.operators.keyword_index import KeywordIndex
+
+    rows = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma gamma"), (3, "delta")], "doc_id long, text string")
+    one = KeywordIndex(spark, str(tmp_path / "i"), "1")
+    one.build(bm25.tokenized(rows))
+    assert [r.id for r in one.search("gamma", 5).collect()] == [2] and one.search("", 5).count() == 0 and one.search("nothing", 5).count() == 0
+    two = KeywordIndex(spark, str(tmp_path / "i"), "2")
+    assert one.ready() and not two.ready()
+    two.build(bm25.tokenized(rows.where("doc_id <> 2")))
+    two.drop_others()
+    assert not one.ready() and two.search("gamma", 5).count() == 0
