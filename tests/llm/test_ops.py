@@ -403,3 +403,127 @@ def test_pipeline_stages(spark):
     assert len({texts[i] for i in kept}) == len(kept)
     packed = pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.collect()} == set(kept)
+
+
+def test_long_white_space_is_encoded_as_the_library_does(spark):
+    texts = [" " * 1_000_000 + "x", "a" + "\n" * 200_000 + " y <|endoftext|>", " \t" * 60_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: len(library(BYTES).encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(rows, BYTES).collect()} == want
+    assert sum(r.length for r in packing.pack_documents(rows, BYTES).collect()) == sum(want.values()) + len(texts)
+
+
+def test_word_bpe_of_characters_newer_than_this_python():
+    held, e = library(WORDS), wordbpe.load(WORDS)
+    for c in (0x88F, 0xC5C, 0x1C89, 0x18E00, 0x2EBF0, 0xA7CB, 0x10D50):
+        text = f"a{chr(c)}b {chr(c)}1 x!{chr(c)}"
+        assert np.frombuffer(e.encode(text)[0], "<u4").tolist() == held.encode(text, add_special_tokens=False).ids
+
+
+def test_empty_tables(spark, hard):
+    empty = hard.limit(0)
+    assert quality.apply_policy(quality.ledger(quality.measure(empty)), quality.POLICIES[2]).count() == 0
+    assert token_counts.count_tokens(empty, BYTES).count() == 0
+    assert wordbpe.encode_decode(empty, WORDS).count() == 0
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, t_ int, h_ int")
+    assert quality.measure(rows, keep=("doc_id", "t_", "h_")).select("t_", "h_", "n_words").collect() == [(5, 6, 2)]
+
+
+def test_pipeline_stages_take_hard_input_and_empty_tables(spark, hard):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name, stage in pipeline.STAGES:
+        stage(spark, hard, SF).collect()
+        assert stage(spark, hard.limit(0), SF).count() == 0, name
+
+
+def test_every_language_is_learned_and_any_partitioning_learns_alike(spark):
+    made = {"en": "the house and the garden", "xx": "zuq zuq wex wex", "de": "das haus und der garten"}
+    rows = [(i, f"{made[c]} {i}", c) for i, c in enumerate(["en"] * 400 + ["de"] * 400 + ["xx"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    if zlib.crc32(b"800") % 5 == 0:
+        docs = docs.withColumn("doc_id", F.col("doc_id") + 1)
+    one, many = language.learn(docs.coalesce(1)), language.learn(docs.repartition(7))
+    assert one.langs == ["de", "en", "xx"]
+    assert np.array_equal(one.family_w, many.family_w)
+
+
+def test_discovered_secrets(spark):
+    seeds = [(i, f'here is token = "{hashlib.sha1(str(i).encode()).hexdigest()}" for you') for i in range(8)]
+    rows = spark.createDataFrame([*seeds, (100, 'here is token = "ab12cd34ef56ab12" for you'), (101, "commit ab12cd34ef56ab12 is fine")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(rows).collect()}
+    assert got[0].spans == "secret:17:57" and got[100].spans == "secret:17:33" and got[101].n_added == 0
+    assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest() and got[0].n_spans == 1
+
+
+def test_many_numbers_in_a_text_take_linear_time():
+    import time
+
+    text = " ".join(f"{k:09d}" for k in range(60_000))
+    began = time.time()
+    assert len(pii.candidates(text, pii.base_spans(text))) > 10_000
+    assert time.time() - began < 10
+
+
+def test_held_out_labels_of_urls(spark):
+    """Pages whose label is hidden: what the tree rejects is blocked."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host, path = url_filter.parts(F.col("url"))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"))
+    _, label = url_filter.longest_rule(F.col("host"), F.col("path"))
+    segments = [f"s{k}" for k in range(url_filter.LEVELS)]
+    typed = split.select("*", label.alias("truth"), F.when(F.crc32(F.col("page_id").cast("string")) % 5 != 0, label).alias("label"), *(c.alias(n) for c, n in zip(url_filter.typed_segments(F.col("path")), segments)))
+    asked = typed.where("truth IS NOT NULL AND label IS NULL").join(url_filter.template_tree(typed), ["host", *segments])
+    rejected = [r.truth for r in asked.where(F.col("template_share") >= url_filter.REJECT).collect()]
+    assert len(rejected) >= 10 and set(rejected) == {"block"}
+
+
+def test_only_visited_cells_are_multiplied(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    block = ann.Block(np.arange(300), np.arange(300), x, rng.integers(0, 10, 300))
+    cells = [[1, 2], [2, 99], []]
+    found = block.nearest(np.array([0, 500, 501]), x[:3], cells, 5)
+    sizes = {c: b - a for c, (a, b) in block.span.items()}
+    assert block.products == sizes[1] + 2 * sizes[2] and len(found[2][0]) == 0
+    # repeated ids are several rows, each a neighbour of the others
+    rows = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.9, 0.1]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [1.0, float("nan")])], "vec_id long, embedding array<double>")
+    got = sorted((round(r.score, 6), r.vec_id) for r in ann.search(rows).collect() if r.query_id == 20)
+    assert got == [(0.5, 3), (0.5, 3), (0.9, 20), (0.9, 20)]
+
+
+def classes_by_brute_force(texts):
+    s = [near_dups.shingles(t).astype(np.uint32) for t in texts]
+    label = list(range(len(s)))
+    for i in range(len(s)):
+        for j in range(i):
+            if label[i] != label[j] and near_dups.similarity(s[i], s[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return dict(enumerate(label))
+
+
+@pytest.mark.parametrize("shared,edits", [(330, 2), (340, 3), (350, 4)])
+def test_near_duplicate_pairs_inside_a_boilerplate_group(spark, shared, edits):
+    """Pairs a little above 0.8 among texts that all share most of their words, just below 0.8 with any other."""
+    rng = np.random.default_rng(shared)
+    boiler, texts = [f"b{i}" for i in range(shared)], []
+    for k in range(80):
+        own = [f"o{k}x{i}" for i in range(400 - shared)]
+        for twin in range(2):
+            words = boiler + own
+            for at in rng.choice(len(words), edits, replace=False):
+                words[at] = f"e{k}x{twin}x{at}"
+            texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = classes_by_brute_force(texts)
+    got = {r.doc_id: r.class_id for r in near_dups.classes(rows).collect()}
+    assert got == want
+
+
+def test_texts_that_share_an_id_and_ids_of_text(spark):
+    rows = spark.createDataFrame([("a", PROSE), ("a", PROSE[::-1] + " another text altogether with other words"), ("b", PROSE), (None, PROSE), ("c", None), ("c", None)], "doc_id string, text string")
+    assert Counter((r.doc_id, r.class_id) for r in near_dups.classes(rows).collect()) == Counter([("a", "a"), ("a", "a"), ("b", "a"), (None, "a"), ("c", "c"), ("c", "c")])
+    assert Counter((r.doc_id, (r.text or "")[:3]) for r in near_dups.one_of_each(rows).collect()) == Counter([("a", "the"), ("a", PROSE[::-1][:3]), ("c", "")])
