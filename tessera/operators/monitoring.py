@@ -6,18 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cells into which the values of a group are cut to find the one that holds a rank.
+CELLS = 1024
+
+
 def nearest_rank(rows: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles: sorted[min(floor(p * n), n - 1)], from counted distinct values.
+    """Nearest-rank percentiles: sorted[min(floor(p * n), n - 1)] of each group.
 
-    Values are counted before they are ordered, so the window sees each
-    distinct value of a group once.
+    A histogram of CELLS cells tells which cell holds a wanted rank; only the
+    values of such cells are ordered, counted first. So no task holds a group.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("c"))
-    up_to = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*groups)
-    placed = counted.withColumn("hi", F.sum("c").over(up_to)).withColumn("n", F.sum("c").over(all_))
-    aims = {name: F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1) for name, p in shares.items()}
-    return placed.groupBy(*groups).agg(*[F.min(F.when(F.col("hi") > aim, F.col(value))).alias(name) for name, aim in aims.items()])
+    good = rows.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("v_"))
+    span = good.groupBy(*groups).agg(F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), F.count(F.lit(1)).alias("n_"))
+    lo, hi, v = (F.col(c).cast("double") for c in ("lo_", "hi_", "v_"))
+    cell = F.when(hi > lo, F.coalesce(F.least(F.floor((v - lo) / (hi - lo) * CELLS), F.lit(CELLS - 1)), F.lit(0))).otherwise(F.lit(0)).cast("int")
+    celled = good.join(span, groups).withColumn("cell_", cell)
+    so_far = Window.partitionBy(*groups).orderBy("cell_").rowsBetween(Window.unboundedPreceding, 0)
+    cells = celled.groupBy(*groups, "cell_").agg(F.count(F.lit(1)).alias("c_"), F.first("n_").alias("n_")).withColumn("up_", F.sum("c_").over(so_far))
+    names = F.explode(F.array(*[F.struct(F.lit(name).alias("name_"), F.least(F.floor(F.col("n_") * F.lit(p)), F.col("n_") - 1).alias("aim_")) for name, p in shares.items()]))
+    asked = cells.select(*groups, "cell_", "up_", "c_", names.alias("x_")).select(*groups, "cell_", "up_", "c_", "x_.*")
+    asked = asked.where((F.col("up_") > F.col("aim_")) & (F.col("up_") - F.col("c_") <= F.col("aim_"))).select(*groups, "cell_", "name_", (F.col("aim_") - F.col("up_") + F.col("c_")).alias("aim_"))
+    inside = celled.join(asked.select(*groups, "cell_").distinct(), [*groups, "cell_"], "left_semi").groupBy(*groups, "cell_", "v_").agg(F.count(F.lit(1)).alias("c_"))
+    ranked = inside.withColumn("up_", F.sum("c_").over(Window.partitionBy(*groups, "cell_").orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)))
+    found = ranked.join(asked, [*groups, "cell_"]).where(F.col("up_") > F.col("aim_"))
+    return found.groupBy(*groups).agg(*[F.min(F.when(F.col("name_") == name, F.col("v_"))).alias(name) for name in shares])
 
 
 def performance(requests: DataFrame, groups: list[str]) -> DataFrame:
@@ -32,9 +44,16 @@ def performance(requests: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def trailing(rows: DataFrame, seconds: int, value: Column, name: str, groups: list[str], ts: str = "ts", how=F.avg) -> DataFrame:
-    """``rows`` with an aggregate over the last ``seconds`` of each group, the row's own instant included."""
-    w = Window.partitionBy(*groups).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn(name, F.round(how(value).over(w), 6))
+    """``rows`` with an aggregate over the last ``seconds`` of each group, the row's own instant included.
+
+    Time is cut into buckets as long as the window, and a row takes part in its
+    own and the next one, so a busy group is as many tasks as it has buckets.
+    """
+    size = seconds * 1_000_000
+    bucket = F.floor(F.unix_micros(ts) / size)
+    both = rows.withColumns({"us_": F.unix_micros(ts), "own_": bucket}).withColumn("bucket_", F.explode(F.array_distinct(F.array(F.col("own_"), F.col("own_") + 1))))
+    w = Window.partitionBy(*groups, "bucket_").orderBy("us_").rangeBetween(-size, 0)
+    return both.withColumn(name, F.round(how(value).over(w), 6)).where(F.col("own_").eqNullSafe(F.col("bucket_"))).drop("us_", "own_", "bucket_")
 
 
 def last_of_each(rows: DataFrame, groups: list[str], n: int, ts: str, tie: str) -> DataFrame:

@@ -39,7 +39,9 @@ def query_vector(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_counts(spark, d):
-    return docs(spark, d).select("doc_id", F.size(code_tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(code_tokens(F.col("text")))).cast("long").alias("n_terms"))
+    # the tokens are made once: both numbers come from one struct
+    cut = docs(spark, d).select("doc_id", F.inline(F.array(F.struct(code_tokens(F.col("text")).alias("t")))))
+    return cut.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
 
 
 def token_df_top(spark, d):
@@ -91,7 +93,7 @@ def knn_min_similarity(spark, d):
 
 
 def similar_pairs(spark, d):
-    return vectors.similar_within(docs(spark, d, "embeddings"), "label", 0.6)
+    return vectors.similar_within(docs(spark, d, "embeddings"), "label", 0.25)
 
 
 def rrf(mode):
@@ -158,7 +160,7 @@ QUERIES = {
     "knn_cosine_topk": (knn_cosine_topk, f"WITH {COSINE} SELECT id, score FROM (SELECT id, score FROM cs ORDER BY score DESC, id LIMIT 10) WHERE score >= 0"),
     "knn_filtered_label": (knn_filtered_label, f"WITH {COSINE} SELECT id, score FROM (SELECT id, score FROM cs WHERE label = 3 ORDER BY score DESC, id LIMIT 10) WHERE score >= 0"),
     "knn_min_similarity": (knn_min_similarity, f"WITH {COSINE} SELECT id, score FROM (SELECT id, score FROM cs ORDER BY score DESC, id LIMIT 50) WHERE score >= 0.2"),
-    "similar_pairs": (similar_pairs, "WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM v x JOIN v y ON x.label = y.label AND x.id < y.id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.6"),
+    "similar_pairs": (similar_pairs, "WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM v x JOIN v y ON x.label = y.label AND x.id < y.id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.25"),
     "rrf_hybrid": (rrf("hybrid"), rrf_sql(0.5)),
     "rrf_semantic_only": (rrf("semantic"), rrf_sql(1.0)),
     "rrf_keyword_only": (rrf("keyword"), rrf_sql(0.0)),
