@@ -34,11 +34,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -70,20 +70,38 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts, one after another in lower case A-Z, and how many each text has; as :func:`words_of` without the end tokens."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves an empty part
+    up_to = np.append(0, np.cumsum(real))
+    return flat.filter(pa.array(real)), np.diff(up_to[ends])
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over all rows; each worker adds up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), type=pa.binary()), pa.array(held.values(), type=pa.int64())], names=["word", "n"])
+        held, rows, end = [], 0, 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) > HELD:
-                    yield batch_of()
-                    held.clear()
-        if held:
-            yield batch_of()
+            found = pc.value_counts(split_words(batch.column(0))[0])
+            end += batch.num_rows
+            held.append(pa.table({"word": found.field(0).cast(pa.binary()), "n": found.field(1)}))
+            rows += len(found)
+            if rows > 3 * HELD:
+                held = [added()]
+                rows = held[0].num_rows
+                if rows > HELD:
+                    yield from held[0].combine_chunks().to_batches(max_chunksize=HELD // 8)
+                    held, rows = [], 0
+        if end:
+            held.append(pa.table({"word": pa.array([END]), "n": pa.array([end], type=pa.int64())}))
+            yield from added().combine_chunks().to_batches(max_chunksize=HELD // 8)
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -138,8 +156,9 @@ class Model:
         self.bits = max(BITS, int(np.ceil(np.log2(ROWS * np.sqrt(max(1, types))))))
         self.weights = np.zeros((1 << self.bits, WIDTH), dtype=np.float32)
 
-    def lookup(self) -> dict[bytes, int]:
-        return dict(zip(self.words, range(len(self.words))))
+    def listed(self) -> tuple[pa.Array, int]:
+        """The words, to be looked up in, and the rank of the end token (-1 if it isn't one)."""
+        return pa.array(self.words, type=pa.binary()).cast(pa.string()), self.words.index(END) if END in self.words else -1
 
     def features(self, m1: np.ndarray, m2: np.ndarray) -> np.ndarray:
         """Hashes of the three features of each position, from the hashes of the two words before."""
@@ -242,25 +261,45 @@ def summed(r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], g
 
 
-def places(model: Model, lookup: dict[bytes, int], texts: list[str | None]) -> tuple:
-    """All tokens of some texts: words and sizes of each text, where it begins; rank (-1: not in TOP), place, the hashes of the two words before, and leaf."""
-    words = [words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    flat = list(chain.from_iterable(words))
-    rank = np.fromiter(map(lookup.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begin and end of parts of about 4 MB of text, or one text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(size):
+        end, total = at, 0
+        while end < len(size) and total < 4 << 20:
+            total += int(size[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def places(model: Model, listed: tuple[pa.Array, int], texts: pa.Array) -> tuple:
+    """All tokens of some texts: unlisted words, sizes of each text, where it begins; rank (-1: not in TOP), place, the hashes of the two words before, and leaf."""
+    flat, counts = split_words(texts)
+    sizes = counts + 1
+    first = np.cumsum(sizes) - sizes
+    rank = np.full(int(sizes.sum()), listed[1], dtype=np.int64)
+    inner = np.ones(len(rank), dtype=bool)
+    inner[first + counts] = False  # the end tokens
+    found = pc.fill_null(pc.index_in(flat, value_set=listed[0]), -1).to_numpy(zero_copy_only=False)
+    rank[inner] = found
+    missing = np.flatnonzero(found < 0)
+    unlisted = [w.encode() for w in flat.take(pa.array(missing)).to_pylist()]
     m = np.minimum(rank.view(np.uint64), np.uint64(model.size)).view(np.int64)  # -1 is the largest number without sign
     hashes = np.take(model.hashes, rank, mode="clip") if len(model.hashes) else np.zeros(len(rank), dtype=np.uint64)
-    unlisted = np.flatnonzero(rank < 0)
-    hashes[unlisted] = np.fromiter((hash_of(flat[i]) for i in unlisted.tolist()), dtype=np.uint64, count=len(unlisted))
+    if listed[1] < 0:
+        hashes[~inner] = hash_of(END)
+    at = np.flatnonzero(inner)[missing] if len(missing) else missing
+    hashes[at] = np.fromiter(map(hash_of, unlisted), dtype=np.uint64, count=len(unlisted))
     leaf = (hashes >> np.uint64(64 - BRANCH * model.levels)).view(np.int64) if model.levels else np.zeros(len(rank), dtype=np.int64)
-    first = np.cumsum(sizes) - sizes
     m1, m2 = np.empty_like(hashes), np.empty_like(hashes)
     m1[1:], m2[2:] = hashes[:-1], hashes[:-2]
     m1[first] = START
     m2[first] = START
     second = (first + 1)[sizes > 1]
     m2[second] = START
-    return words, sizes, first, rank, m, m1, m2, leaf
+    return (unlisted, at), sizes, first, rank, m, m1, m2, leaf
 
 
 def train_round(training: DataFrame, model: Model, phase: int) -> None:
@@ -273,23 +312,18 @@ def train_round(training: DataFrame, model: Model, phase: int) -> None:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, lookup = None, None, None
+        own, seen, listed = None, None, None
         for batch in batches:
-            texts, at = batch.column(0).to_pylist(), 0
-            if texts and own is None:
+            texts = batch.column(0)
+            if len(texts) and own is None:
                 own = object.__new__(Model)
                 own.__dict__.update(shared.value.__dict__, weights=shared.value.weights.copy())
-                seen, lookup = np.zeros(len(own.weights), dtype=np.float32), own.lookup()
-            while at < len(texts):  # about 2 MB of text at a time
-                end, size = at, 0
-                while end < len(texts) and size < 2 << 20:
-                    size += len(texts[end] or "")
-                    end += 1
-                _, _, _, _, *m = places(own, lookup, texts[at:end])
+                seen, listed = np.zeros(len(own.weights), dtype=np.float32), own.listed()
+            for at, end in slices(texts):
+                _, _, _, _, *m = places(own, listed, texts.slice(at, end - at))
                 m, m1, m2, leaf = (x[phase::ROUNDS] for x in m)
                 for s in range(0, len(m), MINIBATCH):
                     own.step(*(x[s : s + MINIBATCH] for x in (m, m1, m2, leaf)), seen)
-                at = end
         if own is not None:
             flat = own.weights.reshape(BLOCKS, -1).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), type=pa.int32()), pa.array([x.tobytes() for x in flat], type=pa.binary())], names=["block", "weights"])
@@ -332,29 +366,27 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, lookup, row = shared.value, None, TaskContext.get().partitionId() << 36
+        model, listed, row = shared.value, None, TaskContext.get().partitionId() << 36
         for batch in batches:
-            lookup = lookup or model.lookup()
-            texts, at = batch.column(2).to_pylist(), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < 2 << 20:
-                    size += len(texts[end] or "")
-                    end += 1
-                words, sizes, first, rank, m, m1, m2, leaf = places(model, lookup, texts[at:end])
+            listed = listed or model.listed()
+            texts = batch.column(2)
+            for at, end in slices(texts):
+                (unlisted, where), sizes, first, rank, m, m1, m2, leaf = places(model, listed, texts.slice(at, end - at))
                 known = rank >= 0
                 logs = np.where(known, model.log_counts[np.maximum(rank, 0)] if len(model.log_counts) else 0.0, 0.0)
                 other = m == model.size
                 lm = model.log_probs(m, m1, m2, leaf) / LN10 + np.where(other, logs - model.leaf_logs[leaf], 0.0)
                 add = lambda x: np.add.reduceat(x, first)
-                rare = [[{"word": w, "n": n} for w, n in Counter([ws[i] for i in np.flatnonzero(~known[f : f + n]).tolist()]).items()] for ws, f, n in zip(words, first.tolist(), sizes.tolist())]
+                cuts = np.searchsorted(where, np.append(first, len(rank))).tolist()
+                rare = [[{"word": w, "n": n} for w, n in Counter(unlisted[a:b]).items()] for a, b in zip(cuts, cuts[1:])]
+                if listed[1] < 0:  # not even the end token is listed
+                    rare = [[*x, {"word": END, "n": 1}] for x in rare]
                 part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + end - at)), part.column(0), part.column(1), pa.array(sizes), pa.array(add(known.astype(np.int64))), pa.array(add(logs)), pa.array(add(lm)), pa.array(rare, type=rare_type)],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "lm", "rare"],
                 )
                 row += end - at
-                at = end
 
     ddl = f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, lm double, rare array<struct<word:binary,n:long>>"
     scored = keep(docs.select("doc_id", (fold == held_out).alias("held_out"), "text").mapInArrow(run, ddl), "lm-scored")
