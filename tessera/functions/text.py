@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def code_tokens(text: Column) -> Column:
     """Lower-case tokens of code or prose: camel case and underscores split, single characters dropped."""
-    spaced = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z])([A-Z])", "$1 $2"), "[^a-zA-Z0-9]+", " ")
-    return F.filter(F.split(F.lower(spaced), " "), lambda t: F.length(t) > 1)
+    # two letters beyond ASCII (dotted I, Kelvin sign) have lower cases in it: they go before the text is lowered
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[a-z])(?=[A-Z])|[\u0130\u212a]", " ")
+    return F.regexp_extract_all(F.lower(spaced), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def token_estimate(text: Column) -> Column:

@@ -16,7 +16,7 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("text,want", [("HTTPServer getUserName", ["httpserver", "get", "user", "name"]), ("a_b snake_case2x", ["snake", "case2x"]), ("", []), (None, []), ("é!", [])])
+@pytest.mark.parametrize("text,want", [("HTTPServer getUserName", ["httpserver", "get", "user", "name"]), ("a_b snake_case2x", ["snake", "case2x"]), ("", []), (None, []), ("é!", []), ("x\u212ay ab\u0130cd aBCd", ["ab", "cd", "bcd"])])
 def test_code_tokens(spark, text, want):
     assert one(spark, T.code_tokens(F.col("t")), t=text) == want
 
