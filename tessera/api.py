@@ -73,12 +73,35 @@ class Engine:
         """The same for some files."""
         return self._replace(files.listed(self.spark, paths, root, project), project)
 
-    def _replace(self, rows: DataFrame, project: str) -> str:
-        """Store the chunks of some files in place of all that the project has of them."""
+    def process_commits(self, repo: str, project: str) -> DataFrame:
+        """Bring the store up to date commit by commit, oldest first: commit, status, error.
+
+        The last good commit is kept after each; the first failure ends the run,
+        and the next call begins after the last good one.
+        """
+        progress = Store(self.spark, f"{self.chunks.path}-progress", "project_id")
+        held = progress.read()
+        last = held.where(F.col("project_id") == project).first() if held is not None else None
+        done = []
+        for c in self.commits(repo, last["commit"] if last else None).collect():
+            touched = [f for f in c["files"] if f.endswith(files.SUFFIXES)]
+            try:
+                if touched:
+                    rows = files.listed(self.spark, [f"{repo}/{f}" for f in touched], repo, project)
+                    self._replace(rows, project, self.spark.createDataFrame([(f,) for f in touched], "path string"))
+                progress.upsert(self.spark.createDataFrame([(project, c["commit"], c["committed_at"])], "project_id string, commit string, committed_at bigint"))
+            except Exception as error:  # noqa: BLE001
+                done.append((c["commit"], "failed", str(error)[:500]))
+                break
+            done.append((c["commit"], "completed", None))
+        return self.spark.createDataFrame(done, "commit string, status string, error string")
+
+    def _replace(self, rows: DataFrame, project: str, touched: DataFrame | None = None) -> str:
+        """Store the chunks of some files in place of all that the project has of them (or of the ``touched`` paths)."""
         new, held = self._ingest(rows, project), self.chunks.read()
         if held is None:
             return self.chunks.write(new)
-        gone = rows.select(F.lit(project).alias("project_id"), F.col("path").alias("file_path")).distinct()
+        gone = (rows if touched is None else touched).select(F.lit(project).alias("project_id"), F.col("path").alias("file_path")).distinct()
         return self.chunks.write(held.join(gone, ["project_id", "file_path"], "left_anti").unionByName(new, allowMissingColumns=True))
 
     def _save_state(self, rows: DataFrame, project: str) -> None:

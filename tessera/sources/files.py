@@ -10,6 +10,9 @@ from ..functions.layers import IGNORED_FOLDERS, IGNORED_SUFFIXES, ignored, langu
 #: Suffixes that are read by default.
 SUFFIXES = (".java", ".kt", ".html", ".htm", ".xml", ".yaml", ".yml", ".properties", ".py", ".pyw")
 
+#: Columns of listed files.
+LISTED = "path string, modificationTime timestamp, length bigint, text string, file_hash string, total_lines bigint, project_id string, language string"
+
 
 def _named(rows: DataFrame, root: str | None, project: str | None) -> DataFrame:
     path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
@@ -23,8 +26,12 @@ def _named(rows: DataFrame, root: str | None, project: str | None) -> DataFrame:
 def repository(spark: SparkSession, root: str, project: str | None = None, suffixes: tuple[str, ...] = SUFFIXES, folders: tuple[str, ...] = IGNORED_FOLDERS, recursive: bool = True) -> DataFrame:
     """path (relative), modificationTime, length, text, file_hash, total_lines, project_id, language of the source files under ``root``.
 
-    Suffixes are pushed into the listing, so other files are never opened.
+    Suffixes are pushed into the listing, so other files are never opened. A
+    folder that isn't there has no files.
     """
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], LISTED)
     globs = "*{" + ",".join(suffixes) + "}"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", globs).load(root)
     return _named(rows, root, project).where(~ignored(F.col("path"), folders, IGNORED_SUFFIXES))
@@ -35,7 +42,7 @@ def listed(spark: SparkSession, paths: list[str], root: str | None = None, proje
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     there = [p for p in paths if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
     if not there:
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, text string, file_hash string, total_lines bigint, project_id string, language string")
+        return spark.createDataFrame([], LISTED)
     return _named(spark.read.format("binaryFile").load(there), root, project)
 
 

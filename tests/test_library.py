@@ -228,3 +228,34 @@ def test_keyword_index_is_built_once_for_a_version(spark, tmp_path):
     two.build(bm25.tokenized(rows.where("doc_id <> 2")))
     two.drop_others()
     assert not one.ready() and two.search("gamma", 5).count() == 0
+
+
+def test_commits_are_processed_one_by_one(spark, tmp_path, monkeypatch):
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+    run("init", "-q")
+    body = "def work(a):\n    first = a + 1\n    second = first * 2\n    return second  # a line of some length\n"
+    for n, name in enumerate(("one.py", "two.py")):
+        (repo / name).write_text(body.replace("work", f"work{n}"))
+        run("add", "-A")
+        run("commit", "-qm", name)
+    engine = Engine(spark, str(tmp_path / "store"))
+    assert [r.status for r in engine.process_commits(str(repo), "p").collect()] == ["completed", "completed"]
+    assert engine.process_commits(str(repo), "p").count() == 0
+    (repo / "one.py").unlink()
+    (repo / "two.py").write_text("\n\n" + body)
+    run("add", "-A")
+    run("commit", "-qm", "third")
+    real = engine._replace
+    monkeypatch.setattr(engine, "_replace", lambda *a: 1 / 0)
+    assert [r.status for r in engine.process_commits(str(repo), "p").collect()] == ["failed"]
+    monkeypatch.setattr(engine, "_replace", real)
+    assert [r.status for r in engine.process_commits(str(repo), "p").collect()] == ["completed"]
+    assert [(r.file_path, r.start_line, r.function_name) for r in engine.chunks.read().collect()] == [("two.py", 3, "work")]
+
+
+def test_a_missing_folder_has_no_files(spark, tmp_path):
+    from tessera.sources import files
+
+    assert files.repository(spark, str(tmp_path / "nothing"), "p").count() == 0
