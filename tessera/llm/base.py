@@ -66,6 +66,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def keep_folder(spark: SparkSession, path: str) -> str:
+    """Note a folder in the shared one that :func:`clean` is to remove."""
+    _kept[path] = spark
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables of :func:`keep` that no later plan reads."""
     for df in tables:

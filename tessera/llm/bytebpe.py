@@ -52,19 +52,20 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encoder of one vocabulary file."""
+    """Encoder of one vocabulary file; without ``specials`` their strings in a text are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special = added if specials else {}
         vocab = spec["model"]["vocab"]
-        ranks = {bytes(letters[c] for c in token): n for token, n in vocab.items() if token not in self.special}
+        ranks = {bytes(letters[c] for c in token): n for token, n in vocab.items() if token not in added}
         self.encoding = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=self.special)
-        self.sizes = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, dtype=np.int64)
+        self.sizes = np.zeros(max([*ranks.values(), *added.values()]) + 1, dtype=np.int64)
         for token, n in ranks.items():
             self.sizes[n] = len(token)
         for text, n in self.special.items():
@@ -145,6 +146,6 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> ByteBpe:
+def load(path: str, specials: bool = True) -> ByteBpe:
     """The encoder of a file, made once in each worker."""
-    return ByteBpe(path)
+    return ByteBpe(path, specials)

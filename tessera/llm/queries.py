@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, language, lm, near_dups, packing, pii, quality, token_counts, url_filter, wordbpe
+from . import align, ann, language, lm, near_dups, packing, pii, quality, token_counts, url_filter, vector_codes, warc, wordbpe
 from .base import table
 
-TOKENIZER_BYTES, TOKENIZER_WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
+TOKENIZER_BYTES, TOKENIZER_WORDS, TOKENIZER_PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -70,11 +70,26 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in two tokenizers, its aligned groups and how common its links are."""
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER_BYTES), tokenizer_path(TOKENIZER_PIECES))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector by integer codebooks."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function."""
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op5_bpe, op6_url_filter, op7_language_id, op4_pii, op10_near_dups, op8_ann, op9_lm_scores)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op5_bpe, op6_url_filter, op7_language_id, op4_pii, op10_near_dups, op8_ann, op9_lm_scores, op11_alignment, op12_vector_codes, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op2_quality_rules": quality.SQL, "op6_url_filter": url_filter.duckdb_sql()}
+    return {"op2_quality_rules": quality.SQL, "op6_url_filter": url_filter.duckdb_sql(), "op12_vector_codes": vector_codes.duckdb_sql(), "op13_warc": warc.SQL}
