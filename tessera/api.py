@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import bm25, changes, fusion, history, parsers, security, stats, vectors
+from .operators.embedding import EmbeddingMemo
 from .operators.keyword_index import KeywordIndex
 from .operators.store import Projects, Store, chunk_id, matching, metadata_search, stored_rows
+from .operators.vector_index import VectorIndex
 from .sources import files, git
+from .sources.shared import Folder
 
 
 class Cache:
@@ -49,18 +52,21 @@ class Engine:
 
     def __init__(self, spark: SparkSession, path: str, dims: int = 64):
         self.spark, self.dims = spark, dims
-        self.chunks, self.projects, self.states = Store(spark, f"{path}/chunks"), Projects(spark, f"{path}/projects"), Store(spark, f"{path}/states", "state_id")
-        self.embed = vectors.hashed_embedder(dims)
+        self.path = path.rstrip("/")
+        self.chunks, self.projects, self.states = Store(spark, f"{path}/chunks", by="file_path"), Projects(spark, f"{path}/projects"), Store(spark, f"{path}/states", "state_id")
+        self.rejects = Store(spark, f"{path}/rejects")
+        self.embed, self.memo = vectors.hashed_embedder(dims), EmbeddingMemo(spark, f"{path}/embeddings")
         self.cache = Cache(500, 300)
 
     # ingest
 
-    def _ingest(self, rows: DataFrame, project: str) -> DataFrame:
+    def _ingest(self, rows: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+        """(rows to store, rejects with their error)."""
         parsed = parsers.parse(rows).join(rows.select(F.col("path").alias("file_path"), "file_hash"), "file_path")
         named = parsed.withColumns({"project_id": F.lit(project), "project_name": F.lit(project), "last_updated": F.current_timestamp()})
         named = named.withColumn("chunk_id", chunk_id(F.col("project_id"), F.col("file_path"), F.col("start_line"), F.concat_ws(".", "class_name", "function_name")))
-        embedded = vectors.embed_distinct(security.scan(named.dropDuplicates(["chunk_id"])), self.embed)
-        return stored_rows(embedded, dims=self.dims)[0]
+        embedded = self.memo.embed(security.scan(named.dropDuplicates(["chunk_id"])), self.embed)
+        return stored_rows(embedded, dims=self.dims)
 
     def process_repository(self, root: str, project: str) -> DataFrame:
         """Read, parse, mask, embed and store a repository; statistics by language and layer."""
@@ -69,8 +75,8 @@ class Engine:
         self._save_state(rows.select("path", "file_hash"), project)
         return stats.grouping_counts(self.chunks.read().where(F.col("project_id") == project), "language", "layer_type", tokens="token_count")
 
-    def process_files(self, paths: list[str], root: str, project: str) -> str:
-        """The same for some files."""
+    def process_files(self, paths: list[str], root: str, project: str) -> dict:
+        """The same for some files; stored, rejected, version, and the rejects as a table (``errors``)."""
         return self._replace(files.listed(self.spark, paths, root, project), project)
 
     def process_commits(self, repo: str, project: str) -> DataFrame:
@@ -96,18 +102,26 @@ class Engine:
             done.append((c["commit"], "completed", None))
         return self.spark.createDataFrame(done, "commit string, status string, error string")
 
-    def _replace(self, rows: DataFrame, project: str, touched: DataFrame | None = None) -> str:
+    def _replace(self, rows: DataFrame, project: str, touched: DataFrame | None = None) -> dict:
         """Store the chunks of some files in place of all that the project has of them (or of the ``touched`` paths)."""
-        new, held = self._ingest(rows, project), self.chunks.read()
-        if held is None:
-            return self.chunks.write(new)
+        good, bad = self._ingest(rows, project)
         gone = (rows if touched is None else touched).select(F.lit(project).alias("project_id"), F.col("path").alias("file_path")).distinct()
-        return self.chunks.write(held.join(gone, ["project_id", "file_path"], "left_anti").unionByName(new, allowMissingColumns=True))
+        errors = bad.select("chunk_id", "project_id", "file_path", "error")
+        if self.rejects.manifest() is not None or not errors.isEmpty():
+            self.rejects.replace_files(gone, errors)
+        version = self.chunks.replace_files(gone, good)
+        here = lambda t: 0 if t.read() is None else t.read().join(gone, ["project_id", "file_path"], "left_semi").count()
+        return {"version": version, "stored": here(self.chunks), "rejected": here(self.rejects), "errors": self.rejects.read()}
 
     def _save_state(self, rows: DataFrame, project: str) -> None:
+        """Keep the digests of a project's files; only those that differ are written."""
         state = rows.select(F.concat_ws("|", F.lit(project), "path").alias("state_id"), F.lit(project).alias("project_id"), F.col("path").alias("file_path"), "file_hash")
         old = self.states.read()
-        self.states.write(state if old is None else old.where(~F.col("project_id").eqNullSafe(F.lit(project))).unionByName(state))
+        if old is None:
+            self.states.write(state)
+            return
+        mine = old.where(F.col("project_id") == project)
+        self.states.change((mine.join(state, "state_id", "left_anti"), ["state_id"]), state.join(mine.select("state_id", "file_hash"), ["state_id", "file_hash"], "left_anti"))
 
     def process_update(self, root: str, project: str) -> dict[str, int]:
         """Bring the store up to date with the files as they are; changes by type."""
@@ -119,36 +133,51 @@ class Engine:
         by_type = {r["change_type"]: r["n"] for r in changes.histogram(found).collect()}
         if by_type:
             gone, todo = changes.work_sets(found)
-            new = self._ingest(rows.join(todo.withColumnRenamed("file_path", "path"), "path", "left_semi"), project)
-            held = self.chunks.read()
-            mine = held.where(F.col("project_id") == project).join(gone, "file_path", "left_anti") if held is not None else new.limit(0)
-            others = held.where(~F.col("project_id").eqNullSafe(F.lit(project))) if held is not None else new.limit(0)
-            self.chunks.write(others.unionByName(mine).unionByName(new, allowMissingColumns=True))
+            touched = gone.union(todo).distinct().withColumnRenamed("file_path", "path")
+            self._replace(rows.join(todo.withColumnRenamed("file_path", "path"), "path", "left_semi"), project, touched)
             self._save_state(now.withColumnRenamed("file_path", "path"), project)
         return by_type
 
     # search
 
-    def _rows(self, project: str | None, filters: dict | None) -> DataFrame:
-        return self.chunks.read().where(matching({**(filters or {}), **({"project_id": project} if project else {})}))
-
     def _vector(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(text,)], "t string").select(self.embed(F.col("t")).alias("q"))
 
-    def semantic_search(self, query: str, k: int = 10, least: float = 0.0, project: str | None = None, filters: dict | None = None) -> list:
-        """The k nearest chunks."""
-        key = ("semantic", query, k, least, project, tuple(sorted((filters or {}).items())), self.chunks.version())
-        return self.cache.get(key, lambda: vectors.search(self._rows(project, filters), self._vector(query), k, least, id_column="chunk_id").collect())
-
-    def hybrid_search(self, query: str, k: int = 10, mode: str = "hybrid", alpha: float = 0.5, project: str | None = None, filters: dict | None = None) -> DataFrame:
-        """Fused search with the chunks' columns; filters hold for both sides."""
-        rows = self._rows(project, filters)
-        if mode == "keyword" and not project and not filters:
-            found = self.keyword_index().search(query, k)
-            return rows.join(F.broadcast(found.withColumnRenamed("id", "chunk_id")), "chunk_id").orderBy(F.desc("score"), "chunk_id")
-        found = fusion.hybrid(bm25.tokenized(rows, "chunk_id", "content"), rows.withColumnRenamed("chunk_id", "vec_id"), query, self._vector(query), k, mode, alpha)
+    #: Columns that a search may leave out.
+    PROJECTION = {"content": "with_content", "embedding": "with_vector", "metadata": "with_metadata"}
+
+    def _payload(self, found: DataFrame, with_content: bool = True, with_vector: bool = False, with_metadata: bool = True) -> DataFrame:
+        """The chunks of a result (id, score), best first, with or without their texts, vectors and metadata."""
+        let = {"with_content": with_content, "with_vector": with_vector, "with_metadata": with_metadata}
+        rows = self.chunks.read()
+        rows = rows.drop(*[c for c, flag in self.PROJECTION.items() if not let[flag]])
         return rows.join(F.broadcast(found.withColumnRenamed("id", "chunk_id")), "chunk_id").orderBy(F.desc("score"), "chunk_id")
 
+    def _where(self, project: str | None, filters: dict | None):
+        every = {**(filters or {}), **({"project_id": project} if project else {})}
+        return matching(every) if every else None
+
+    def semantic_search(self, query: str, k: int = 10, least: float = 0.0, project: str | None = None, filters: dict | None = None, exact: bool = False, **flags: bool) -> list:
+        """The k nearest chunks: id and score, or with any projection flag (with_content, with_vector, with_metadata) the chunks."""
+        key = ("semantic", query, k, least, project, tuple(sorted((filters or {}).items())), exact, tuple(sorted(flags.items())), self.chunks.version())
+
+        def make() -> list:
+            found = self.vector_index().search(self._query_vector(query), k, least, self._where(project, filters), exact=exact)
+            return (self._payload(found, **flags) if flags else found).collect()
+
+        return self.cache.get(key, make)
+
+    def _query_vector(self, text: str) -> list[float]:
+        return list(self._vector(text).first()["q"])
+
+    def hybrid_search(self, query: str, k: int = 10, mode: str = "hybrid", alpha: float = 0.5, project: str | None = None, filters: dict | None = None, exact: bool = True, **flags: bool) -> DataFrame:
+        """Fused search over the stored indexes, with the chunks' columns; filters hold for both sides."""
+        where = self._where(project, filters)
+        if mode == "keyword":
+            allowed = None if where is None else self.chunks.read().where(where).select("chunk_id")
+            return self._payload(self.keyword_index().search(query, k, allowed), **flags)
+        return self._payload(fusion.stored_hybrid(self.keyword_index(), self.vector_index(), query, self._query_vector(query), k, mode, alpha, where=where, exact=exact), **flags)
+
     def keyword_index(self) -> KeywordIndex:
         """The keyword index of the present version, built if it isn't there; indexes of other versions go."""
         index = KeywordIndex(self.spark, f"{self.chunks.path}-keywords", self.chunks.version())
@@ -157,6 +186,24 @@ class Engine:
             index.drop_others()
         return index
 
+    def vector_index(self) -> VectorIndex:
+        """The vector index of the present version: changed chunks are inserted into the cells of the last one, which is made anew when a version before it is missing."""
+        folder = Folder(self.spark, f"{self.path}/vectors")
+        index, now = VectorIndex(self.spark, folder.path, "chunk_id"), self.chunks.version()
+        rows = self.chunks.read().drop("content", "metadata")
+        if not index.ready():
+            index.build(rows)
+        elif not folder.exists(f"indexed-{now}"):
+            held = index.read().select("chunk_id", F.xxhash64("embedding", "file_hash", "start_line").alias("h"))
+            new = rows.join(held.withColumn("h", F.col("h")), [rows["chunk_id"] == held["chunk_id"], F.xxhash64(rows["embedding"], rows["file_hash"], rows["start_line"]) == held["h"]], "left_anti")
+            gone = held.join(rows, "chunk_id", "left_anti").select("chunk_id")
+            if not gone.isEmpty():
+                index.delete(gone)
+            if not new.isEmpty():
+                index.insert(new)
+        folder.create(f"indexed-{now}", "")
+        return index
+
     def status(self) -> DataFrame:
         """Chunks, files and different contents of each project."""
         rows = self.chunks.read()
@@ -166,11 +213,14 @@ class Engine:
         """Write rows as JSON lines, as logs and metrics are exported."""
         history.json_lines(rows, *(columns or rows.columns)).write.mode("overwrite").text(path)
 
-    def similar_code(self, snippet: str, k: int = 10, least: float = 0.7, without_file: str | None = None) -> DataFrame:
-        """Chunks like a snippet, without those of its own file."""
-        rows = self.chunks.read()
-        rows = rows if without_file is None else rows.where(F.col("file_path") != without_file)
-        return vectors.search(rows, self._vector(snippet), k, least, id_column="chunk_id")
+    def similar_code(self, snippet: str, k: int = 10, least: float = 0.7, without_file: str | None = None, project: str | None = None, exact: bool = True, **flags: bool) -> DataFrame:
+        """Chunks like a snippet, without those of its own file: id and score, or with projection flags the chunks."""
+        where = self._where(project, None)
+        if without_file is not None:
+            other = F.col("file_path") != without_file
+            where = other if where is None else where & other
+        found = self.vector_index().search(self._query_vector(snippet), k, least, where, exact=exact)
+        return self._payload(found, **flags) if flags else found
 
     def metadata_search(self, filters: dict, limit: int = 100) -> DataFrame:
         """Chunks with the given values."""
@@ -190,7 +240,7 @@ class Engine:
         """Empty the store."""
         if not confirm:
             raise ValueError("resetting needs confirm=True")
-        for table in (self.chunks, self.projects, self.states):
+        for table in (self.chunks, self.projects, self.states, self.rejects):
             if table.read() is not None:
                 table.reset()
 

@@ -2,41 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import layers
 from ..functions import secrets as S
 from ..functions import text as T
 from ..operators import changes, history, monitoring, parsers, security, store
-from ..operators.keyword_index import KeywordIndex
 from .analytics import PATHS, REQ, paths, requests
-from .search import QUERY, SCORES, docs, tokens
-
-
-def folder(spark) -> str:
-    """A folder of this query's own that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/tessera/query-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="tessera-query-")
+from . import stored as kept
+from .search import QUERY, SCORES, docs
+from .stored import folder
 
 
 def index_search(spark, d):
-    index = KeywordIndex(spark, folder(spark), "1")
-    index.build(tokens(spark, d))
-    return index.search(QUERY, 10)
+    return kept.keyword_index(spark, d).search(QUERY, 10)
 
 
 def index_facts(spark, d):
-    index = KeywordIndex(spark, folder(spark), "1")
-    index.build(tokens(spark, d))
-    return index.size()
+    return kept.keyword_index(spark, d).size()
 
 
 def store_round_trip(spark, d):

@@ -39,8 +39,6 @@ def update_store(changed: DataFrame, store: Store, ingest: Callable[[DataFrame],
 
     def batch(rows: DataFrame, number: int) -> None:
         gone, todo = changes.work_sets(rows)
-        if store.read() is not None:
-            store.delete_files(gone)
-        store.upsert(ingest(todo))
+        store.replace_files(gone, ingest(todo))
 
     return changed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

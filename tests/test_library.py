@@ -202,19 +202,6 @@ def test_straight_functions_are_cut_to_size():
     assert max(p[7] for p in parts) <= parsers.MOST and "\n".join(p[8] for p in parts) == text.rstrip("\n")
 
 
-def test_store_survives_a_writer_that_dies(spark, tmp_path):
-    s = store.Store(spark, str(tmp_path / "s"))
-    s.write(spark.createDataFrame([("a", 1)], "chunk_id string, n int"))
-    old = s.version()
-    spark.createDataFrame([("b", 2)], "chunk_id string, n int").write.parquet(f"{s.path}/v-dead")  # written, never published
-    assert s.version() == old and [r.chunk_id for r in s.read().collect()] == ["a"]
-    number = s._pointers()[-1][0] + 1
-    s._point(number, "v-0")
-    with pytest.raises(RuntimeError):
-        s._point(number, "v-1")
-    assert s.version() == "v-0"
-
-
 def test_keyword_index_is_built_once_for_a_version(spark, tmp_path):
     from tessera.operators import bm25
     from tessera.operators.keyword_index import KeywordIndex
