@@ -50,6 +50,8 @@ LEAST = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Records that lie at most GAP bytes apart are read together, READ_BYTES at most at once (or one record).
 GAP, READ_BYTES = 64 << 10, 4 << 20
+#: Bytes of records that one task reads.
+TASK_BYTES = 64 << 20
 #: The date of the records, a parameter so that archives of equal tables are equal.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -272,7 +274,9 @@ def read_records(index: DataFrame, payloads: bool = True, gap: int = GAP, most:
             source.close()
 
     sought = index.select("path", "offset", "length")
-    return sought.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(read, schema)
+    volume = sought.agg(F.sum("length")).first()[0] or 0
+    tasks = max(shuffle_width(index.sparkSession), -(-volume // TASK_BYTES))  # by what they read, not by the few bytes of the index
+    return sought.repartition(tasks, "path").sortWithinPartitions("path", "offset").mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
