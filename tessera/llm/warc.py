@@ -1,14 +1,16 @@
 """WARC archives written and read through an index (operator 13).
 
-Writing: a first pass measures every payload and makes its response record, a
-gzip member of its own. The index comes before the archives: digests decide
-which records are responses and which revisits, a hash deals the records to
-archives of about ARCHIVE_BYTES, and running sums of the record lengths give
+Writing: a first pass measures every page: digest, size, and the length of its
+response record, a gzip member of its own. The index comes before the archives:
+digests decide which records are responses and which revisits, a hash deals the
+records to archives of about ARCHIVE_BYTES, and running sums of the lengths give
 every record's offset; the index has archive, offset, length, url and digest of
-each record and is written as a table. The archives are then written by one
-task each, in the order of the index. A task writes under a name of its own and
-renames at the end, and what it writes follows from the tables alone, so a task
-that runs twice does no harm.
+each record and is written as a table. It holds the short records, that is
+revisits and small responses, as they are; the others are made again in a second pass over the
+pages, so that no copy of the payloads lies between. The archives are written by
+one task each, in the order of the index. A task writes under a name of its own
+and renames at the end, and what it writes follows from the tables alone, so a
+task that runs twice does no harm.
 
 Reading: the selected rows of the index are sorted by archive and offset in
 Spark, and each task merges neighbours that lie at most GAP bytes apart into
@@ -16,8 +18,8 @@ reads of at most READ_BYTES, cuts the records out, and checks the digest and
 length of every payload. No archive is read as a whole.
 
 Of records with equal payloads (same SHA-1 and length) of at least ``least``
-bytes, that with the largest page_id (null is the smallest; among equal ids the
-last row) is the response, the others revisit it; smaller ones are all
+bytes, that with the largest page_id (null is the smallest; among equal ids by
+url, then the last row) is the response, the others revisit it; smaller ones are all
 responses. Within a batch of input only the copy that can win keeps its
 payload, so a page with many copies is moved about once for each batch.
 
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import keep, keep_folder, map_batches, shared_dir, shuffle_width, tune
+from .base import keep, keep_folder, map_batches, release, shared_dir, shuffle_width, tune
 
 #: Payloads from here on are written once.
 LEAST = 1000
@@ -65,9 +67,9 @@ def member(text: bytes) -> bytes:
     return packer.compress(text) + packer.flush()
 
 
-def record_id(row: int, page_id: str | None) -> str:
-    """A record's name holds the row and, unless null, the page."""
-    return f"<urn:page:{row}>" if page_id is None else f"<urn:page:{row}:{page_id.replace('%', '%25').replace('>', '%3E').replace(chr(13), '%0D').replace(chr(10), '%0A')}>"
+def record_id(own: str, page_id: str | None) -> str:
+    """A record's name holds what tells it from all others and, unless null, the page: the digest of a payload of a size that is written once, else the row."""
+    return f"<urn:page:{own}>" if page_id is None else f"<urn:page:{own}:{page_id.replace('%', '%25').replace('>', '%3E').replace(chr(13), '%0D').replace(chr(10), '%0A')}>"
 
 
 def page_of(name: str) -> str | None:
@@ -96,53 +98,74 @@ def info(date: str) -> bytes:
     return member(head.encode() + block + b"\r\n\r\n")
 
 
-def candidates(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame:
-    """Every page's row number, digest and size, and the response record of those that may become one."""
-    id_type = pages.schema["page_id"].dataType.simpleString()
+def measured(batch: pa.RecordBatch, least: int, date: str) -> tuple[list[str], list[int], list[bytes | None]]:
+    """Digests and sizes of a batch (row, page_id, name, url, html), and the response records of those that may become one.
+
+    Of equal payloads that are written once only the largest page of the batch
+    may (null is the smallest, then by url).
+    """
+    rows, ids, names, urls = (batch.column(k).to_pylist() for k in range(4))
+    payloads = pc.fill_null(batch.column(4), "").cast(pa.binary()).to_pylist()
+    digests, sizes = [hashlib.sha1(x).hexdigest() for x in payloads], [len(x) for x in payloads]
+    order = [(i is not None, i, u is not None, u, k) for k, (i, u) in enumerate(zip(ids, urls))]
+    best: dict[tuple[str, int], int] = {}
+    for k, key in enumerate(zip(digests, sizes)):
+        if sizes[k] >= least and (key not in best or order[k] > order[best[key]]):
+            best[key] = k
+    made = [record("response", record_id(digests[k] if n >= least else str(rows[k]), names[k]), urls[k], date, digests[k], n, payloads[k]) if n < least or best[digests[k], n] == k else None for k, n in enumerate(sizes)]
+    return digests, sizes, made
+
+
+def rows_of(pages: DataFrame) -> DataFrame:
+    """row, page_id, name, url, html."""
+    return pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.col("page_id").cast("string").alias("name"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+
+
+def measure(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame:
+    """Every page's row number, digest and size, the length of its response record if it may become one, and the record itself if it is small."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, names, urls = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        payloads = pc.fill_null(batch.column(4), "").cast(pa.binary()).to_pylist()
-        digests = [hashlib.sha1(x).hexdigest() for x in payloads]
-        best: dict[tuple[str, int], tuple] = {}
-        order = list(zip([x is not None for x in names], batch.column(1).to_pylist(), rows))
-        for k, x in enumerate(payloads):
-            if len(x) >= least:
-                key = digests[k], len(x)
-                if key not in best or order[k] > best[key]:
-                    best[key] = order[k]
-        made = [record("response", record_id(r, n), u, date, d, len(x), x) if len(x) < least or best[d, len(x)][2] == r else None for r, n, u, d, x in zip(rows, names, urls, digests, payloads)]
-        columns = [batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(digests, pa.string()), pa.array([len(x) for x in payloads], pa.int64()), pa.array([x and len(x) for x in made], pa.int64()), pa.array(made, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["row", "page_id", "name", "url", "digest", "size", "length", "member"])
-
-    chosen = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.col("page_id").cast("string").alias("name"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return map_batches(chosen, work, f"row long, page_id {id_type}, name string, url string, digest string, size long, length long, member binary")
-
-
-def archive_of(archives: int) -> Column:
-    """The archive that a row is dealt to."""
-    return F.pmod(F.xxhash64("row"), F.lit(archives)).cast("int")
-
-
-def decide(made: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame:
-    """The records without their payloads: type, length, and the bytes of revisits (``stub``)."""
-    light = made.select("row", "page_id", "name", "url", "digest", "size", "length")
-    first = light.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max(F.struct("page_id", "row", "name", "url")).alias("first"), F.count("*").alias("copies"))
+        digests, sizes, made = measured(batch, least, date)
+        columns = [*batch.columns[:4], pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array([x and len(x) for x in made], pa.int64()), pa.array([x if n < least else None for x, n in zip(made, sizes)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "page_id", "name", "url", "digest", "size", "length", "short"])
+
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    return map_batches(rows_of(pages), work, f"row long, page_id {id_type}, name string, url string, digest string, size long, length long, short binary")
+
+
+def large_records(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame:
+    """digest, size, name, url and the response record of large payloads, about one for each batch that has a payload."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        digests, sizes, made = measured(batch, least, date)
+        kept = [k for k, n in enumerate(sizes) if n >= least and made[k] is not None]
+        take = pa.array(kept, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([digests[k] for k in kept], pa.string()), pa.array([sizes[k] for k in kept], pa.int64()), batch.column(2).take(take), batch.column(3).take(take), pa.array([made[k] for k in kept], pa.binary())], names=["digest", "size", "name", "url", "member"])
+
+    return map_batches(rows_of(pages), work, "digest string, size long, name string, url string, member binary")
+
+
+def archive_of(archives: int, *by: str) -> Column:
+    """The archive that a record is dealt to."""
+    return F.pmod(F.xxhash64(*by), F.lit(archives)).cast("int")
+
+
+def decide(light: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame:
+    """The records without large payloads: type, length, and the bytes of short ones."""
+    first = light.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max(F.struct("page_id", "url", "row", "name")).alias("first"), F.count("*").alias("copies"))
     known = light.join(first.where("copies > 1").drop("copies"), ["digest", "size"], "left")
     revisit = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
-    known = known.select("row", "page_id", "name", "url", "digest", "size", "length", F.when(revisit, F.col("first.row")).alias("of_row"), F.when(revisit, F.col("first.name")).alias("of_name"), F.when(revisit, F.col("first.url")).alias("of_url"))
+    known = known.select("row", "page_id", "name", "url", "digest", "size", "length", "short", revisit.alias("revisit"), F.when(revisit, F.col("first.name")).alias("of_name"), F.when(revisit, F.col("first.url")).alias("of_url"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lengths, of = batch.column(6).to_pylist(), batch.column(7).to_pylist()
-        stubs: list[bytes | None] = [None] * batch.num_rows
-        for k in [k for k, x in enumerate(of) if x is not None]:
-            row, _, name, url, digest, size, _, _, of_name, of_url = (c[k].as_py() for c in batch.columns)
-            stubs[k] = record("revisit", record_id(row, name), url, date, digest, size, of=(record_id(of[k], of_name), of_url))
-            lengths[k] = len(stubs[k])
-        kinds = ["response" if x is None else "revisit" for x in stubs]
-        return pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(lengths, pa.int64()), pa.array(kinds, pa.string()), pa.array(stubs, pa.binary())], names=["row", "page_id", "name", "url", "digest", "size", "length", "record_type", "stub"])
+        lengths, short, again = batch.column(6).to_pylist(), batch.column(7).to_pylist(), batch.column(8).to_pylist()
+        for k in [k for k, x in enumerate(again) if x]:
+            row, _, name, url, digest, size, _, _, _, of_name, of_url = (c[k].as_py() for c in batch.columns)
+            short[k] = record("revisit", record_id(str(row), name), url, date, digest, size, of=(record_id(digest, of_name), of_url))
+            lengths[k] = len(short[k])
+        return pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(lengths, pa.int64()), pa.array(["revisit" if x else "response" for x in again], pa.string()), pa.array(short, pa.binary())], names=["row", "page_id", "name", "url", "digest", "size", "length", "record_type", "short"])
 
-    return map_batches(known, work, f"row long, page_id {made.schema['page_id'].dataType.simpleString()}, name string, url string, digest string, size long, length long, record_type string, stub binary")
+    return map_batches(known, work, f"row long, page_id {light.schema['page_id'].dataType.simpleString()}, name string, url string, digest string, size long, length long, record_type string, short binary")
 
 
 def system(uri: str):
@@ -161,13 +184,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     spark = pages.sparkSession
     tune(spark)
     folder = folder or keep_folder(spark, f"{shared_dir(spark)}/tessera/warc-{uuid.uuid4().hex}")
-    made = keep(candidates(pages, least, date), "warc-records")
-    volume = made.agg(F.sum("length")).first()[0] or 0
+    light = keep(measure(pages, least, date), "warc-pages")
+    volume = light.agg(F.sum("length")).first()[0] or 0
     archives = max(shuffle_width(spark), -(-volume // archive_bytes))
     head = info(date)
-    before = Window.partitionBy("archive").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = decide(made, least, date).withColumn("archive", archive_of(archives)).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)) + F.lit(len(head)))
+    # short records may lie anywhere; a large response lies where its payload's hash says
+    decided = decide(light, least, date).withColumn("archive", F.when(F.col("short").isNull(), archive_of(archives, "digest", "size")).otherwise(archive_of(archives, "row")))
+    order = [F.col("digest"), F.col("size"), F.when(F.col("short").isNull(), 0).otherwise(2).alias("kind"), F.col("row")]
+    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = decided.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)) + F.lit(len(head)))
     index = keep(placed.withColumn("path", F.concat(F.lit(folder + "/"), F.format_string("%06d.warc.gz", "archive"))), "warc-index")
+    release(light)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = system(folder)
@@ -180,8 +207,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
             return pa.RecordBatch.from_arrays([pa.array([archive], pa.int32()), pa.array([count], pa.int64()), pa.array([at], pa.int64())], names=["archive", "records", "bytes"])
 
         for batch in batches:
-            for number, row, kind, offset, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == 0:  # a row of the index
+            for number, digest, size, kind, _, name, url, offset, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind != 1:  # a row of the index
                     if number != archive:
                         if out is not None:
                             yield finish()
@@ -189,18 +216,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
                         out, count, at = store.open_output_stream(own), 0, len(head)
                         out.write(head)
                     if offset != at:
-                        raise ValueError(f"record {row} would lie at {at}, not at {offset}")
-                    wanted = row if text is None else None
-                if text is not None and (kind == 0 or wanted == row):
+                        raise ValueError(f"a record would lie at {at}, not at {offset}")
+                    wanted = (digest, size, name, url) if kind == 0 else None
+                if kind == 2 or wanted == (digest, size, name, url) and kind == 1:
                     out.write(text)
-                    at, count = at + len(text), count + 1
+                    at, count, wanted = at + len(text), count + 1, None
         if out is not None:
             yield finish()
 
-    dealt = F.col("archive")
-    rows = index.select("archive", "row", F.lit(0).alias("kind"), "offset", F.col("stub").alias("member"))
-    texts = made.where(F.col("member").isNotNull()).select(archive_of(archives).alias("archive"), "row", F.lit(1), F.lit(None).cast("long"), "member")
-    written = rows.union(texts).repartitionById(archives, dealt).sortWithinPartitions("archive", "row", "kind").mapInArrow(write, "archive int, records long, bytes long")
+    rows = index.select("archive", *order, "name", "url", "offset", F.col("short").alias("member"))
+    texts = large_records(pages, least, date).select(archive_of(archives, "digest", "size").alias("archive"), "digest", "size", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("row"), "name", "url", F.lit(0).cast("long").alias("offset"), "member")
+    written = rows.union(texts).repartitionById(archives, F.col("archive")).sortWithinPartitions("archive", "digest", "size", "kind", "row").mapInArrow(write, "archive int, records long, bytes long")
     done = written.agg(F.sum("records"), F.sum(F.col("bytes") - len(head))).first()
     asked = index.agg(F.count("*"), F.sum("length")).first()
     if tuple(x or 0 for x in done) != tuple(x or 0 for x in asked):

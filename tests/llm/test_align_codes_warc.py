@@ -186,7 +186,7 @@ BIG = "<p>" + "page " * 300 + "</p>"
 
 
 def test_archives_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/", BIG), (2, "http://b/", BIG), (3, None, BIG), (3, "http://c/\r\nX: y", BIG), (4, "http://d/", "small"), (5, "http://e/", "small"), (6, "http://f/", None), (7, "http://g/", ""), (None, "http://h/", BIG), (None, None, BIG + "é"), (None, "http://i/", BIG + "é"), (8, "http://j/", "x" * 3_000_000), (9, "http://k/", "é" * 500), (10, "http://l/", "é" * 500), (11, "http://m/", "\r\n\r\nWARC/1.1\r\n" * 200)]
+    rows = [(1, "http://a/", BIG), (2, "http://b/", BIG), (3, None, BIG), (3, "http://c/\r\nX: y", BIG), (4, "http://d/", "small"), (5, "http://e/", "small"), (6, "http://f/", None), (7, "http://g/", ""), (None, "http://h/", BIG), (None, None, BIG + "é"), (None, "http://i/", BIG + "é"), (8, "http://j/", "x" * 3_000_000), (9, "http://k/", "é" * 500), (10, "http://l/", "é" * 500), (11, "http://m/", "\r\n\r\nWARC/1.1\r\n" * 200), (12, "http://n/", "y" * 2000), (12, "http://n/", "y" * 2000), (13, "http://o/", "z"), (13, "http://o/", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"row": F.lit(5), "OFFSET": F.lit("z"), "digest": F.lit(None).cast("int")}).repartition(3)
     index = warc.write_archives(pages, str(tmp_path / "archives"), archive_bytes=10_000)
     assert index.count() == len(rows)
@@ -218,6 +218,7 @@ def test_archives_round_trip(spark, tmp_path):
     assert of(BIG + "é") == Counter({("response", None, None): 1, ("revisit", None, None): 1})
     assert of("small") == Counter({("response", "4", None): 1, ("response", "5", None): 1})
     assert of("é" * 500) == Counter({("response", "10", None): 1, ("revisit", "9", "10"): 1})
+    assert of("y" * 2000) == Counter({("response", "12", None): 1, ("revisit", "12", "12"): 1}) and of("z") == Counter({("response", "13", None): 2})
     some = warc.read_records(index.where("page_id in (4, 8)"))
     assert sorted((r.name, len(r.payload)) for r in some.collect()) == [("4", 5), ("8", 3_000_000)]
 
