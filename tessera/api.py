@@ -7,6 +7,7 @@ from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from .operators import bm25, changes, fusion, history, parsers, security, stats, vectors
 from .operators.embedding import EmbeddingMemo
@@ -82,26 +83,73 @@ class Engine:
     def process_commits(self, repo: str, project: str) -> DataFrame:
         """Bring the store up to date commit by commit, oldest first: commit, status, error.
 
-        The last good commit is kept after each; the first failure ends the run,
-        and the next call begins after the last good one.
+        Files are read as they were at their commit. The last good commit is
+        kept after each; the first failure ends the run, and the next call
+        begins after the last good one.
         """
-        progress = Store(self.spark, f"{self.chunks.path}-progress", "project_id")
-        held = progress.read()
-        last = held.where(F.col("project_id") == project).first() if held is not None else None
-        done = []
-        for c in self.commits(repo, last["commit"] if last else None).collect():
-            touched = [f for f in c["files"] if f.endswith(files.SUFFIXES)]
-            try:
-                if touched:
-                    rows = files.listed(self.spark, [f"{repo}/{f}" for f in touched], repo, project)
-                    self._replace(rows, project, self.spark.createDataFrame([(f,) for f in touched], "path string"))
-                progress.upsert(self.spark.createDataFrame([(project, c["commit"], c["committed_at"])], "project_id string, commit string, committed_at bigint"))
-            except Exception as error:  # noqa: BLE001
-                done.append((c["commit"], "failed", str(error)[:500]))
-                break
-            done.append((c["commit"], "completed", None))
+        last = self._last_commit(project)
+        git.register(self.spark)
+        reader = self.spark.read.format("git_changes").option("path", repo)
+        done = self._apply((reader.option("since", last[1]) if last else reader).load(), repo, project)
         return self.spark.createDataFrame(done, "commit string, status string, error string")
 
+    def follow_commits(self, repo: str, project: str, remote: str | None = None, branch: str = "main", every: str | None = None) -> StreamingQuery:
+        """The same as a stream that starts over after the last good commit; a failure ends the query with its error.
+
+        ``every`` keeps it running at an interval (without it all that is there
+        is done once). With a ``remote`` its head is asked each time, and fetched
+        only if it is new.
+        """
+        git.register(self.spark)
+        reader = self.spark.readStream.format("git_changes").option("path", repo)
+        if remote:
+            reader = reader.option("remote", remote).option("branch", branch)
+
+        def batch(rows: DataFrame, number: int) -> None:
+            for commit, status, error in self._apply(rows, repo, project):
+                if status == "failed":
+                    raise RuntimeError(f"commit {commit}: {error}")
+
+        writer = reader.load().writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.path}/commits-{project}")
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+    def _progress(self) -> Store:
+        return Store(self.spark, f"{self.path}/progress", "project_id", buckets=1)
+
+    def _last_commit(self, project: str) -> tuple[int, str] | None:
+        """Number and name of a project's last good commit."""
+        held = self._progress().read()
+        row = held.where(F.col("project_id") == project).first() if held is not None else None
+        return (row["n"], row["commit"]) if row else None
+
+    def _apply(self, rows: DataFrame, repo: str, project: str) -> list[tuple[str, str, str | None]]:
+        """Apply changes commit by commit until one fails; commits that are done already are left out, so a batch may come again."""
+        progress, last, done = self._progress(), self._last_commit(project), []
+        rows = rows.where(F.col("n") > last[0]) if last else rows
+        rows = rows.cache()
+        try:
+            for c in rows.groupBy("n", "commit", "committed_at").agg(F.count(F.lit(1))).orderBy("n").collect():
+                try:
+                    mine = rows.where((F.col("n") == c["n"]) & F.col("file_path").rlike("(" + "|".join(s.replace(".", r"\.") for s in files.SUFFIXES) + ")$"))
+                    gone, todo = changes.work_sets(mine)
+                    touched = gone.union(todo).distinct().withColumnRenamed("file_path", "path")
+                    if not mine.isEmpty():
+                        self._replace(files.committed(repo, mine, project), project, touched)
+                    progress.upsert(self.spark.createDataFrame([(project, c["n"], c["commit"], c["committed_at"])], "project_id string, n long, commit string, committed_at bigint"))
+                except Exception as error:  # noqa: BLE001
+                    done.append((c["commit"], "failed", str(error)[:500]))
+                    break
+                done.append((c["commit"], "completed", None))
+        finally:
+            rows.unpersist()
+        return done
+
+    def commit_diff(self, repo: str, commit: str) -> DataFrame:
+        """What one commit changed: file_path, change_type, old_path, file_hash."""
+        git.register(self.spark)
+        one = self.spark.read.format("git_changes").option("path", repo).option("revision", commit).load()
+        return one.where(F.col("commit") == commit).select("file_path", "change_type", "old_path", F.col("blob").alias("file_hash"))
+
     def _replace(self, rows: DataFrame, project: str, touched: DataFrame | None = None) -> dict:
         """Store the chunks of some files in place of all that the project has of them (or of the ``touched`` paths)."""
         good, bad = self._ingest(rows, project)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layers import IGNORED_FOLDERS, IGNORED_SUFFIXES, ignored, language_of
+from .git import contents
 
 #: Suffixes that are read by default.
 SUFFIXES = (".java", ".kt", ".html", ".htm", ".xml", ".yaml", ".yml", ".properties", ".py", ".pyw")
@@ -46,6 +47,11 @@ def listed(spark: SparkSession, paths: list[str], root: str | None = None, proje
     return _named(spark.read.format("binaryFile").load(there), root, project)
 
 
+def committed(repo: str, changed: DataFrame, project: str | None = None) -> DataFrame:
+    """Changed files (file_path, blob, committed_at) as they were at their commit."""
+    return _named(contents(repo, changed), None, project)
+
+
 def legacy_states(spark: SparkSession, path: str) -> DataFrame:
     """project_id, file_path, file_hash from JSON state files, one object each with a map of hashes."""
     raw = spark.read.schema("project_id string, last_commit_hash string, file_hashes map<string,string>").json(path, multiLine=True)
