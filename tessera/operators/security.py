@@ -1,16 +1,22 @@
 """Secret detection, masking and reports.
 
-Detection stays in the JVM: each pattern's matches and their offsets are
-extracted within the row; only lines with a match are shuffled, by chunk and
-line number. Every occurrence is kept. Reports aggregate small rows.
+Every pattern has something that its matches must hold: a literal, or a long
+run of letters and digits. One automaton over all literals reads the texts in
+Arrow batches, and a line meets only the patterns whose mark it holds; lines
+without a mark end there. The patterns themselves run in the JVM, with the
+offsets of every match; only lines with a match are shuffled, by chunk and line
+number. Every occurrence is kept. Reports aggregate small rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import warnings
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import secrets as S
@@ -19,30 +25,137 @@ from ..functions import secrets as S
 TEST_PATH, EXAMPLE, LOWERED = r"(?i)(^|/)tests?(/|_)|test_|_test\.", r"(?i)(example|sample|dummy|placeholder|changeme|your[_-])", 0.3
 
 
-def _matches(line: Column, kind: str, name: str, confidence: float, pattern: str) -> Column:
-    """All matches of a pattern in a line, upper and lower case alike, with the offset of the secret: the pattern's group if there is one.
+#: Letters of a literal, and of a run of letters and digits, that make a mark.
+LITERAL, RUN = 3, 20
+
+
+def required(pattern: str) -> str | int | None:
+    """What every match of a pattern must hold: its longest literal in lower case, or else the length of its longest run of letters and digits (RUN at least); None if neither is known."""
+    try:
+        tree = re._parser.parse(pattern)
+    except re.error:  # only Java knows it
+        return None
+    literals, runs, held, run = [], [0], [], 0
+
+    def walk(nodes) -> None:
+        nonlocal run
+        for kind, value in nodes:
+            name = str(kind)
+            if name == "SUBPATTERN":
+                walk(value[-1])
+                continue
+            one = value[2][0] if name == "MAX_REPEAT" and len(value[2]) == 1 else (kind, value)
+            times = value[0] if name == "MAX_REPEAT" else 1
+            if name == "LITERAL":
+                held.append(chr(value))
+            else:
+                literals.append("".join(held))
+                held.clear()
+            run = run + times if times and (str(one[0]) == "IN" and _letters(one[1]) or str(one[0]) == "LITERAL" and _letters([one])) else 0
+            runs.append(run)
+
+    walk(tree)
+    literals.append("".join(held))
+    best = max(literals, key=len).lower()
+    if len(best) >= LITERAL and best.isascii():
+        return best
+    return max(runs) if max(runs) >= RUN else None
+
+
+def _letters(members: list) -> bool:
+    """Whether a class has only letters and digits."""
+    for kind, value in members:
+        low, high = value if str(kind) == "RANGE" else (value, value) if str(kind) == "LITERAL" else (0, 0)
+        if not (chr(low).isalnum() and chr(high).isalnum() and high < 128):
+            return False
+    return True
+
+
+@lru_cache(maxsize=8)
+def _automaton(literals: tuple[str, ...]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for k, x in enumerate(literals):
+        found.add_word(x, k)
+    found.make_automaton()
+    return found
+
+
+def _candidates(chunks: DataFrame, catalogue: list[tuple]) -> DataFrame:
+    """chunk_id, file_path, line_number, line, patterns (numbers of those that may match) of lines with a mark."""
+    needs = [required(p[4]) for p in catalogue]
+    literals = tuple(sorted({x for x in needs if isinstance(x, str)}))
+    of_literal = [[k for k, x in enumerate(needs) if x == text] for text in literals]
+    lengths = sorted({x for x in needs if isinstance(x, int)})
+    of_run = [(re.compile(rf"[A-Za-z0-9]{{{n}}}"), [k for k, x in enumerate(needs) if x == n]) for n in lengths]
+    always = [k for k, x in enumerate(needs) if x is None]
+    id_type = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        marks = _automaton(literals) if literals else None
+        for batch in batches:
+            rows, numbers, lines, patterns = [], [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                if not text:
+                    continue
+                breaks = [m.start() for m in re.finditer("\n", text)]
+                hits: dict[int, set[int]] = {n: set(always) for n in range(len(breaks) + 1)} if always else {}
+                if marks is not None:
+                    low = text.encode().lower().decode()  # A-Z alone, so offsets stay
+                    for at, j in marks.iter(low):
+                        hits.setdefault(bisect_right(breaks, at), set()).update(of_literal[j])
+                for shape, which in of_run:
+                    for m in shape.finditer(text):
+                        hits.setdefault(bisect_right(breaks, m.start()), set()).update(which)
+                for n in sorted(hits):
+                    rows.append(k)
+                    numbers.append(n + 1)
+                    lines.append(text[breaks[n - 1] + 1 if n else 0 : breaks[n] if n < len(breaks) else len(text)])
+                    patterns.append(sorted(hits[n]))
+            if rows:
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(lines, pa.string()), pa.array(patterns, pa.list_(pa.int32()))], names=["chunk_id", "file_path", "line_number", "line", "patterns"])
+
+    return chunks.mapInArrow(run, f"chunk_id {id_type}, file_path string, line_number int, line string, patterns array<int>")
+
+
+def _matched(rows: DataFrame, catalogue: list[tuple]) -> DataFrame:
+    """All matches of the candidates, upper and lower case alike, with the offset of the secret: the pattern's group if there is one.
 
     The gaps between the matches and the matches' own lengths add up to the
     offsets; the part of a match before its group is made a group too.
     """
-    p = f"(?i){pattern}"
-    group = _group(pattern)
-    pick = lambda expression, n: F.regexp_extract_all(line, F.lit(expression), F.lit(n))
-    whole, gaps = pick(p, 0), F.split(line, p, -1)
-    if group is None:
-        found, before = whole, F.lit(None)
-    else:
-        parted = f"(?i)({pattern[:group]}){pattern[group:]}"
-        found, before = pick(parted, 2), pick(parted, 1)
+    table = []
+    for k, (_, kind, name, confidence, pattern) in enumerate(catalogue):
+        group = _group(pattern)
+        table.append((k, kind, name, float(confidence), f"(?i){pattern}", f"(?i){pattern}" if group is None else f"(?i)({pattern[:group]}){pattern[group:]}", group is not None))
+    patterns = rows.sparkSession.createDataFrame(table, "k int, secret_type string, pattern_name string, confidence double, p string, parted string, grouped boolean")
+    each = rows.select("chunk_id", "file_path", "line_number", "line", F.explode("patterns").alias("k")).join(F.broadcast(patterns), "k").where(F.rlike("line", F.col("p")))
+    pick = lambda n: F.regexp_extract_all("line", F.col("parted"), F.lit(n))
+    whole = F.regexp_extract_all("line", F.col("p"), F.lit(0))
+    each = each.withColumns({"whole": whole, "gaps": F.split("line", F.col("p"), -1), "found": F.when(F.col("grouped"), pick(2)).otherwise(whole), "before": F.when(F.col("grouped"), pick(1))})
     length = lambda parts: F.length(F.concat_ws("", parts))
 
     def at(m: Column, i: Column) -> Column:
-        start = length(F.slice(gaps, F.lit(1), i + 1)) + length(F.slice(whole, F.lit(1), i))
-        start = start if group is None else start + F.length(F.get(before, i))
-        return F.struct(F.lit(kind).alias("secret_type"), F.lit(name).alias("pattern_name"), F.lit(float(confidence)).alias("confidence"), m.alias("content"), start.cast("int").alias("start_position"))
+        start = length(F.slice("gaps", F.lit(1), i + 1)) + length(F.slice("whole", F.lit(1), i)) + F.coalesce(F.length(F.get("before", i)), F.lit(0))
+        return F.struct(m.alias("content"), start.cast("int").alias("start_position"))
 
-    none = F.array().cast("array<struct<secret_type:string,pattern_name:string,confidence:double,content:string,start_position:int>>")
-    return F.when(line.rlike(p), F.transform(found, at)).otherwise(none)
+    return each.select("chunk_id", "file_path", "line_number", "line", "secret_type", "pattern_name", "confidence", F.inline(F.transform("found", at)))
+
+
+def sound_patterns(spark: SparkSession, custom: tuple) -> list[tuple]:
+    """The custom rows whose pattern Java can compile; a warning names the others."""
+    good = []
+    for entry in custom:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(entry[4])
+            good.append(entry)
+        except Exception as error:  # noqa: BLE001
+            warnings.warn(f"pattern {entry[2]} is left out: {str(error)[:200]}", stacklevel=2)
+    return good
 
 
 def _group(pattern: str) -> int | None:
@@ -72,12 +185,12 @@ def detect(chunks: DataFrame, id_column: str = "chunk_id", content: str = "conte
 
     ``custom`` adds rows as in the catalogue; what a ``whitelist`` pattern
     matches is left out; confidence below ``threshold`` too. Of overlapping
-    matches the longest stays, then the most confident, then the left-most.
+    matches the longest stays, then the most confident, then the left-most. A
+    custom pattern that can't be compiled is left out with a warning.
     """
-    catalogue = (*S.patterns_for(framework, env), *custom)
-    lines = chunks.select(F.col(id_column).alias("chunk_id"), (F.col(path) if path else F.lit("")).alias("file_path"), F.posexplode(F.split(F.coalesce(F.col(content), F.lit("")), "\n")).alias("n", "line"))
-    found = F.flatten(F.array(*[_matches(F.col("line"), t, n, c, p) for _, t, n, c, p in catalogue]))
-    rows = lines.select("chunk_id", "file_path", "n", "line", F.explode(found).alias("s")).select("chunk_id", "file_path", (F.col("n") + 1).alias("line_number"), "line", "s.*").where(F.col("content") != "")
+    catalogue = [*S.patterns_for(framework, env), *sound_patterns(chunks.sparkSession, custom)]
+    texts = chunks.select(F.col(id_column).alias("chunk_id"), (F.col(path) if path else F.lit("")).alias("file_path"), F.col(content).alias("content"))
+    rows = _matched(_candidates(texts, catalogue), catalogue).where(F.col("content") != "")
     lowered = F.col("file_path").rlike(TEST_PATH) | F.col("content").rlike(EXAMPLE)
     rows = rows.withColumn("confidence", F.round(F.when(lowered, F.col("confidence") - LOWERED).otherwise(F.col("confidence")), 6)).where(F.col("confidence") >= threshold)
     for w in whitelist:

@@ -246,3 +246,33 @@ def test_a_missing_folder_has_no_files(spark, tmp_path):
     from tessera.sources import files
 
     assert files.repository(spark, str(tmp_path / "nothing"), "p").count() == 0
+
+
+@pytest.mark.parametrize("pattern,want", [("a{3}", None), ("(abc)?d", None), ("(foo|bar)Bazz", "bazz"), ("x[a-z]{25}y", 27), ("ab*cde", "cde"), ("[A-Z]{10}-[A-Z]{19}", None), ("(?<n>secret)", None), (r"key\s*=\s*([^']+)", "key")])
+def test_marks_of_patterns(pattern, want):
+    assert security.required(pattern) == want
+
+
+def test_prefilter_loses_no_match(spark):
+    """Every pattern, with its mark in any case and at any place, against all patterns tried on every line."""
+    import re
+
+    samples = {"aws_access_key_id": "AKIA" + "A1" * 8, "twilio_account_sid": "ac" + "0f" * 16, "discord_token": "M" + "a" * 23 + "." + "b" * 6 + "." + "c" * 27, "python_password": "PassWord = 'abcd9'", "slack_token": "XOXB-1234567890-ab", "stripe_test_key": "sk_TEST_" + "a" * 24, "ssh_private_key": "-----BEGIN PRIVATE KEY-----", "env": "K x éİ api_KEY = \"" + "k" * 20 + "\""}
+    rows = spark.createDataFrame([(f"{name}{k}", before + text + after) for name, text in samples.items() for k, (before, after) in enumerate((("", ""), ("éİ \n\n x ", "\n"), ("one\r\n", "\ntwo\n")))] + [("none", "nothing\nhere"), ("null", None)], "chunk_id string, content string")
+    got = {(r.chunk_id, r.pattern_name, r.line_number, r.start_position, r.content) for r in security.detect(rows, path=None, threshold=-1.0).collect()}
+    want = set()
+    for r in rows.collect():
+        for n, line in enumerate((r.content or "").split("\n"), 1):
+            hits = [(m.start(1) if m.re.groups and m[1] else m.start(), m[1] if m.re.groups and m[1] else m[0], name, c) for _, _, name, c, p in S.patterns_for() for m in re.finditer(p, line, re.I | re.A)]
+            for at, text, name, c in hits:
+                beaten = any(b < at + len(text) and at < b + len(t) and (len(t), d, -b, other) > (len(text), c, -at, name) for b, t, other, d in hits)
+                if not beaten:
+                    want.add((r.chunk_id, name, n, at, text))
+    assert got == want and len(got) >= 24
+
+
+def test_a_bad_custom_pattern_is_left_out(spark):
+    rows = spark.createDataFrame([("a", "code-77")], "chunk_id string, content string")
+    with pytest.warns(UserWarning, match="broken"):
+        found = security.detect(rows, path=None, custom=(("x", "code", "broken", 0.9, "(["), ("x", "code", "good", 0.9, r"code-(\d++)"))).collect()
+    assert [(r.pattern_name, r.content, r.start_position) for r in found] == [("good", "77", 5)]
