@@ -15,7 +15,8 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import layers
 from ..schemas import PARSED
@@ -57,15 +58,15 @@ def lines_of(path: str, text: str, language: str = "unknown", least: int = LEAST
 
 def dotted(node: ast.AST) -> str:
     """Dotted name of a decorator, base class or annotation."""
-    if isinstance(node, ast.Call):
-        return dotted(node.func)
-    if isinstance(node, ast.Attribute):
-        return f"{dotted(node.value)}.{node.attr}"
-    if isinstance(node, ast.Subscript):
-        return f"{dotted(node.value)}[{dotted(node.slice)}]"
-    if isinstance(node, ast.Constant):
-        return str(node.value)
-    return node.id if isinstance(node, ast.Name) else "Any"
+    after: list[str] = []  # what follows the innermost name, outermost first
+    while isinstance(node, (ast.Call, ast.Attribute, ast.Subscript)):
+        if isinstance(node, ast.Attribute):
+            after.append(f".{node.attr}")
+        elif isinstance(node, ast.Subscript):
+            after.append(f"[{dotted(node.slice)}]")
+        node = node.func if isinstance(node, ast.Call) else node.value
+    name = str(node.value) if isinstance(node, ast.Constant) else node.id if isinstance(node, ast.Name) else "Any"
+    return name + "".join(reversed(after))
 
 
 def imports_of(tree: ast.Module) -> tuple[set[str], dict[str, set[str]]]:
@@ -161,15 +162,7 @@ def python_by_indent(path: str, text: str) -> list[tuple]:
     """Blocks of broken Python by indentation: classes, their methods, and functions outside of these."""
     lines, out, owners = text.split("\n"), [], []
     indents = [len(x) - len(x.lstrip()) if x.strip() and not x.lstrip().startswith("#") else None for x in lines]
-    # after each line the first one that is indented no deeper; found from the end with a stack
-    ends, stack = [len(lines)] * len(lines), []
-    for n in range(len(lines) - 1, -1, -1):
-        if indents[n] is not None:
-            while stack and indents[stack[-1]] > indents[n]:
-                stack.pop()
-            ends[n] = stack[-1] if stack else len(lines)
-            stack.append(n)
-    n = 0
+    ends, n = indent_ends(indents), 0
     while n < len(lines):
         m = re.match(r"(\s*)(class|(?:async\s+)?def)\s+(\w+)", lines[n])
         if not m:
@@ -203,20 +196,19 @@ def python_metrics(text: str) -> dict[str, float]:
         elif isinstance(n, ast.BoolOp):
             cyclomatic += len(n.values) - 1
 
-    def cognitive(node: ast.AST, depth: int) -> int:
-        total = 0
+    # a stack of its own: long elif chains and sums are deep trees
+    cognitive, nesting, stack = 0, 0, [(tree, 0, 0)]
+    while stack:
+        node, loops, blocks = stack.pop()
+        nesting = max(nesting, blocks)
         for child in ast.iter_child_nodes(node):
             nests = isinstance(child, (ast.If, ast.While, ast.For, ast.AsyncFor))
-            total += 1 + depth if nests or isinstance(child, ast.ExceptHandler) else int(isinstance(child, ast.BoolOp))
-            total += cognitive(child, depth + nests)
-        return total
-
-    def nesting(node: ast.AST, depth: int) -> int:
-        return max([depth, *(nesting(c, depth + isinstance(c, (ast.If, ast.While, ast.For, ast.With, ast.Try))) for c in ast.iter_child_nodes(node))])
+            cognitive += 1 + loops if nests or isinstance(child, ast.ExceptHandler) else int(isinstance(child, ast.BoolOp))
+            stack.append((child, loops + nests, blocks + isinstance(child, (ast.If, ast.While, ast.For, ast.With, ast.Try))))
 
     functions = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
     parameters = [a for f in functions for a in f.args.args]
-    return {"cyclomatic": float(cyclomatic), "cognitive": float(cognitive(tree, 0)), "nesting": float(nesting(tree, 0)), "functions": float(len(functions)), "hinted_returns": sum(f.returns is not None for f in functions) / max(1, len(functions)), "hinted_parameters": sum(a.annotation is not None for a in parameters) / max(1, len(parameters))}
+    return {"cyclomatic": float(cyclomatic), "cognitive": float(cognitive), "nesting": float(nesting), "functions": float(len(functions)), "hinted_returns": sum(f.returns is not None for f in functions) / max(1, len(functions)), "hinted_parameters": sum(a.annotation is not None for a in parameters) / max(1, len(parameters))}
 
 
 def python_pieces(path: str, text: str, least: int = LEAST, most: int = MOST) -> list[tuple]:
@@ -232,6 +224,18 @@ def python_pieces(path: str, text: str, least: int = LEAST, most: int = MOST) ->
     if found and size(found[0].lineno, found[-1].end_lineno) >= 10:
         add(found[0].lineno, found[-1].end_lineno, "imports")
 
+    def by_lines(start: int, stop: int, kind: str, name: str | None, owner: str | None) -> tuple[int, int]:
+        """Cut parts off while what is left is too large; the next line and part number."""
+        part = 1
+        while size(start, stop) > most:
+            cut, held = start, len(lines[start - 1])
+            while cut < stop and (held + 1 + len(lines[cut])) // 4 <= most:
+                held += 1 + len(lines[cut])
+                cut += 1
+            add(start, cut, kind, name and f"{name}_part{part}", owner)
+            start, part = cut + 1, part + 1
+        return start, part
+
     def function(node, owner: str | None) -> None:
         a, b = min([node.lineno, *(d.lineno for d in node.decorator_list)]), node.end_lineno
         if size(a, b) <= most:
@@ -260,8 +264,9 @@ def python_pieces(path: str, text: str, least: int = LEAST, most: int = MOST) ->
                 continue
             methods = [m for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
             header = (methods[0].lineno - 1) if methods else node.end_lineno
-            if size(node.lineno, header) >= least:
-                add(node.lineno, header, "class_header", None, node.name)
+            start, part = by_lines(node.lineno, header, "class_header", None, node.name)
+            if start <= header and (size(start, header) >= least or part > 1):
+                add(start, header, "class_header", None, node.name)
             for m in methods:
                 function(m, node.name)
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -278,18 +283,20 @@ def python_pieces(path: str, text: str, least: int = LEAST, most: int = MOST) ->
 
 # ---- Java -------------------------------------------------------------------
 
-TYPE = re.compile(r"((?:(?:public|protected|private|static|final|abstract|sealed)\s+)*)(class|interface|enum|record)\s+(\w+)(?:<[^{]*?>)?([^{;]*)\{")
+#: A type's keyword and name; its modifiers are read backwards from there, and its header ends at the next brace.
+TYPE = re.compile(r"\b(class|interface|enum|record)\s++(\w++)")
 #: A method's name, arguments and opening brace; its header is read backwards from there, so the scan is linear.
 METHOD = re.compile(r"(?<![\w.])(\w++)\s*+\(([^()]*+)\)\s*+(?:throws\s++[\w.]++(?:\s*+,\s*+[\w.]++)*+\s*+)?+\{")
 RETURNS = re.compile(r"[\w.<>\[\], ?&]+")
 MODIFIERS = {"public", "protected", "private", "static", "final", "abstract", "synchronized", "default", "native"}
+TYPE_MODIFIERS = {"public", "protected", "private", "static", "final", "abstract", "sealed"}
 #: Words that look like a return type or a method's name before a block.
 NOT_TYPES, NOT_NAMES = {"return", "new", "else", "throw", "case", "do", "try"}, {"if", "for", "while", "switch", "catch", "synchronized", "try"}
 
 
 def blanked(text: str) -> str:
-    """Java with strings and comments replaced by blanks of the same length."""
-    return re.sub(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+    """Java with strings and comments replaced by blanks of the same length; an open string ends with its line, an open comment with the text."""
+    return re.sub(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*+"?|\'(?:\\.|[^\'\\\n])*+\'?', lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
 
 
 def brace_ends(code: str) -> dict[int, int]:
@@ -303,13 +310,33 @@ def brace_ends(code: str) -> dict[int, int]:
     return ends
 
 
-def header_of(code: str, name: int, floor: int) -> tuple[int, list[str]] | None:
-    """Where the header before a method's name begins, and its words without annotations; None if it is no method's."""
-    begin = max(floor, *(code.rfind(x, floor, name) + 1 for x in ";{})"))
+def header_of(code: str, name: int, floor: int, marks: list[int]) -> tuple[int, list[str]] | None:
+    """Where the header before a method's name begins, and its words without annotations; None if it is no method's. ``marks`` are the places of ;{})."""
+    k = bisect_left(marks, name)
+    begin = max(floor, marks[k - 1] + 1 if k else 0)
     words = [(m.start(), m[0]) for m in re.finditer(r"\S+", code[begin:name]) if not m[0].startswith("@")]
     return (begin + words[0][0], [w for _, w in words]) if words else None
 
 
+def parameter_names(text: str) -> list[str]:
+    """Names in a parameter list; commas between angle brackets don't part."""
+    plain, depth = [], 0
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        plain.append(" " if depth or c == ">" else c)
+    return [x.split()[-1] for x in "".join(plain).split(",") if x.strip()]
+
+
+def annotations_before(code: str, floor: int, end: int) -> int:
+    """Where the annotations begin that stand right before ``end``."""
+    begin, last = end, floor
+    for m in re.finditer(r"@\w[\w.]*+\s*+(?:\([^()]*+\)\s*+)?+", code[floor:end]):
+        if floor + m.start() != last or begin == end:
+            begin = floor + m.start()
+        last = floor + m.end()
+    return begin if last == end else end
+
+
 def spring_layer(name: str, content: str) -> str:
     """Layer by name and annotations."""
     from ..functions.layers import SPRING
@@ -319,27 +346,37 @@ def spring_layer(name: str, content: str) -> str:
 
 
 def java_chunks(path: str, text: str) -> list[tuple]:
-    """Classes, interfaces and all methods in them; lines if there are none."""
+    """Classes, interfaces and all methods in them; broken sources by indentation; lines if there are none."""
     code, out = blanked(text), []
+    if code.count("{") != code.count("}"):
+        return java_by_indent(path, text, code) or lines_of(path, text, "java")
     package = re.search(r"^[ \t]*package\s+([\w.]+)\s*;", code, re.M)
     ends, breaks = brace_ends(code), [m.start() for m in re.finditer("\n", text)]
+    marks, heads = [m.start() for m in re.finditer("[;{})]", code)], [m.start() for m in re.finditer("[;{}]", code)]
     line = lambda at: bisect_left(breaks, at) + 1
     close = lambda brace: ends.get(brace, len(code))
-    methods = list(METHOD.finditer(code))
+    methods, types = list(METHOD.finditer(code)), list(TYPE.finditer(code))
     starts = [f.start() for f in methods]
-    for m in TYPE.finditer(code):
-        begin, end = m.start(), close(m.end() - 1)
-        floor = max(code.rfind(x, 0, begin) + 1 for x in ";{}")
-        marks = re.search(r"@\w[\w.]*\s*(?:\([^)]*\)\s*)?(?:@\w[\w.]*\s*(?:\([^)]*\)\s*)?)*$", code[floor:begin])
-        begin = floor + marks.start() if marks else begin
+    for t, following in zip(types, [*types[1:], None]):
+        k = bisect_left(heads, t.end())
+        if k == len(heads) or code[heads[k]] != "{" or (following and following.start() < heads[k]):
+            continue
+        brace, floor = heads[k], heads[bisect_left(heads, t.start()) - 1] + 1 if bisect_left(heads, t.start()) else 0
+        words, begin = [], t.start()
+        for w in reversed(list(re.finditer(r"\S+", code[floor : t.start()]))):
+            if w[0] not in TYPE_MODIFIERS:
+                break
+            words, begin = [w[0], *words] if len(words) < 10 else words, floor + w.start()
+        begin, end = annotations_before(code, floor, begin), close(brace)
+        m = {1: words, 2: t[1], 3: t[2], 4: re.sub(r"^\s*<[^{]*?>(?=\s|$)", "", code[t.end() : brace])}
         content, name = text[begin:end], m[3]
         extends, implements = re.search(r"extends\s+([\w.<>]+)", m[4]), re.search(r"implements\s+([\w.<>, ]+)", m[4])
         kind = "interface" if m[2] == "interface" else "class"
-        out.append(row(path, "java", line(begin), line(end - 1), content, None, name, "Unknown" if kind == "interface" else spring_layer(name, content), type=kind, package=package and package[1], modifiers=m[1].split(), extends=extends and extends[1], implements=implements and [x.strip() for x in implements[1].split(",")]))
+        out.append(row(path, "java", line(begin), line(end - 1), content, None, name, "Unknown" if kind == "interface" else spring_layer(name, content), type=kind, package=package and package[1], modifiers=m[1], extends=extends and extends[1], implements=implements and [x.strip() for x in implements[1].split(",")]))
         if kind == "interface":
             continue
-        for f in methods[bisect_left(starts, m.end()) : bisect_left(starts, end)]:
-            header = header_of(code, f.start(), m.end())
+        for f in methods[bisect_left(starts, brace + 1) : bisect_left(starts, end)]:
+            header = header_of(code, f.start(), brace + 1, marks)
             if header is None or f[1] in NOT_NAMES:
                 continue
             first, words = header
@@ -348,10 +385,49 @@ def java_chunks(path: str, text: str) -> list[tuple]:
             if not RETURNS.fullmatch(kind_of) or kind_of.split()[0] in NOT_TYPES:
                 continue
             stop = close(f.end() - 1)
-            names = [x.strip().split()[-1] for x in f[2].split(",") if x.strip()]
+            names = parameter_names(f[2])
             out.append(row(path, "java", line(first), line(stop - 1), text[first:stop], f[1], name, spring_layer(name, ""), type="method", return_type=kind_of, parameters=names, modifiers=modifiers, package=package and package[1]))
     once = {c[:9]: c for c in reversed(out)}  # a method of a nested class is found from both
-    return list(reversed(once.values())) or lines_of(path, text, "java")
+    return list(reversed(once.values())) or java_by_indent(path, text, code) or lines_of(path, text, "java")
+
+
+#: Lines that begin a type or a method in sources that braces don't explain.
+TYPE_LINE = re.compile(r"\s*+(?:@\w++(?:\([^()]*+\))?+\s*+)*+(?:(?:public|protected|private|static|final|abstract|sealed)\s++)*+(class|interface|enum|record)\s++(\w++)")
+METHOD_LINE = re.compile(r"\s*+(?:@\w++(?:\([^()]*+\))?+\s*+)*+((?:[\w<>\[\],.?&]++\s++)++)(\w++)\s*+\(([^()]*+)\)\s*+(?:throws\s[^{;]*+)?+\{?+\s*+$")
+
+
+def indent_ends(indents: list[int | None]) -> list[int]:
+    """After each line the first one that is indented no deeper; found from the end with a stack."""
+    ends, stack = [len(indents)] * len(indents), []
+    for n in range(len(indents) - 1, -1, -1):
+        if indents[n] is not None:
+            while stack and indents[stack[-1]] > indents[n]:
+                stack.pop()
+            ends[n] = stack[-1] if stack else len(indents)
+            stack.append(n)
+    return ends
+
+
+def java_by_indent(path: str, text: str, code: str) -> list[tuple]:
+    """Types and methods of Java with unbalanced braces or without a type: a block ends before the first line that is indented no deeper, or with it if that is a brace."""
+    lines, plain, out, owners = text.split("\n"), code.split("\n"), [], []
+    ends = indent_ends([len(x) - len(x.lstrip()) if x.strip() else None for x in plain])
+    for n, line in enumerate(plain):
+        while owners and owners[-1][0] <= n:
+            owners.pop()
+        kind, method = TYPE_LINE.match(line), METHOD_LINE.match(line)
+        words = method[1].split() if method else []
+        returns = [w for w in words if w not in MODIFIERS]
+        if not kind and (not method or not returns or returns[0] in NOT_TYPES or method[2] in NOT_NAMES):
+            continue
+        end = ends[n] + (ends[n] < len(plain) and plain[ends[n]].lstrip().startswith("}"))
+        owner, content = owners[-1][1] if owners else None, "\n".join(lines[n:end])
+        if kind:
+            out.append(row(path, "java", n + 1, end, content, None, kind[2], "Unknown" if kind[1] == "interface" else spring_layer(kind[2], content), type="interface" if kind[1] == "interface" else "class", parsed_by="indentation"))
+            owners.append((end, kind[2]))
+        else:
+            out.append(row(path, "java", n + 1, end, content, method[2], owner, spring_layer(owner or "", ""), type="method", return_type=" ".join(returns), parameters=parameter_names(method[3]), modifiers=[w for w in words if w in MODIFIERS], parsed_by="indentation"))
+    return out
 
 
 # ---- HTML -------------------------------------------------------------------
@@ -417,28 +493,57 @@ def html_chunks(path: str, text: str) -> list[tuple]:
     return out or lines_of(path, text, "html")
 
 
+#: Parsers by suffix; :func:`register_parser` adds to them.
 PARSERS: dict[str, Callable[[str, str], list[tuple]]] = {
     ".java": java_chunks, ".py": python_chunks, ".pyw": python_chunks, ".html": html_chunks, ".htm": html_chunks,
     **{s: (lambda path, text, lang=lang: lines_of(path, text, lang)) for s, lang in ((".kt", "kotlin"), (".kts", "kotlin"), (".xml", "xml"), (".yaml", "yaml"), (".yml", "yaml"), (".properties", "properties"))},
 }
 
 
-def chunk_file(path: str, text: str) -> list[tuple]:
+Parser = Callable[[str, str], list[tuple]]
+
+
+def register_parser(suffix: str, parser: Parser) -> None:
+    """Let files with this suffix go through a parser of the user's own: (path, text) to rows made by :func:`row`."""
+    if not re.fullmatch(r"\.[^./]+", suffix):
+        raise ValueError(f"{suffix!r} is no suffix")
+    PARSERS[suffix.lower()] = parser
+
+
+def chunk_file(path: str, text: str, parsers: dict[str, Parser] | None = None) -> list[tuple]:
     """Chunks of a file by the parser of its suffix."""
     suffix = re.search(r"\.[^./]+$", path.lower())
-    return PARSERS.get(suffix[0] if suffix else "", lines_of)(path, text or "")
+    return (PARSERS if parsers is None else parsers).get(suffix[0] if suffix else "", lines_of)(path, text or "")
 
 
-def parse(files: DataFrame, parser: Callable[[str, str], list[tuple]] = chunk_file) -> DataFrame:
-    """Chunks of ``files`` (path, text); no shuffle."""
+def parse(files: DataFrame, parser: Parser | None = None) -> DataFrame:
+    """Chunks of ``files`` (path, text); no shuffle. The parsers registered now are sent with the plan."""
+    known = dict(PARSERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([c for path, text in zip(batch["path"], batch["text"]) for c in parser(path, text)], columns=COLUMNS)
+            rows = (c for path, text in zip(batch["path"], batch["text"]) for c in (parser(path, text) if parser else chunk_file(path, text, known)))
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.select("path", "text").mapInPandas(run, PARSED)
 
 
+def table_function(known: dict[str, Parser] | None = None):
+    """The parsers as a table function of (path, text), for lateral joins."""
+    table = dict(PARSERS) | (known or {})
+
+    class Parsed:
+        def eval(self, path: str, text: str):
+            yield from chunk_file(path or "", text, table)
+
+    return F.udtf(Parsed, returnType=PARSED, useArrow=True)
+
+
+def register_function(spark: SparkSession, name: str = "parse_source", known: dict[str, Parser] | None = None) -> None:
+    """Make the table function known to SQL: ``SELECT ... FROM files, LATERAL parse_source(path, text)``."""
+    spark.udtf.register(name, table_function(known))
+
+
 def metrics(files: DataFrame) -> DataFrame:
     """path and the measures of :func:`python_metrics`."""
     names = ["cyclomatic", "cognitive", "nesting", "functions", "hinted_returns", "hinted_parameters"]
