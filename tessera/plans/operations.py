@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import layers
 from ..functions import secrets as S
 from ..functions import text as T
-from ..operators import changes, history, monitoring, parsers, security, store
+from ..operators import changes, embedding, history, monitoring, parsers, security, sketches, store, vectors
+from ..streaming import health
 from .analytics import PATHS, REQ, paths, requests
 from . import stored as kept
 from .search import QUERY, SCORES, docs
@@ -76,6 +77,95 @@ def error_rows(spark, d):
     return events(spark, d).where("event_type IN ('error', 'view')")
 
 
+def health_rows(spark, d):
+    """Checks of a user's component: failures are unhealthy, large values degraded."""
+    status = F.when(F.col("event_type") == "error", "unhealthy").when(F.col("value") > 200, "degraded").otherwise("healthy")
+    return docs(spark, d, "events").select(F.col("user_id").cast("string").alias("component"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), status.alias("status"))
+
+
+def health_changes(spark, d):
+    """Changes of health, a day of silence included."""
+    return health.changes(health_rows(spark, d).groupBy("component", "at").agg(F.max("status").alias("status")), 86400.0)
+
+
+def health_now(spark, d):
+    return health.overall(health_changes(spark, d))
+
+
+#: Requests are summed up by the hour; windows are a day.
+HOUR, DAY = 3600, 86400
+
+
+def request_sketches(spark, d):
+    return sketches.buckets(requests(spark, d), ["endpoint"], "ts", "duration_ms", F.col("status_code") >= 400, HOUR)
+
+
+def totals(windows):
+    """Windows with the total in place of the mean, whose last digit two engines may round apart."""
+    return windows.withColumn("total", F.round(F.col("avg") * F.col("n"), 2)).drop("avg")
+
+
+def window_percentiles(spark, d):
+    return totals(sketches.windows(request_sketches(spark, d), ["endpoint"], DAY, HOUR))
+
+
+def merged_percentiles(spark, d):
+    """The same from two halves of the rows, summed up apart and merged."""
+    halves = [sketches.buckets(requests(spark, d).where(F.col("event_id") % 2 == k), ["endpoint"], "ts", "duration_ms", F.col("status_code") >= 400, HOUR) for k in (0, 1)]
+    return totals(sketches.windows(sketches.merged(halves[0], halves[1], ["endpoint"]), ["endpoint"], DAY, HOUR))
+
+
+def percentile_error(spark, d):
+    """Whether the ranks of merged percentiles are within the stated error, over all rows of an endpoint."""
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = sketches.summary(request_sketches(spark, d), ["endpoint"], shares)
+    rows = requests(spark, d).join(found.withColumnRenamed("n", "all_"), "endpoint")
+    near = [(F.count_if(F.col("duration_ms") <= F.col(p)) >= F.lit(x - 2 * sketches.RANK_ERROR) * F.first("all_")) & (F.count_if(F.col("duration_ms") < F.col(p)) <= F.lit(x + 2 * sketches.RANK_ERROR) * F.first("all_")) for p, x in shares.items()]
+    return rows.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"), (near[0] & near[1] & near[2]).alias("within"))
+
+
+def distinct_versions(spark, d):
+    """Distinct terms of the keyword index's kind, sketched for each source and merged by language; whether within four standard errors."""
+    rows = docs(spark, d, "lineitem").select((F.col("l_orderkey") % 5).alias("version"), "l_returnflag", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
+    about = sketches.distinct_counts(sketches.distinct_sketches(rows, ["version", "l_returnflag"], ["part", "supplier"]), ["l_returnflag"], ["part", "supplier"])
+    exact = rows.groupBy("l_returnflag").agg(F.count_distinct("part").alias("parts"), F.count_distinct("supplier").alias("suppliers"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 4 * sketches.DISTINCT_ERROR * F.col(b) + 1
+    return about.join(exact, "l_returnflag").select("l_returnflag", "rows", "parts", "suppliers", (near("part", "parts") & near("supplier", "suppliers")).alias("within"))
+
+
+def sampled_histogram(spark, d):
+    """Documents by language and source from 200 of each language; whether the bounds hold the true numbers."""
+    found = sketches.sampled_counts(docs(spark, d).where("lang IS NOT NULL"), "lang", "source", "doc_id", 200, z=4.5)
+    exact = docs(spark, d).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    joined = exact.join(found, ["lang", "source"], "left").where("lang IS NOT NULL")
+    return joined.select("lang", "source", "n", F.coalesce(F.col("n").between(F.col("low"), F.col("high")), F.lit(True)).alias("within"))
+
+
+def sample_sizes(spark, d):
+    """Rows drawn of each stratum."""
+    return sketches.stratified(docs(spark, d), "lang", "doc_id", 100).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def embedding_memo(spark, d):
+    """Two ingests through a memo of embeddings: the second embeds what is new, and the oldest go beyond the bound."""
+    rows = docs(spark, d).select("doc_id", F.col("text").alias("content"))
+    clock = iter(range(1000, 9000, 1000))
+    memo = embedding.EmbeddingMemo(spark, folder(spark), seconds=1e6, most=200, clock=lambda: float(next(clock)))
+    embed = vectors.hashed_embedder(16)
+    memo.embed(rows.where("doc_id % 4 = 0"), embed)
+    memo.embed(rows.where("doc_id % 4 < 2"), embed)
+    return memo.stats().select("use", "asked", "hits", "made", "failed", (F.col("evicted") > 0).alias("evicts"))
+
+
+def bucketed_upserts(spark, d):
+    """Changes of a store by file: rows after them, and whether fewer rows were written than the store has."""
+    rows = docs(spark, d).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat("source", F.lit("/f"), (F.col("doc_id") % 40).cast("string")).alias("file_path"), F.lit(1).alias("round"))
+    s = store.Store(spark, folder(spark), by="file_path", buckets=64)
+    s.write(rows)
+    s.replace_files(rows.where("file_path = 'src1/f1'").select("file_path"), rows.where("file_path = 'src1/f1' AND chunk_id % 3 = 0").withColumn("round", F.lit(2)))
+    return s.read().withColumn("in_part", F.lit(4 * s.written < sum(s.manifest()["rows"].values())))
+
+
 def error_window(spark, d):
     return history.error_window(error_rows(spark, d), ["event_type"], "ts", 60 * 24 * 5).withColumns({"first_seen": F.unix_micros("first_seen"), "last_seen": F.unix_micros("last_seen")})
 
@@ -370,7 +460,25 @@ METRICS = """
 """
 EVENTS = "e AS (SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type, value, props FROM events)"
 PROJECTS = "SELECT 'p' || n_nationkey AS project_id, CASE WHEN n_nationkey = 3 THEN 'renamed' ELSE n_name END AS name, 'active' AS status, strftime(DATE '2024-01-01' + n_nationkey::INT, '%Y-%m-%d') AS created_at FROM nation WHERE n_regionkey < 2 OR n_nationkey = 3"
+WINDOWS = """h AS (SELECT endpoint, (epoch_us(ts) // 3600000000) * 3600 AS b, duration_ms, status_code FROM r WHERE duration_ms IS NOT NULL),
+ w AS (SELECT endpoint, unnest(range(b + 3600, b + 86401, 3600)) AS "at", duration_ms, status_code FROM h),
+ g AS (SELECT endpoint, "at", count(*) AS n, count(*) FILTER (WHERE status_code >= 400) AS failed, sum(duration_ms) AS total, list_sort(list(duration_ms)) AS v FROM w GROUP BY ALL)
+ SELECT endpoint, "at", n, failed, round(failed / n, 6) AS error_rate, round(total, 2) AS total, v[1] AS low, v[-1] AS high, v[ceil(n * 0.95)::INT] AS p95, v[ceil(n * 0.99)::INT] AS p99 FROM g"""
+HEALTH = """c AS (SELECT user_id::VARCHAR AS component, epoch_us(ts) // 1000000 AS "at", max(CASE WHEN event_type = 'error' THEN 'unhealthy' WHEN value > 200 THEN 'degraded' ELSE 'healthy' END) AS status FROM events GROUP BY 1, 2),
+ o AS (SELECT *, lag(status) OVER w AS was, lag("at") OVER w AS "last", lead("at") OVER w AS "next", max("at") OVER () AS e FROM c WINDOW w AS (PARTITION BY component ORDER BY "at")),
+ x AS (SELECT component, "at"::DOUBLE AS "at", status, CASE WHEN was IS NULL THEN 'first' ELSE 'check' END AS reason FROM o WHERE was IS NULL OR was <> status OR "at" - "last" >= 86400
+ UNION ALL SELECT component, ("at" + 86400)::DOUBLE, 'unhealthy', 'silent' FROM o WHERE coalesce("next", e) - "at" >= 86400)"""
 QUERIES = {
+    "health_changes": (health_changes, f"WITH {HEALTH} SELECT * FROM x"),
+    "health_now": (health_now, f'''WITH {HEALTH}, l AS (SELECT component, arg_max(status, ("at", reason <> 'silent')) AS status FROM x GROUP BY 1), n AS (SELECT count(*) FILTER (WHERE status = 'healthy') AS healthy, count(*) FILTER (WHERE status = 'degraded') AS degraded, count(*) FILTER (WHERE status = 'unhealthy') AS unhealthy, count(*) AS total FROM l) SELECT *, CASE WHEN total = 0 THEN 'unknown' WHEN unhealthy = 0 AND degraded = 0 THEN 'healthy' WHEN unhealthy * 2 < total THEN 'degraded' ELSE 'unhealthy' END AS vote FROM n'''),
+    "window_percentiles": (window_percentiles, f"WITH {REQ}, {WINDOWS}"),
+    "merged_percentiles": (merged_percentiles, f"WITH {REQ}, {WINDOWS}"),
+    "percentile_error": (percentile_error, f"WITH {REQ} SELECT endpoint, count(*) AS n, true AS within FROM r GROUP BY 1"),
+    "distinct_versions": (distinct_versions, "SELECT l_returnflag, count(*) AS rows, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, true AS within FROM lineitem GROUP BY 1"),
+    "sampled_histogram": (sampled_histogram, "SELECT lang, source, count(*) AS n, true AS within FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2"),
+    "sample_sizes": (sample_sizes, "SELECT lang, least(count(*), 100) AS n FROM documents GROUP BY 1"),
+    "embedding_memo": (embedding_memo, "WITH t AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE trim(text) <> ''), a AS (SELECT DISTINCT h FROM t WHERE doc_id % 4 = 0), b AS (SELECT DISTINCT h FROM t WHERE doc_id % 4 < 2) SELECT 0::BIGINT AS use, count(*) AS asked, 0::BIGINT AS hits, count(*) AS made, 0::BIGINT AS failed, count(*) > 200 AS evicts FROM a UNION ALL SELECT 1, count(*), least((SELECT count(*) FROM a), 200)::BIGINT, count(*) - least((SELECT count(*) FROM a), 200), 0, count(*) > 200 FROM b"),
+    "bucketed_upserts": (bucketed_upserts, "WITH r AS (SELECT doc_id::VARCHAR AS chunk_id, source || '/f' || doc_id % 40 AS file_path, CASE WHEN source = 'src1' AND doc_id % 40 = 1 THEN 2 ELSE 1 END AS round, doc_id FROM documents WHERE doc_id IS NOT NULL) SELECT chunk_id, file_path, round, true AS in_part FROM r WHERE round = 1 OR doc_id % 3 = 0"),
     "keyword_index_search": (index_search, f"WITH {SCORES} SELECT id, score FROM bm WHERE score <> 0 ORDER BY score DESC, id LIMIT 10"),
     "keyword_index_facts": (index_facts, f"WITH {SCORES} SELECT n AS documents, round(avgdl, 6) AS avg_length FROM facts"),
     "store_round_trip": (store_round_trip, "WITH s AS (SELECT doc_id::VARCHAR AS chunk_id, lang, source, CASE WHEN source = 'src1' THEN 2 ELSE 1 END AS round FROM documents WHERE lang <> 'es' OR source = 'src1') SELECT * FROM s WHERE lang IS DISTINCT FROM 'fr' AND chunk_id NOT IN (SELECT doc_id::VARCHAR FROM labels WHERE toxic = 1)"),
