@@ -33,6 +33,8 @@ from .bm25 import EPSILON, K1, B, query_terms
 
 #: Documents of a segment, classes of length, segments scored for the first threshold.
 SEGMENT, LENGTHS, FIRST = 128, 16, 16
+#: Postings up to which all are scored at once: fewer than pruning would pay for. The result is the same.
+DIRECT = 1 << 18
 #: Postings of a bucket folder, at most so many buckets, and postings of one of its files.
 BUCKET_POSTINGS, MOST_BUCKETS, FILE_POSTINGS = 1 << 19, 4096, 1 << 22
 
@@ -115,13 +117,13 @@ class KeywordIndex:
         there = [p for p in (f"bucket={b}" for b in buckets) if self.folder.exists(f"{table}/{p}")]
         return read_parts(self.spark, f"{self.path}/{table}", there, schema).where(F.col("term").isin(*terms))
 
-    def weights(self, query: str) -> dict[str, float]:
-        """Weight of each indexed term of a query; a repeated one counts again."""
+    def weights(self, query: str) -> tuple[dict[str, float], int]:
+        """Weight of each indexed term of a query, where a repeated one counts again, and the postings of all."""
         asked = query_terms(query)
         if not asked:
-            return {}
-        rows = self._parts("terms", sorted(set(asked)), "term string, df long, weight double").select("term", "weight").collect()
-        return {r["term"]: asked.count(r["term"]) * r["weight"] for r in rows}
+            return {}, 0
+        rows = self._parts("terms", sorted(set(asked)), "term string, df long, weight double").collect()
+        return {r["term"]: asked.count(r["term"]) * r["weight"] for r in rows}, sum(r["df"] for r in rows)
 
     def blocks(self, weights: dict[str, float]) -> DataFrame:
         """The blocks of some terms with their weight."""
@@ -154,18 +156,19 @@ class KeywordIndex:
         reach = self.bounds(blocks).where(F.col("bound") >= least - 1e-5).select("segment")
         return blocks.join(reach, "segment", "left_semi"), least
 
-    def search(self, query: str, k: int = 10, allowed: DataFrame | None = None, zeros: bool = False, first: int = FIRST) -> DataFrame:
+    def search(self, query: str, k: int = 10, allowed: DataFrame | None = None, zeros: bool = False, first: int = FIRST, direct: int = DIRECT) -> DataFrame:
         """id, score of the k best documents, ties by id, of those in ``allowed`` (ids, its first column) if given.
 
         Documents without a term of the query are left out, unless ``zeros``
         asks to fill up with them.
         """
         empty = self.spark.createDataFrame([], f"id {self.facts['id']}, score double")
-        weights = self.weights(query)
+        weights, postings = self.weights(query)
         if not weights and not zeros:
             return empty
         falls = any(w < 0 for w in weights.values())  # a document with such terms only lies below one without any
-        found = self.scored(self._pruned(weights, k, allowed, first)[0] if not (zeros and falls) else self.blocks(weights), allowed) if weights else empty
+        whole = postings <= direct or (zeros and falls)
+        found = self.scored(self.blocks(weights) if whole else self._pruned(weights, k, allowed, first)[0], allowed) if weights else empty
         best = lambda rows: rows.orderBy(F.desc("score"), "id").limit(k)
         if not zeros:
             return best(found)
@@ -180,8 +183,8 @@ class KeywordIndex:
         return self.spark.read.schema(f"id {self.facts['id']}, dl long, segment long").parquet(f"{self.path}/documents")
 
     def report(self, query: str, k: int = 10, allowed: DataFrame | None = None, first: int = FIRST) -> dict:
-        """What a search reads: segments, segments_read, postings, postings_read, threshold."""
-        weights = self.weights(query)
+        """What a pruned search reads: segments, segments_read, postings, postings_read, threshold."""
+        weights, _ = self.weights(query)
         kept, least = self._pruned(weights, k, allowed, first)
         total = lambda rows: rows.agg(F.count_distinct("segment").alias("segments"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings")).first()
         every, read = total(self.blocks(weights)), total(kept)

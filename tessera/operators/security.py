@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import secrets as S
+from ..sources.shared import spread
 
 #: Marks of test files and example values; they lower the confidence.
 TEST_PATH, EXAMPLE, LOWERED = r"(?i)(^|/)tests?(/|_)|test_|_test\.", r"(?i)(example|sample|dummy|placeholder|changeme|your[_-])", 0.3
@@ -190,7 +191,7 @@ def detect(chunks: DataFrame, id_column: str = "chunk_id", content: str = "conte
     """
     catalogue = [*S.patterns_for(framework, env), *sound_patterns(chunks.sparkSession, custom)]
     texts = chunks.select(F.col(id_column).alias("chunk_id"), (F.col(path) if path else F.lit("")).alias("file_path"), F.col(content).alias("content"))
-    rows = _matched(_candidates(texts, catalogue), catalogue).where(F.col("content") != "")
+    rows = _matched(_candidates(spread(texts), catalogue), catalogue).where(F.col("content") != "")
     lowered = F.col("file_path").rlike(TEST_PATH) | F.col("content").rlike(EXAMPLE)
     rows = rows.withColumn("confidence", F.round(F.when(lowered, F.col("confidence") - LOWERED).otherwise(F.col("confidence")), 6)).where(F.col("confidence") >= threshold)
     for w in whitelist:

@@ -37,8 +37,8 @@ from .vectors import MOST_RESULTS, cosine, dot
 SAMPLE, MOST_CELLS, TRIALS = 20_000, 4096, 64
 #: Aim of the calibration, and its share of nearest vectors (k).
 RECALL, TRIAL_K = 0.97, 10
-#: Cells that the exact way reads for its first threshold.
-FIRST = 4
+#: Cells that the exact way reads for its first threshold, and rows up to which it reads all at once.
+FIRST, DIRECT = 4, 1 << 16
 
 
 def fit_centroids(unit: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
@@ -197,7 +197,7 @@ class VectorIndex:
         score = F.round(cosine(F.col(self.vector), F.array(*map(F.lit, q))), 6)
         return rows.select(F.col(self.id).alias("id"), score.alias("score")).where("score is not null").orderBy(F.desc("score"), "id").limit(k)
 
-    def plan(self, query: Sequence[float], k: int, exact: bool = False, probes: int | None = None, where: Column | None = None, allowed: DataFrame | None = None) -> tuple[list[dict], set[int] | None]:
+    def plan(self, query: Sequence[float], k: int, exact: bool = False, probes: int | None = None, where: Column | None = None, allowed: DataFrame | None = None, direct: int = DIRECT) -> tuple[list[dict], set[int] | None]:
         """The batches, and the cells that a search reads."""
         batches, q = self.batches(), np.asarray(query, dtype=np.float64)
         norm = np.linalg.norm(q)
@@ -205,7 +205,7 @@ class VectorIndex:
         order = np.argsort(-near, kind="stable")
         if not exact:
             return batches, set(order[: probes or self.meta["probes"]].tolist())
-        if len(order) <= FIRST:
+        if len(order) <= FIRST or sum(n for b in batches for _, n in b["cells"].values()) <= direct:
             return batches, None
         found = self._ranked(self._rows(batches, set(order[:FIRST].tolist())), q.tolist(), k, where, allowed).collect()
         least = found[-1]["score"] if len(found) == k else -2.0
@@ -213,16 +213,16 @@ class VectorIndex:
         reach = {c: math.cos(max(0.0, math.acos(max(-1.0, min(1.0, near[c]))) - a)) for c, a in widest.items()}
         return batches, {c for c, most in reach.items() if most >= least - 2e-6}
 
-    def search(self, query: Sequence[float], k: int = 10, least: float = 0.0, where: Column | None = None, allowed: DataFrame | None = None, exact: bool = False, probes: int | None = None) -> DataFrame:
+    def search(self, query: Sequence[float], k: int = 10, least: float = 0.0, where: Column | None = None, allowed: DataFrame | None = None, exact: bool = False, probes: int | None = None, direct: int = DIRECT) -> DataFrame:
         """id, score of the k nearest by cosine that pass ``where`` and are in ``allowed`` (before the cut), of them those with at least ``least``."""
         k = min(k, MOST_RESULTS)
         q = [float(x) for x in query]
-        batches, cells = self.plan(q, k, exact, probes, where, allowed)
+        batches, cells = self.plan(q, k, exact, probes, where, allowed, direct)
         return self._ranked(self._rows(batches, cells), q, k, where, allowed).where(F.col("score") >= least)
 
     def read_share(self, query: Sequence[float], k: int = 10, exact: bool = False) -> float:
         """The share of the rows that a search reads."""
-        batches, cells = self.plan(query, k, exact)
+        batches, cells = self.plan(query, k, exact, direct=0)
         rows = [(int(c), n) for b in batches for c, (_, n) in b["cells"].items()]
         return sum(n for c, n in rows if cells is None or c in cells) / max(1, sum(n for _, n in rows))
 

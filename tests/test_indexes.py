@@ -36,10 +36,10 @@ def test_pruned_search_is_exact(corpus, index, query, filtered):
     allowed = corpus.where("doc_id % 3 = 1").select("doc_id") if filtered else None
     scores = {r.id: r.score for r in bm25.scores(bm25.tokenized(corpus), query).collect() if not filtered or r.id % 3 == 1}
     order = lambda rows: sorted(rows, key=lambda x: (-x[1], x[0]))[:7]
-    got = [(r.id, r.score) for r in index.search(query, 7, allowed, first=2).collect()]
+    got = [(r.id, r.score) for r in index.search(query, 7, allowed, first=2, direct=0).collect()]
     assert got == order([x for x in scores.items() if x[1]])
     if query not in ("", "nothere"):
-        got = [(r.id, r.score) for r in index.search(query, 7, allowed, zeros=True, first=2).collect()]
+        got = [(r.id, r.score) for r in index.search(query, 7, allowed, zeros=True, first=2, direct=0).collect()]
         assert got == order(scores.items())
 
 
@@ -81,14 +81,14 @@ def test_vector_index(spark, vectors, tmp_path):
     rng, hits = np.random.default_rng(8), 0
     for q in np.array([rows[k].embedding for k in range(0, 300, 50)]) + 0.1 * rng.normal(size=(6, 8)):
         want = near(rows, q, 10)
-        assert [r.id for r in index.search(q.tolist(), 10, -1.0, exact=True).collect()] == want
+        assert [r.id for r in index.search(q.tolist(), 10, -1.0, exact=True, direct=0).collect()] == want
         hits += len({*want} & {r.id for r in index.search(q.tolist(), 10, -1.0).collect()})
     assert hits >= 57
     q = np.array(rows[5].embedding)
     assert index.read_share(q.tolist()) < 0.5 and index.read_share(q.tolist(), exact=True) < 1
-    assert [r.id for r in index.search(q.tolist(), 10, -1.0, where=F.col("label") == 2, exact=True).collect()] == near(rows, q, 10, lambda r: r.label == 2)
+    assert [r.id for r in index.search(q.tolist(), 10, -1.0, where=F.col("label") == 2, exact=True, direct=0).collect()] == near(rows, q, 10, lambda r: r.label == 2)
     few = spark.createDataFrame([(k,) for k in range(0, 900, 7)], "id long")
-    assert [r.id for r in index.search(q.tolist(), 10, -1.0, allowed=few, exact=True).collect()] == near(rows, q, 10, lambda r: r.vec_id % 7 == 0)
+    assert [r.id for r in index.search(q.tolist(), 10, -1.0, allowed=few, exact=True, direct=0).collect()] == near(rows, q, 10, lambda r: r.vec_id % 7 == 0)
 
     before = {f["folder"] for f in index.batches()}
     changed = spark.createDataFrame([(5, 0, (-q).tolist()), (1500, 0, q.tolist()), (1501, 0, [0.0] * 8)], vectors.schema)
@@ -97,7 +97,7 @@ def test_vector_index(spark, vectors, tmp_path):
     assert before < {f["folder"] for f in index.batches()}  # nothing is written again
     present = [r for r in rows if r.vec_id not in (5, 17)] + [r for r in changed.collect() if r.vec_id != 1501]
     for _ in range(2):
-        assert [r.id for r in index.search(q.tolist(), 10, -1.0, exact=True).collect()] == near(present, q, 10)
+        assert [r.id for r in index.search(q.tolist(), 10, -1.0, exact=True, direct=0).collect()] == near(present, q, 10)
         assert index.read().count() == 900
         index.compact()
     assert len(index.batches()) == 1
