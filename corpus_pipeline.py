@@ -8,13 +8,11 @@ near-duplicate stage on. An empty table passes through every stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, near_dups, packing, pii, quality
-from tessera.llm.base import fresh, shared_dir, tune
+from tessera.llm.base import fresh, keep, release, tune
 from tessera.llm.queries import TOKENIZER_BYTES, tokenizer_path
 
 #: A document stays if its language is a learned one with at least this score.
@@ -65,10 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written and read again."""
+    """Apply all stages to ``documents``; each result is written and read again. :func:`tessera.llm.base.clean` removes what the result still reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/tessera/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        last, docs = docs, keep(stage(spark, docs, sf_dir), "stage")
+        release(last)  # only the last stage's input is read again
     return STAGES[-1][1](spark, docs, sf_dir)

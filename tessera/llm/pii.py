@@ -3,18 +3,31 @@
 Fixed patterns find e-mail addresses, IP addresses, payment cards and phone
 numbers. Together with secrets that their form alone gives away (SECRET) they
 seed a bootstrap. Each identifier-like string of a text stands in lexical
-patterns: the words beside it, two to the left and one to the right, and these,
-or one to the left, or one to the right, with the string's shape, in which
-digits and letters are classes. Other strings stand in the same patterns, and Spark scores
-the graph of patterns and instances iteratively: a pattern is trusted to the
-extent that its instances are, an instance to the extent that its patterns are;
-seeds stay trusted, and a string of a shape that the fixed patterns judged and
-refused (a card number with a wrong check digit) stays distrusted. Strings in
-patterns of high confidence that several different seeds support are new
-identifiers of the pattern's kind, SECRET ones among them.
-
-Only counted edges (pattern, instance) are shuffled, never texts. A passage
-that many documents share gives one edge. The rounds are cut by written tables.
+patterns: the words beside it (two to the left and one to the right, two to the
+left, or one on each side) with the marks that touch it, and without its own
+form, so that a pattern can meet strings that no seed looks like. Spark scores
+the graph of patterns and instances iteratively:
+
+* A pattern's confidence is the share of its different instances that are known
+  for its kind, smoothed. Seeds of the kind count one. Seeds of other kinds,
+  strings that the fixed patterns tried and refused (a card number with a wrong
+  check digit), and strings that can't be of the kind (its digits) count against
+  it. Any other string counts as far as it is trusted.
+* A string is trusted by its *other* contexts only: no pattern vouches for a string
+  that vouches for the pattern, so strings that stand nowhere else don't count
+  for it, however many they are. A context (all patterns of one place) has one
+  vote, that of its best pattern; equal passages of many documents are one context.
+
+Confidences start at the seeds' shares and only rise, so the rounds converge;
+they end when none moves by STILL. Strings in patterns of at least CONFIDENT that SUPPORT different
+seeds hold up are new identifiers of the pattern's kind, if they can be of it.
+
+Only counted edges are shuffled, never texts. The rounds are cut by written tables.
+
+Limits of what is a candidate, from the formats: numbers of up to 42 characters
+(19 digits with marks between them), accounts of 64 and 255 characters around
+the "@". Context words are looked for within REACH characters and count with
+WORD of their letters.
 
 Defined results: a null text is empty and has no spans; every input row gives
 one row (repeated rows too); an empty table gives an empty result; other
@@ -45,15 +58,18 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 #: Identifier-like strings: at least 7 digits with the usual marks between them, something around an "@", or a long run of letters and digits with both.
 NUMBER = re.compile(r"(?<![\w+])[(]?[0-9][0-9().\x20-]{5,40}[0-9](?!\w)")
-ACCOUNT = re.compile(r"(?<!\S)[^\s@]{1,64}@[^\s@]{1,64}(?!\S)")
-KEY = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{12,256}(?![A-Za-z0-9_-])")
+GROUPS = re.compile(r"(?<![\w.])[0-9]{1,3}([-:,_/\x20]|\x20?\.\x20?)[0-9]{1,3}\1[0-9]{1,3}\1[0-9]{1,3}(?![\w.])")
+ACCOUNT = re.compile(r"(?<!\S)[^\s@]{1,64}@[^\s@]{1,255}(?!\S)")
+KEY = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{12,}+")
 #: Secrets by their form alone (fixed values of public formats): long hexadecimal strings and providers' prefixes.
 SECRET = re.compile(r"[0-9a-f]{40}|[0-9a-f]{64}|sk-[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{36}|AKIA[0-9A-Z]{16}")
 HEX = re.compile(r"[0-9a-f]{12,}|[0-9A-F]{12,}")
+#: Marks that may open right before a string; they belong to the pattern as they are.
+OPENERS = "\"'`([{<=:"
 #: Characters on either side that are looked at for context words, and the longest part of one that counts.
 REACH, WORD = 64, 24
-#: Rounds of scoring at most, and the change that ends them; smoothing; what a pattern needs: confidence, and different seed instances.
-ROUNDS, STILL, SMOOTH, CONFIDENT, SUPPORT = 12, 1e-3, 1.0, 0.7, 5
+#: The change that ends the rounds; smoothing; what a pattern needs: confidence (a quarter of its instances, up to the smoothing), and different seed instances.
+STILL, SMOOTH, CONFIDENT, SUPPORT = 1e-3, 1.0, 0.23, 5
 
 
 def luhn(digits: str) -> bool:
@@ -91,38 +107,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def shape(text: str) -> str:
-    """Digits as 9 by their number, runs of letters as a; a secret's hexadecimal digits as x."""
-    if HEX.fullmatch(text) and not text.isdigit():
-        return "x"
-    return re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "9", text))[:48]
+def possible(text: str) -> int:
+    """The kinds that a string can be of, as bits."""
+    digits = re.sub("[^0-9]", "", text)
+    groups = [int(x) for x in re.findall("[0-9]+", text) if len(x) <= 3]
+    plain = not re.search("[A-Za-z@]", text)
+    return (
+        ("@" in text) << 0
+        | (plain and len(groups) == 4 and len(re.findall("[0-9]+", text)) == 4 and max(groups) <= 255) << 1
+        | (plain and 14 <= len(digits) <= 19 and luhn(digits)) << 2
+        | (plain and 9 <= len(digits) <= 15) << 3
+        | bool(HEX.fullmatch(text) and not text.isdigit() or SECRET.fullmatch(text)) << 4
+    )
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span, most special first, with its shape; words in lower case, digits as 0."""
+    """The lexical patterns around a span, most special first; words in lower case, digits as 0. Without a word to the left there are none."""
     plain = lambda part: re.sub("[0-9]+", "0", part.lower())
     before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
-    left, right = [plain(x[-WORD:]) for x in before.split()[-2:]], [plain(x[:WORD]) for x in after.split()[:1]]
-    glued = lambda side, at: "" if not side or side[at].isspace() else "+"
-    form = f"<{shape(text[start:end])}>"
-    found = []
-    if left:
-        if len(left) == 2:
-            found.append(" ".join([*left, glued(before, -1) + "<>" + glued(after, 0), *right]))
-        found.append(" ".join([*left, glued(before, -1) + form + glued(after, 0), *right]))
-        found.append(f"{left[-1]} {glued(before, -1)}{form}")
+    bare = before.rstrip(OPENERS)
+    touch, words = before[len(bare) :], bare.split()
+    if bare and not bare[-1].isspace():
+        touch = f"+{touch}"
+    left, right = [plain(x[-WORD:]) for x in words[-2:]], [plain(x[:WORD]) for x in after.split()[:1]]
+    follow = "" if not after or after[0].isspace() else "+"
+    if not left:
+        return []
+    found = [" ".join([*left, f"{touch}<>{follow}", *right])]
+    if len(left) == 2:
+        found.append(" ".join([*left, f"{touch}<>"]))
     if right:
-        found.append(f"{form}{glued(after, 0)} {right[0]}")
-    return found
+        found.append(" ".join([left[-1], f"{touch}<>{follow}", *right]))
+    return list(dict.fromkeys(found))
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Identifier-like strings that overlap no span and not each other; one pass over both sorted lists."""
     numbers = [m.span() for m in NUMBER.finditer(text) if sum(map(str.isdigit, m[0])) >= 7] if DIGIT.search(text) else []
+    groups = [m.span() for m in GROUPS.finditer(text)] if numbers or DIGIT.search(text) else []
     accounts = [m.span() for m in ACCOUNT.finditer(text)] if "@" in text else []
     keys = [m.span() for m in KEY.finditer(text)] if numbers or DIGIT.search(text) else []
     found: list[tuple[int, int]] = []
-    for more in (numbers, accounts, keys):
+    for more in (groups, numbers, accounts, keys):
         sure = sorted([*((s, e) for s, _, e in taken), *found])
         free, k, reach = [], 0, 0
         for s, e in more:
@@ -136,9 +162,9 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 def refused(instance: str) -> bool:
-    """Whether the fixed patterns judge strings of this form, so that one without a span failed their test."""
+    """Whether the fixed patterns judge strings of this form as cards, so that one without a span failed their test; other forms are told by :func:`possible`."""
     digits = re.sub("[ -]", "", instance)
-    return bool(IP.fullmatch(instance)) or digits.isdigit() and 14 <= len(digits) <= 19
+    return digits.isdigit() and 14 <= len(digits) <= 19
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -149,7 +175,7 @@ def scan(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    span, edge = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]), pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("patterns", pa.list_(pa.string())), ("instance", pa.string())])
+    span, edge = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]), pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("may", pa.int32()), ("patterns", pa.list_(pa.string())), ("instance", pa.string())])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans, edges = [], []
@@ -161,44 +187,48 @@ def scan(docs: DataFrame) -> DataFrame:
             for s, e in candidates(text, base):
                 rows.append((s, e, SECRET_KIND if SECRET.fullmatch(text, s, e) else -2 if refused(text[s:e]) else -1))
             near = ((s, e, k, contexts(text, s, e), text[s:e]) for s, e, k in rows)
-            edges.append([{"s": s, "e": e, "kind": k, "patterns": p, "instance": i[:128]} for s, e, k, p, i in near if p])
+            edges.append([{"s": s, "e": e, "kind": k, "may": possible(i) if k == -1 else 0, "patterns": p, "instance": i} for s, e, k, p, i in near if p])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, type=pa.list_(span)), pa.array(edges, type=pa.list_(edge))], names=["doc_id", "text_hash", "spans", "edges"])
 
-    ddl = f"doc_id {id_type}, text_hash long, spans array<struct<s:int,k:int,e:int>>, edges array<struct<s:int,e:int,kind:int,patterns:array<string>,instance:string>>"
+    ddl = f"doc_id {id_type}, text_hash long, spans array<struct<s:int,k:int,e:int>>, edges array<struct<s:int,e:int,kind:int,may:int,patterns:array<string>,instance:string>>"
     return keep(map_batches(hashed, work, ddl), "pii-scan")
 
 
-def trusted_patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, kind, support and confidence of the patterns that discover identifiers; written."""
-    rows = scanned.select(F.explode("edges").alias("x")).select(F.explode("x.patterns").alias("pattern"), F.col("x.instance").alias("instance"), F.col("x.kind").alias("kind"))
-    edges = rows.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+def pattern_edges(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, support, known, instances) of patterns that enough seeds support, and the edges of the strings that must be judged and stand in several contexts; both written."""
+    places = scanned.select(F.explode("edges").alias("x")).select("x.instance", "x.kind", "x.may", F.col("x.patterns").alias("patterns"), F.xxhash64("x.patterns").alias("context"))
+    places = places.groupBy("instance", "context").agg(F.max("kind").alias("own"), F.max("may").alias("may"), F.first("patterns").alias("patterns"))
+    edges = places.select(F.explode("patterns").alias("pattern"), "instance", "context", "own", "may")
+    once = edges.groupBy("pattern", "instance").agg(F.max("own").alias("own"))
     # a pattern that too few different seeds support can never be trusted: it and its edges are out from the start
-    seeds = edges.groupBy("pattern", "kind").count().where(F.col("kind") >= 0)
-    best = seeds.groupBy("pattern").agg(F.max_by("kind", F.struct("count", -F.col("kind"))).alias("kind"), F.max("count").alias("support")).where(F.col("support") >= SUPPORT)
-    best = keep(best, "pii-support")
-    edges = keep(edges.withColumnRenamed("kind", "own").join(best, "pattern"), "pii-edges")
-    # by kind: a seed of the pattern's kind is trusted, one of another kind or a refused string is not
-    fixed = F.when(F.col("own") == F.col("kind"), F.lit(1.0)).when(F.col("own") != -1, F.lit(0.0))
-    scores = edges.select("pattern", "instance", F.coalesce(fixed, F.lit(0.0)).alias("trust"))
-    written, patterns = None, None
-    for step in range(rounds):
-        # a pattern: the smoothed mean trust of its instances
-        new = keep(scores.groupBy("pattern").agg((F.sum("trust") / (F.count(F.lit(1)) + F.lit(SMOOTH))).alias("confidence")), "pii-patterns")
-        moved = None if patterns is None else new.join(patterns.withColumnRenamed("confidence", "was"), "pattern").agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0]
-        if patterns is not None:
-            release(patterns)
+    seeds = once.where(F.col("own") >= 0).groupBy("pattern", "own").count()
+    best = seeds.groupBy("pattern").agg(F.max_by("own", F.struct("count", -F.col("own"))).alias("kind"), F.max("count").alias("support")).where(F.col("support") >= SUPPORT)
+    sizes = once.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
+    best = keep(best.join(sizes, "pattern").withColumn("known", F.col("support").cast("double")), "pii-support")
+    open_ = edges.where((F.col("own") == -1) & (F.col("may") > 0)).join(best.select("pattern", "kind"), "pattern").where(F.getbit("may", F.col("kind")) == 1)
+    several = open_.groupBy("instance", "kind").agg(F.min("context").alias("low"), F.max("context").alias("high")).where("low < high").select("instance", "kind")
+    return best, keep(open_.join(several, ["instance", "kind"], "left_semi").select("pattern", "kind", "instance", "context"), "pii-edges")
+
+
+def trusted_patterns(scanned: DataFrame) -> DataFrame:
+    """pattern, kind, support and confidence of the patterns that discover identifiers; written."""
+    best, edges = pattern_edges(scanned)
+    share = lambda known: known / (F.col("instances") + F.lit(SMOOTH))
+    patterns = keep(best.withColumn("confidence", share(F.col("known"))), "pii-patterns")
+    while not edges.isEmpty():
+        # a context's vote is that of its best pattern; a string's trust in a context comes from its other contexts
+        votes = edges.join(patterns.select("pattern", "confidence"), "pattern").groupBy("instance", "kind", "context").agg(F.log1p(-F.least(F.max("confidence"), F.lit(0.999))).alias("doubt"))
+        whole = votes.groupBy("instance", "kind").agg(F.sum("doubt").alias("all_"))
+        trust = votes.join(whole, ["instance", "kind"]).select("instance", "kind", "context", (1 - F.exp(F.col("all_") - F.col("doubt"))).alias("trust"))
+        added = edges.join(trust, ["instance", "kind", "context"]).groupBy("pattern", "instance").agg(F.max("trust").alias("trust")).groupBy("pattern").agg(F.sum("trust").alias("more"))
+        new = keep(patterns.join(added, "pattern", "left").select("pattern", "kind", "support", "instances", "known", F.col("confidence").alias("was"), F.greatest("confidence", share(F.col("known") + F.coalesce("more", F.lit(0.0)))).alias("confidence")), "pii-patterns")
+        moved = new.agg(F.max(F.col("confidence") - F.col("was"))).first()[0]
+        release(patterns)
         patterns = new
-        if step == rounds - 1 or moved is not None and moved < STILL:
+        if moved is None or moved < STILL:
             break
-        # an instance: that at least one of its patterns is right
-        carried = edges.join(patterns, "pattern")
-        instances = carried.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("found"))
-        scores = keep(edges.join(instances, ["instance", "kind"]).select("pattern", "instance", F.coalesce(fixed, F.col("found")).alias("trust")), "pii-scores")
-        if written is not None:
-            release(written)
-        written = scores
-    trusted = keep(best.join(patterns, "pattern").where(F.col("confidence") >= CONFIDENT), "pii-trusted")
-    release(*(x for x in (edges, best, patterns, written) if x is not None))
+    trusted = keep(patterns.where(F.col("confidence") >= CONFIDENT).select("pattern", "kind", "support", "confidence"), "pii-trusted")
+    release(best, edges, patterns)
     return trusted
 
 
@@ -207,9 +237,9 @@ def discovered(scanned: DataFrame) -> DataFrame:
 
     The kind of a string is that of its most confident trusted pattern.
     """
-    asked = scanned.select("doc_id", "text_hash", F.explode("edges").alias("x")).where((F.col("x.kind") == -1) | (F.col("x.kind") == SECRET_KIND))
-    flat = asked.select("doc_id", "text_hash", "x.s", "x.e", F.explode("x.patterns").alias("pattern"))
-    named = flat.join(trusted_patterns(scanned), "pattern")
+    asked = scanned.select("doc_id", "text_hash", F.explode("edges").alias("x")).where((F.col("x.kind") == -1) & (F.col("x.may") > 0) | (F.col("x.kind") == SECRET_KIND))
+    flat = asked.select("doc_id", "text_hash", "x.s", "x.e", F.when(F.col("x.kind") == SECRET_KIND, 1 << SECRET_KIND).otherwise(F.col("x.may")).alias("may"), F.explode("x.patterns").alias("pattern"))
+    named = flat.join(trusted_patterns(scanned), "pattern").where(F.getbit("may", F.col("kind")) == 1)
     span = named.groupBy("doc_id", "text_hash", "s", "e").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("k"))
     return span.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "k", "e")).alias("added"))
 
@@ -221,14 +251,14 @@ def spelled(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, spans, n_spans (all of them) and n_added of every row."""
+    """doc_id, counts of base spans by kind, base_sha256, spans, secret_spans, n_spans (all of them) and n_added of every row; ``spans`` has the four kinds of the fixed patterns."""
     scanned = scan(docs)
     added = discovered(scanned).withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"})
     both = scanned.drop("edges").join(added, scanned["doc_id"].eqNullSafe(added["id_"]) & (scanned["text_hash"] == added["hash_"]), "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     count = lambda n: F.size(F.filter("spans", lambda x: x["k"] == n)).cast("long")
     more = F.coalesce("added", none)
-    found = both.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(KINDS[:BASE_KINDS])), F.sha2(spelled(F.col("spans")), 256).alias("base_sha256"), spelled(F.concat("spans", more)).alias("all_"), (F.size("spans") + F.size(more)).cast("long").alias("n_spans"), F.size(more).cast("long").alias("n_added"))
+    found = both.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(KINDS[:BASE_KINDS])), F.sha2(spelled(F.col("spans")), 256).alias("base_sha256"), spelled(F.filter(F.concat("spans", more), lambda x: x["k"] < BASE_KINDS)).alias("all_"), spelled(F.filter(more, lambda x: x["k"] >= BASE_KINDS)).alias("secret_spans"), (F.size("spans") + F.size(more)).cast("long").alias("n_spans"), F.size(more).cast("long").alias("n_added"))
     return found.withColumnRenamed("all_", "spans")
 
 

@@ -454,10 +454,74 @@ def test_discovered_secrets(spark):
     seeds = [(i, f'here is token = "{hashlib.sha1(str(i).encode()).hexdigest()}" for you') for i in range(8)]
     rows = spark.createDataFrame([*seeds, (100, 'here is token = "ab12cd34ef56ab12" for you'), (101, "commit ab12cd34ef56ab12 is fine")], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find(rows).collect()}
-    assert got[0].spans == "secret:17:57" and got[100].spans == "secret:17:33" and got[101].n_added == 0
+    assert got[0].secret_spans == "secret:17:57" and got[100].secret_spans == "secret:17:33" and got[101].n_added == 0
+    assert got[0].spans == got[100].spans == ""  # the contract's kinds alone
     assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest() and got[0].n_spans == 1
 
 
+@pytest.mark.parametrize("unseen", [30, 60])
+def test_ordinary_numbers_beside_a_few_phones_are_left_alone(spark, unseen):
+    """Five phones and many order numbers after the same words: nothing vouches for the numbers but their own pattern."""
+    rows = [(k, f"see the order ref +1 (234) 567-89{k:02d} for it") for k in range(5)]
+    rows += [(100 + k, f"see the order ref {4_000_000_000 + 7919 * k} for it") for k in range(unseen)]
+    rows += [(300 + k, f"see the order ref {40_000_000 + 7919 * k} for it") for k in range(unseen)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_added for r in got) == 0 and sum(r.n_phone for r in got) == 5
+
+
+def planted_identifiers(ratio):
+    """Seeds of each kind and ``ratio`` unseen ones in another form in contexts of their kind, among distractors in others and in the same ones."""
+    rng = np.random.default_rng(ratio)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card(mark):
+        while not pii.luhn(x := "4" + digits(15)):
+            pass
+        return mark.join(x[k : k + 4] for k in range(0, 16, 4))
+
+    quad = lambda mark: mark.join(str(x) for x in rng.integers(1, 255, 4))
+    kinds = {
+        "email": (("mail me at", "or else", "write to box"), lambda: f"u{digits(5)}@example.org", lambda: f"u{digits(5)}@mailhost"),
+        "ip": (("logged in from", "at night", "host at address"), lambda: quad("."), lambda: quad("-")),
+        "card": (("paid by card", "in full", "the card number"), lambda: card(" "), lambda: card(".")),
+        "phone": (("call us on", "any time", "ring this phone"), lambda: f"+1 234 {digits(3)} {digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"),
+    }
+    rows, truth = [], set()
+    for kind, ((before, after, other), seed, unseen) in kinds.items():
+        for frame in (f"{before} {{}} {after}", f"{other} {{}} please"):
+            for _ in range(12):
+                rows.append(frame.format(seed()))
+            for _ in range(12 * ratio):
+                truth.add((len(rows), kind))
+                rows.append(frame.format(unseen()))
+            rows.append(frame.format("9" * 7))  # can't be of the kind
+    for k in range(200):
+        rows.append(f"item {digits(10)} was sent on day {k}; key {digits(6)}ab{digits(6)} and {quad('-')} and u{digits(4)}@somewhere in list {k}")
+    return list(enumerate(rows)), truth
+
+
+@pytest.mark.parametrize("ratio", [1, 3])
+def test_planted_identifiers_are_discovered(spark, ratio):
+    rows, truth = planted_identifiers(ratio)
+    found = set()
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        counts = Counter(x.split(":")[0] for x in r.spans.split(",") if x)
+        found |= {(r.doc_id, k) for k, n in counts.items() if n > {"email": r.n_email, "ip": r.n_ip, "card": r.n_card, "phone": r.n_phone}[k]}
+    right = len(found & truth)
+    assert right / len(found) >= 0.95 and right / len(truth) >= 0.95, (right, len(found), len(truth))
+
+
+def test_a_second_context_is_evidence(spark):
+    """Strings that known patterns hold elsewhere raise a pattern that seeds alone don't carry."""
+    phone = lambda k: f"(555) 010-{k:04d}"
+    rows = [(k, f"call us on +1 (234) 567-89{k:02d} any time") for k in range(20)] + [(100 + k, f"call us on {phone(k)} any time") for k in range(40)]
+    rows += [(200 + k, f"ask for desk +1 (234) 567-77{k:02d} over there") for k in range(5)] + [(300 + k, f"ask for desk {phone(k)} over there") for k in range(40)]
+    extra = [(400, f"ask for desk {phone(900)} over there")]
+    find = lambda r: {x.doc_id: x.n_added for x in pii.find(spark.createDataFrame(r, "doc_id long, text string")).collect()}
+    assert find(rows + extra)[400] == 1
+    assert find(rows[60:] + extra)[400] == 0
+
+
 def test_many_numbers_in_a_text_take_linear_time():
     import time
 
