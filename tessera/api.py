@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from .operators import bm25, changes, fusion, history, parsers, security, stats, vectors
+from .operators import bm25, changes, fusion, history, parsers, security, sketches, stats, vectors
 from .operators.embedding import EmbeddingMemo
 from .operators.keyword_index import KeywordIndex
 from .operators.store import Projects, Store, chunk_id, matching, metadata_search, stored_rows
@@ -242,8 +242,9 @@ class Engine:
         if not index.ready():
             index.build(rows)
         elif not folder.exists(f"indexed-{now}"):
-            held = index.read().select("chunk_id", F.xxhash64("embedding", "file_hash", "start_line").alias("h"))
-            new = rows.join(held.withColumn("h", F.col("h")), [rows["chunk_id"] == held["chunk_id"], F.xxhash64(rows["embedding"], rows["file_hash"], rows["start_line"]) == held["h"]], "left_anti")
+            digest = F.xxhash64("embedding", "file_path", "file_hash", "start_line").alias("digest_")
+            held = index.read().select("chunk_id", digest)
+            new = rows.select("*", digest).join(held, ["chunk_id", "digest_"], "left_anti")
             gone = held.join(rows, "chunk_id", "left_anti").select("chunk_id")
             if not gone.isEmpty():
                 index.delete(gone)
@@ -257,6 +258,29 @@ class Engine:
         rows = self.chunks.read()
         return history.state_summary(rows.select("project_id", "file_path", F.sha2("content", 256).alias("digest")), "digest")
 
+    def system_status(self) -> dict:
+        """Version, chunks, projects, vector cells and probes, and statistics of the cache and the embedding memo."""
+        rows = self.chunks.read()
+        index = VectorIndex(self.spark, f"{self.path}/vectors", "chunk_id")
+        uses = self.memo.uses.read()
+        facts = {"version": self.chunks.version(), "chunks": sum((self.chunks.manifest() or {"rows": {}})["rows"].values()), "projects": 0 if rows is None else rows.select("project_id").distinct().count(), "rejects": sum((self.rejects.manifest() or {"rows": {}})["rows"].values()), "cache": self.cache.stats()}
+        facts["vectors"] = {"cells": len(index.meta["centroids"]), "probes": index.meta["probes"], "batches": len(index.batches())} if index.ready() else None
+        facts["memo"] = None if uses is None else uses.agg(F.count(F.lit(1)).alias("uses"), F.sum("asked").alias("asked"), F.sum("hits").alias("hits"), F.sum("evicted").alias("evicted")).first().asDict()
+        return facts
+
+    def store_statistics(self, most: int = 1000) -> dict[str, DataFrame]:
+        """Languages, layers and sensitivities with bounds, from a sample of each project, and about how many files and contents."""
+        rows = self.chunks.read()
+        found = {c: sketches.sampled_counts(rows, "project_id", c, "chunk_id", most) for c in ("language", "layer_type", "sensitivity_level") if c in rows.columns}
+        counted = sketches.distinct_sketches(rows.withColumn("contents", F.sha2("content", 256)), ["project_id"], ["file_path", "contents"])
+        return found | {"distinct": sketches.distinct_counts(counted, ["project_id"], ["file_path", "contents"])}
+
+    def errors(self, **filters) -> DataFrame:
+        """Report on rejected chunks: their errors by kind; an empty store has none."""
+        held = self.rejects.read()
+        rows = self.spark.createDataFrame([], "error string, project_id string") if held is None else held
+        return rows.where(matching(filters)).groupBy("project_id", "error").agg(F.count(F.lit(1)).alias("n"))
+
     def export(self, rows: DataFrame, path: str, *columns: str) -> None:
         """Write rows as JSON lines, as logs and metrics are exported."""
         history.json_lines(rows, *(columns or rows.columns)).write.mode("overwrite").text(path)

@@ -250,6 +250,14 @@ def detected_layer(path: Column, framework: Column, class_name: Column | None =
     return F.struct(layer.alias("layer"), indicator.alias("indicator"))
 
 
+def detection(path: Column, imports: Column, class_name: Column | None = None, bases: Column | None = None, function_name: Column | None = None, decorators: Column | None = None) -> Column:
+    """Struct of framework (by imports, else unknown), layer, and all indicators that speak for them."""
+    framework = F.coalesce(framework_from_imports(imports), F.lit("unknown"))
+    found = detected_layer(path, framework, class_name, bases, function_name, decorators)
+    said = F.array(F.when(framework != "unknown", F.concat(F.lit("imports suggest "), framework)), F.when(found["indicator"].isNotNull(), F.concat(found["indicator"], F.lit(" pattern suggests "), found["layer"])))
+    return F.struct(framework.alias("framework"), found["layer"].alias("layer"), F.array_compact(said).alias("indicators"))
+
+
 def language_of(path: Column) -> Column:
     """Language by suffix."""
     low = F.lower(path)

@@ -6,6 +6,8 @@ the thresholds must be as they are for results to agree.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,36 @@ ALWAYS_HIGH, CAN_BE_HIGH = ("private_key", "database_url", "secret_key"), ("api_
 CLOUDS = ("aws", "azure", "gcp")
 
 
+#: Masks of settings in files of any language: (name, pattern, what is put), applied in this order (fixed values; blanks and quotes end a value).
+SETTINGS_RULES = (
+    ("passwords", r"""(?i)(password|pwd|pass)\s*[=:]\s*["']?([^"'\s]+)""", "[MASKED_PASSWORD]"),
+    ("api_keys", r"""(?i)(api_key|apikey|key)\s*[=:]\s*["']?([A-Za-z0-9]{20,})""", "[MASKED_API_KEY]"),
+    ("tokens", r"""(?i)(token|access_token)\s*[=:]\s*["']?([A-Za-z0-9_-]{20,})""", "[MASKED_TOKEN]"),
+    ("urls_with_auth", r"""(https?://)[^:\s/]+:[^@\s/]+@([^\s"']+)""", "$1[MASKED_CREDENTIALS]@$2"),
+)
+#: Words that speak for a sensitivity, and its threshold (fixed values).
+SETTINGS_LEVELS = (
+    ("HIGH", 0.8, ("password", "secret_key", "private_key", "credential", "database_url")),
+    ("MEDIUM", 0.5, ("config", "setting", "property", "environment")),
+    ("LOW", 0.2, ("public", "constant", "util", "helper")),
+)
+
+
+def mask_settings(text: Column) -> Column:
+    """Settings of any language masked by SETTINGS_RULES."""
+    for _, pattern, put in SETTINGS_RULES:
+        text = F.regexp_replace(text, pattern, put)
+    return text
+
+
+def settings_level(text: Column) -> Column:
+    """The highest sensitivity that a word of a text speaks for; LOW without one."""
+    low, out = F.lower(text), F.lit("LOW")
+    for level, _, words in reversed(SETTINGS_LEVELS):
+        out = F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), level).otherwise(out)
+    return out
+
+
 def patterns_for(framework: str | None = None, env: bool = False) -> tuple:
     """All patterns but env's; or common, cloud and one framework's; or env's."""
     if env:

@@ -158,6 +158,39 @@ def python_chunks(path: str, text: str, least: int = 10) -> list[tuple]:
     return out or lines_of(path, text, "python")
 
 
+def python_symbols(path: str, text: str) -> list[tuple]:
+    """file_path, kind (import, function, class, variable), name, owner, line, detail of a module's top level: functions without methods, classes with their annotated variables and methods' signatures."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out, functions = [], (ast.FunctionDef, ast.AsyncFunctionDef)
+    signature = lambda f: ", ".join(arguments_of(f.args)) + (f" -> {dotted(f.returns)}" if f.returns else "")
+    for node in tree.body:
+        if isinstance(node, ast.Import):
+            out += [(path, "import", a.name, None, node.lineno, a.asname) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            out += [(path, "import", a.name, "." * node.level + (node.module or ""), node.lineno, a.asname) for a in node.names]
+        elif isinstance(node, functions):
+            out.append((path, "function", node.name, None, node.lineno, signature(node)))
+        elif isinstance(node, ast.ClassDef):
+            out.append((path, "class", node.name, None, node.lineno, ", ".join(map(dotted, node.bases))))
+            out += [(path, "variable", m.target.id, node.name, m.lineno, dotted(m.annotation)) for m in node.body if isinstance(m, ast.AnnAssign) and isinstance(m.target, ast.Name)]
+            out += [(path, "method", m.name, node.name, m.lineno, signature(m)) for m in node.body if isinstance(m, functions)]
+    return out
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """:func:`python_symbols` of ``files`` (path, text)."""
+    names = ["file_path", "kind", "name", "owner", "line", "detail"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame((s for p, t in zip(batch["path"], batch["text"]) for s in python_symbols(p, t or "")), columns=names)
+
+    return files.select("path", "text").mapInPandas(run, "file_path string, kind string, name string, owner string, line int, detail string")
+
+
 def python_by_indent(path: str, text: str) -> list[tuple]:
     """Blocks of broken Python by indentation: classes, their methods, and functions outside of these."""
     lines, out, owners = text.split("\n"), [], []
@@ -216,7 +249,7 @@ def python_pieces(path: str, text: str, least: int = LEAST, most: int = MOST) ->
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        return lines_of(path, text, "python", least, most, 0)
+        return line_parts(path, text, least, most)
     lines, out = text.split("\n"), []
     size = lambda a, b: len("\n".join(lines[a - 1 : b])) // 4
     add = lambda a, b, kind, f=None, c=None: out.append(row(path, "python", a, b, "\n".join(lines[a - 1 : b]), f, c, type=kind))
@@ -271,14 +304,44 @@ def python_pieces(path: str, text: str, least: int = LEAST, most: int = MOST) ->
                 function(m, node.name)
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             function(node, None)
-    merged: list[tuple] = []
-    for c in out:
-        last = merged[-1] if merged else None
-        if last and last[9]["type"].split(":")[-1] == c[9]["type"] and last[7] < least and last[7] + c[7] <= most:
-            merged[-1] = row(path, "python", last[2], c[3], f"{last[8]}\n\n{c[8]}", last[4], last[5], type=f"merged:{c[9]['type']}")
+    return merged_pieces(path, out, least, most) or line_parts(path, text, least, most)
+
+
+def merged_pieces(path: str, pieces: list[tuple], least: int, most: int) -> list[tuple]:
+    """Neighbours of one type joined by an empty line while they fit into ``most``; a run under ``least`` that another type ends stays apart."""
+    out: list[tuple] = []
+    run: list[tuple] = []
+
+    def end(whole: bool) -> None:
+        if len(run) > 1 and whole:
+            first = run[0]
+            out.append(row(path, "python", first[2], run[-1][3], "\n\n".join(c[8] for c in run), first[4], first[5], type="merged", merged=len(run)))
         else:
-            merged.append(c)
-    return merged or lines_of(path, text, "python", least, most, 0)
+            out.extend(run)
+        run.clear()
+
+    for c in pieces:
+        if run and run[0][9]["type"] != c[9]["type"]:
+            end(sum(x[7] for x in run) >= least)
+        elif run and (sum(len(x[8]) + 2 for x in run) + len(c[8])) // 4 > most:
+            end(True)
+        run.append(c)
+    end(True)
+    return out
+
+
+def line_parts(path: str, text: str, least: int = LEAST, most: int = MOST) -> list[tuple]:
+    """Parts that end with the line that fills them, without overlap; a last part under ``least`` is left out."""
+    out, held, size, start = [], [], 0, 1
+    lines = text.split("\n")
+    for n, line in enumerate(lines, 1):
+        held.append(line)
+        size += len(line) // 4
+        if size >= most or n == len(lines):
+            if size >= least:
+                out.append(row(path, "python", start, n, "\n".join(held), type="fallback"))
+            held, size, start = [], 0, n + 1
+    return out
 
 
 # ---- Java -------------------------------------------------------------------

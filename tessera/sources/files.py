@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layers import IGNORED_FOLDERS, IGNORED_SUFFIXES, ignored, language_of
-from .git import contents
+from ..operators.store import Store
+from .git import contents, register
+from .shared import Folder
 
 #: Suffixes that are read by default.
 SUFFIXES = (".java", ".kt", ".html", ".htm", ".xml", ".yaml", ".yml", ".properties", ".py", ".pyw")
@@ -52,6 +54,31 @@ def committed(repo: str, changed: DataFrame, project: str | None = None) -> Data
     return _named(contents(repo, changed), None, project)
 
 
+def blob_hash(content: Column) -> Column:
+    """The name that git gives a file with this content."""
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "UTF-8"), F.unhex(F.lit("00")), content))
+
+
+def tracked(spark: SparkSession, repo: str) -> DataFrame:
+    """file_path, head_hash (of the last commit) and file_hash of git's tracked files as they lie in the working tree; null where one is missing."""
+    register(spark)
+    head = spark.read.format("git_files").option("path", repo).load().withColumnRenamed("file_hash", "head_hash")
+    here = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(repo)
+    own = here.select(F.regexp_replace("path", "^[a-z0-9]+:/*" + "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in repo.strip("/")) + "/", "").alias("file_path"), blob_hash(F.col("content")).alias("file_hash"))
+    return head.join(own.where(~F.col("file_path").startswith(".git/")), "file_path", "left")
+
+
+def import_states(spark: SparkSession, path: str, store: Store) -> int:
+    """Bring JSON state files of a folder into a store (key state_id) and rename them with .backup; the number of states. A file that fails stays as it is."""
+    folder, total = Folder(spark, path), 0
+    for name in [n for n in folder.names("*.json")]:
+        rows = legacy_states(spark, f"{path}/{name}").withColumn("state_id", F.concat_ws("|", "project_id", "file_path"))
+        total += rows.count()
+        store.upsert(rows)
+        folder.rename(name, f"{name}.backup")
+    return total
+
+
 def legacy_states(spark: SparkSession, path: str) -> DataFrame:
     """project_id, file_path, file_hash from JSON state files, one object each with a map of hashes."""
     raw = spark.read.schema("project_id string, last_commit_hash string, file_hashes map<string,string>").json(path, multiLine=True)

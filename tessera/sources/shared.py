@@ -59,6 +59,11 @@ class Folder:
         stream.close()
         return True
 
+    def rename(self, name: str, to: str) -> None:
+        """Rename an entry."""
+        if not self.fs.rename(self._of(name), self._of(to)):
+            raise OSError(f"{name} can't be renamed to {to}")
+
     def delete(self, name: str) -> None:
         """Remove a file or a folder."""
         self.fs.delete(self._of(name), True)
