@@ -96,9 +96,9 @@ def written_symbols(spark, d):
 
 
 def written_pieces(spark, d):
-    """Semantic pieces of the written classes: characters, lines and the largest piece against the bound."""
+    """Semantic pieces of the written classes: the methods in them, and the largest piece against the bound."""
     found = parsers.parse(spread(written("python")(spark, d)), parsers.python_pieces)
-    return found.where("metadata.type IN ('method', 'merged')").groupBy("file_path").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines"), F.coalesce(F.max("token_count") <= parsers.MOST, F.lit(True)).alias("bounded"))
+    return found.where("metadata.type IN ('method', 'merged')").groupBy("file_path").agg(F.sum(F.regexp_count("content", F.lit(r"def line_[0-9]+\("))).alias("methods"), F.coalesce(F.max("token_count") <= parsers.MOST, F.lit(True)).alias("bounded"))
 
 
 def page_forms(spark, d):
@@ -127,7 +127,7 @@ QUERIES = {
     "written_metrics": (written_metrics, f"WITH {LINES} SELECT doc_id || '.py' AS path, (1 + len(ls))::DOUBLE AS cyclomatic, len(ls)::DOUBLE AS cognitive, least(len(ls), 1)::DOUBLE AS nesting, len(ls)::DOUBLE AS functions, 0.0::DOUBLE AS hinted_returns, 0.0::DOUBLE AS hinted_parameters FROM l"),
     "written_symbols": (written_symbols, f"WITH {LINES} SELECT doc_id || '.py' AS file_path, 'class' AS kind, 'D' || doc_id AS name, NULL::VARCHAR AS owner, 1::INT AS line, '' AS detail FROM l UNION ALL SELECT doc_id || '.py', 'method', 'line_' || k, 'D' || doc_id, 2 + 4 * k, 'self:Any, a:Any' FROM m"),
     "written_pieces": (written_pieces, f"""WITH {LINES}, c AS (SELECT doc_id, k, length('    def line_' || k || '(self, a):') + length(x) + 53 AS chars, sum(length('    def line_' || k || '(self, a):') + length(x) + 54) OVER (PARTITION BY doc_id) + length('class D' || doc_id || ':') AS whole FROM m)
- SELECT doc_id || '.py' AS file_path, (4 * count(*))::BIGINT AS lines, true AS bounded FROM c WHERE whole // 4 > 500 AND chars // 4 BETWEEN 50 AND 500 GROUP BY doc_id"""),
+ SELECT doc_id || '.py' AS file_path, count(*) AS methods, true AS bounded FROM c WHERE whole // 4 > 500 AND chars // 4 BETWEEN 50 AND 500 GROUP BY doc_id"""),
     "page_forms": (page_forms, f"WITH {FORMS} SELECT page_id || '.html' AS file_path, 2 + 3 * k AS start_line, 4 + 3 * k AS end_line, 'form_' || k AS function_name, '/' || h AS action, h || ':text::True' AS fields FROM g"),
     "html_links": (html_links, "SELECT page_id, len(regexp_extract_all(html, '<a href=\"'))::BIGINT AS links, len(regexp_extract_all(html, '<table'))::BIGINT AS tables, len(regexp_extract_all(html, '<form'))::BIGINT AS forms FROM pages"),
     "html_chunks": (lambda s, d: parsers.parse(templates(s, d)).groupBy("file_path").agg(F.count(F.lit(1)).alias("chunks")), None),
