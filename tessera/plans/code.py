@@ -96,9 +96,9 @@ def written_symbols(spark, d):
 
 
 def written_pieces(spark, d):
-    """Semantic pieces of the written classes: the methods in them, and the largest piece against the bound."""
+    """Semantic pieces of the written classes: the whole methods in them, and the largest piece against the bound. Merged parts of methods that were too large hold no whole method."""
     found = parsers.parse(spread(written("python")(spark, d)), parsers.python_pieces)
-    return found.where("metadata.type IN ('method', 'merged')").groupBy("file_path").agg(F.sum(F.regexp_count("content", F.lit(r"def line_[0-9]+\("))).alias("methods"), F.coalesce(F.max("token_count") <= parsers.MOST, F.lit(True)).alias("bounded"))
+    return found.where("coalesce(metadata.of, metadata.type) = 'method'").groupBy("file_path").agg(F.sum(F.regexp_count("content", F.lit(r"def line_[0-9]+\("))).alias("methods"), F.coalesce(F.max("token_count") <= parsers.MOST, F.lit(True)).alias("bounded"))
 
 
 def page_forms(spark, d):
