@@ -5,11 +5,17 @@ window is a merge of buckets, and buckets of later rows merge with stored ones,
 so dashboards never go back to the rows. Distinct values are counted by
 sketches that merge over versions or projects. Samples are drawn by stratum
 with bounds of their error.
+
+Where percentiles must be exact, the state is the count of every value of a
+bucket, which merges too. A window first finds, from the counts of bins of
+values (BINS for each doubling), the bin of each percentile's rank, and then
+ranks the values of that bin only.
 """
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +25,8 @@ K, RANK_ERROR = 1000, 0.0028
 #: Registers of a distinct sketch (2 ** LG), and its relative standard error.
 LG = 12
 DISTINCT_ERROR = 1.04 / math.sqrt(1 << LG)
+#: Bins of values for each doubling, in exact windows; more than BINS times the largest exponent.
+BINS, BEYOND = 16, 20_000
 
 
 def buckets(rows: DataFrame, groups: list[str], ts: str, value: str, failed: Column, seconds: int = 60) -> DataFrame:
@@ -49,6 +57,55 @@ def windows(held: DataFrame, groups: list[str], seconds: int, every: int = 60, s
     return found.select(*groups, "at", "n", "failed", F.round(F.col("failed") / F.col("n"), 6).alias("error_rate"), F.round(F.col("total").cast("double") / F.col("n"), 6).alias("avg"), "low", "high", *points)
 
 
+def value_counts(rows: DataFrame, groups: list[str], ts: str, value: str, failed: Column, seconds: int = 60) -> DataFrame:
+    """groups, bucket (start in seconds), value, n, failed: the exact state, one row for each different value of a bucket."""
+    start = (F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)) * seconds).alias("bucket")
+    v = F.col(value).cast("double")
+    return rows.where(F.col(ts).isNotNull() & v.isNotNull()).groupBy(*groups, start, v.alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failed"))
+
+
+def merged_counts(held: DataFrame | None, new: DataFrame, groups: list[str]) -> DataFrame:
+    """Stored counts of values with those of further rows."""
+    return new if held is None else held.unionByName(new).groupBy(*groups, "bucket", "value").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"))
+
+
+def _bin(v: Column) -> Column:
+    """A number that grows with the value."""
+    size = F.floor(F.log2(F.abs(v)) * BINS) + BEYOND
+    return F.when(F.isnan(v) | (v == float("inf")), F.lit(2 * BEYOND)).when(v == float("-inf"), F.lit(-2 * BEYOND)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("int")
+
+
+def exact_windows(held: DataFrame, groups: list[str], seconds: int, every: int = 60, shares: dict[str, float] | None = None) -> DataFrame:
+    """groups, at, n, failed, error_rate, total, low, high and exact nearest-rank percentiles of the trailing windows that hold a bucket, from :func:`value_counts`.
+
+    What is dealt to all windows of a bucket are the counts of its bins, whose number
+    doesn't grow with the rows, and the values of the bins that hold a percentile.
+    """
+    shares = shares or {"p95": 0.95, "p99": 0.99}
+    held = held.withColumn("bin", _bin(F.col("value")))
+    ends = F.explode(F.sequence(F.col("bucket") + every, F.col("bucket") + seconds, F.lit(every).cast("long"))).alias("at")
+    sums = [F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")]
+    bins = held.withColumns({"total": F.col("value") * F.col("n"), "low": F.col("value"), "high": F.col("value")}).groupBy(*groups, "bucket", "bin").agg(*sums)
+    bins = bins.select("*", ends).groupBy(*groups, "at", "bin").agg(*sums)
+    window = Window.partitionBy(*groups, "at")
+    # counts of a window's bins are few, so the whole window is one frame
+    placed = bins.withColumns({"to": F.sum("n").over(window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all_": F.sum("n").over(window)})
+    nth = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.col("all_") * F.lit(Decimal(str(p)))).cast("long").alias("nth")) for name, p in shares.items()])).alias("x")
+    asked = placed.select(*groups, "at", "bin", "to", "n", nth).where((F.col("x.nth") <= F.col("to")) & (F.col("x.nth") > F.col("to") - F.col("n")))
+    starts = F.explode(F.sequence(F.col("at") - seconds, F.col("at") - every, F.lit(every).cast("long"))).alias("bucket_")
+    asked = asked.select(*[F.col(g).alias(f"{g}_") for g in groups], "at", F.col("bin").alias("bin_"), F.col("x.name").alias("name"), (F.col("x.nth") - F.col("to") + F.col("n")).alias("nth"), starts)
+    same = (F.col("bucket") == F.col("bucket_")) & (F.col("bin") == F.col("bin_"))
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}_"))
+    values = held.join(asked, same).groupBy(*groups, "at", "name", "nth", "value").agg(F.sum("n").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(*groups, "at", "name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    points = values.withColumn("to", up_to).where(F.col("to") >= F.col("nth")).groupBy(*groups, "at", "name").agg(F.min("value").alias("value"))
+    # of each window one side has the sums and the other the percentiles
+    both = bins.unionByName(points, allowMissingColumns=True)
+    found = both.groupBy(*groups, "at").agg(*sums, *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in shares])
+    return found.select(*groups, "at", "n", "failed", F.round(F.col("failed") / F.col("n"), 6).alias("error_rate"), "total", "low", "high", *shares)
+
+
 def summary(held: DataFrame, groups: list[str], shares: dict[str, float]) -> DataFrame:
     """groups, n and percentiles over all buckets."""
     return _merged(held, *groups).select(*groups, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in shares.items()])
