@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..sources.shared import Folder, read_parts
-from .vectors import MOST_RESULTS, cosine, dot
+from .vectors import MOST_RESULTS, block_pairs, cosine, dot
 
 #: Rows that centroids are fitted and probes calibrated on; cells at most; vectors of the sample that are searched to calibrate.
 SAMPLE, MOST_CELLS, TRIALS = 20_000, 4096, 64
@@ -39,6 +39,8 @@ SAMPLE, MOST_CELLS, TRIALS = 20_000, 4096, 64
 RECALL, TRIAL_K = 0.97, 10
 #: Cells that the exact way reads for its first threshold, and rows up to which it reads all at once.
 FIRST, DIRECT = 4, 1 << 16
+#: Share of all pairs that may meet by bands.
+DENSE = 1 / 32
 
 
 def fit_centroids(unit: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
@@ -227,20 +229,24 @@ class VectorIndex:
         return sum(n for c, n in rows if cells is None or c in cells) / max(1, sum(n for _, n in rows))
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.7, recall: float = 0.99, bits: int = 12, block: str | None = None, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float = 0.7, recall: float = 0.99, bits: int = 12, block: str | None = None, id_column: str = "vec_id", vector: str = "embedding", folder: str | None = None) -> DataFrame:
     """a, b, a_copies, b_copies, score of different vectors whose cosine reaches ``least``, a < b, found by random hyperplanes and checked exactly.
 
     Equal vectors (of a block) are one, under their smallest id, with the number
     of their copies; ids must be unique. A band is ``bits`` signs; there are as
     many bands as find a pair at ``least`` with probability ``recall`` (nearer
     pairs are surer). Only vectors that share a band meet. ``block`` limits
-    pairs to rows of equal value.
+    pairs to rows of equal value. Where so many bands are needed that more than
+    DENSE of all pairs would meet, bands spare nothing: with a shared ``folder``
+    all pairs are then compared in matrices, and none is missed.
     """
     agree = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
     bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
     v = F.col(vector)
     rows = vectors.where(F.col(id_column).isNotNull() & (dot(v, v) > 0)).select(F.col(id_column).alias("id"), v.alias("v"), (F.col(block).cast("string") if block else F.lit("")).alias("block"))
     copies = rows.groupBy("block", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    if folder and bands / 2**bits > DENSE:
+        return block_pairs(copies, least, folder)
 
     def signs(batches):
         import pyarrow as pa

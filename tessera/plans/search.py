@@ -160,7 +160,7 @@ def knn_recall(spark, d):
 
 
 def similar_banded(spark, d):
-    return vector_index.similar_pairs(docs(spark, d, "embeddings"), 0.5, recall=0.9999, bits=8)
+    return vector_index.similar_pairs(docs(spark, d, "embeddings"), 0.5, recall=0.9999, bits=8, folder=stored.folder(spark))
 
 
 def hybrid_payload(spark, d):
