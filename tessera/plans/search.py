@@ -96,7 +96,7 @@ def knn_min_similarity(spark, d):
 
 
 def similar_pairs(spark, d):
-    return vectors.similar_within(docs(spark, d, "embeddings"), "label", 0.25)
+    return vectors.similar_within(docs(spark, d, "embeddings"), "label", 0.25, folder=stored.folder(spark))
 
 
 def asked_vector(spark: SparkSession, d: str) -> list[float] | None:
