@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, sanitized, token_estimate
 from ..operators import bm25, fusion, store, vector_index, vectors
-from ..sources.shared import spread
+from ..sources.shared import spread, spread_few
 from . import stored
 
 QUERY = "the onthe and tionStation the"
@@ -68,7 +68,8 @@ def bm25_topk(spark, d):
 
 
 def bm25_multi_query(spark, d):
-    return bm25.search_many(tokens(spark, d), docs(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
+    rows = bm25.tokenized(spread_few(docs(spark, d).select("doc_id", "text"), "doc_id"))
+    return bm25.search_many(rows, docs(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
 
 
 def multi_query_merge(spark, d):
