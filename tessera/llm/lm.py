@@ -154,7 +154,10 @@ class Model:
         self.levels = len(self.branch_bias)
         self.hashes = np.fromiter(map(hash_of, words), dtype=np.uint64, count=len(words))
         self.bits = max(BITS, int(np.ceil(np.log2(ROWS * np.sqrt(max(1, types))))))
-        self.weights = np.zeros((1 << self.bits, WIDTH), dtype=np.float32)
+        self.weights = lined_up(np.zeros((1 << self.bits, WIDTH), dtype=np.float32))
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, weights=lined_up(state["weights"]))
 
     def listed(self) -> tuple[pa.Array, int]:
         """The words, to be looked up in, and the rank of the end token (-1 if it isn't one)."""
@@ -169,7 +172,7 @@ class Model:
     def rows(self, h: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Rows of the weights for each feature at some nodes (numbers that differ between all softmaxes)."""
         x = (h + (nodes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xC4CEB9FE1A85EC53)
-        return (x >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.uint32)  # 16 bits sort by radix
+        return (x >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.uint32)
 
     def softmax(self, h: np.ndarray, nodes: np.ndarray, bias: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows, exp of the sums of weights and bias, their totals, and the log-probabilities of the entries ``own``."""
@@ -206,18 +209,26 @@ class Model:
         return factors, logs
 
     def log_probs(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
-        out = np.empty(len(m), dtype=np.float64)
+        order, at, times = distinct(m, m1, m2, m if leaf is None else leaf)
+        m, m1, m2, leaf = np.take(m, at), np.take(m1, at), np.take(m2, at), None if leaf is None else np.take(leaf, at)
+        found = np.empty(len(m), dtype=np.float64)
         for s in range(0, len(m), 4096):  # what fits the caches
             e = s + 4096
-            out[s:e] = self.forward(m[s:e], m1[s:e], m2[s:e], None if leaf is None else leaf[s:e])[1]
+            found[s:e] = self.forward(m[s:e], m1[s:e], m2[s:e], None if leaf is None else leaf[s:e])[1]
+        out = np.empty(len(order), dtype=np.float64)
+        out[order] = np.repeat(found, times)
         return out
 
     def step(self, m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray, seen: np.ndarray) -> None:
         """One adaptive gradient step; ``seen`` has the sum of squared gradients of each row."""
         w, whole = self.weights, self.weights.view(ROW).ravel()
-        for rows, p, total, own in self.forward(m, m1, m2, leaf)[0]:
-            p *= (1 / total)[:, None]
-            p[np.arange(len(own)), own] -= 1
+        _, at, times = distinct(m, m1, m2, leaf)
+        m, m1, m2, leaf, times = np.take(m, at), np.take(m1, at), np.take(m2, at), np.take(leaf, at), times.astype(np.float32)
+        deep = np.take(times, np.flatnonzero(m == self.size))
+        for k, (rows, p, total, own) in enumerate(self.forward(m, m1, m2, leaf)[0]):
+            many = times if k < len(self.place_bias) else deep
+            p *= (many / total)[:, None]
+            p.ravel()[np.arange(0, p.size, WIDTH) + own] -= many
             for r in rows:
                 at, g = summed(r, p)
                 power = np.einsum("ij,ij->i", g, g)
@@ -228,37 +239,71 @@ class Model:
                 g *= (STEP / np.sqrt(power))[:, None]
                 new = np.take(w, at, axis=0)
                 new -= g
-                whole[at] = new.view(ROW).ravel()  # whole rows are copied much faster than rows of numbers
+                np.put(whole, at, new.view(ROW).ravel())  # whole rows are copied much faster than rows of numbers
 
 
 #: A row of the weights as one value.
 ROW = np.dtype((np.void, 4 * WIDTH))
 
 
-def by_row(r: np.ndarray) -> np.ndarray:
-    """A stable order of row numbers; numbers of 16 bits sort by radix, longer ones in two such passes."""
-    if r.dtype == np.uint16:
-        return np.argsort(r, kind="stable")
-    order = np.argsort(r.astype(np.uint16), kind="stable")
-    return order[np.argsort((r >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
+def lined_up(x: np.ndarray) -> np.ndarray:
+    """A copy that begins at a cache line; a row of weights fills one, so it lies in one and not across two."""
+    raw = np.empty(x.nbytes + 64, dtype=np.uint8)
+    start = -raw.ctypes.data % 64
+    out = raw[start : start + x.nbytes].view(x.dtype).reshape(x.shape)
+    out[:] = x
+    return out
+
+
+def distinct(m: np.ndarray, m1: np.ndarray, m2: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in an order that puts equal ones side by side, the first of each different one, and how often it occurs."""
+    bits = max(1, len(m) - 1).bit_length()
+    key = (m.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (m1.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (m2.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)) ^ (leaf.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    key ^= key >> np.uint64(31)
+    key *= np.uint64(0x9FB21C651E98DF25)
+    key >>= np.uint64(bits)
+    key <<= np.uint64(bits)
+    key |= np.arange(len(m), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    key >>= np.uint64(bits)
+    new = np.ones(len(m), dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    again = np.flatnonzero(~new)
+    one, other = np.take(order, again - 1), np.take(order, again)
+    for x in (m, m1, m2, leaf):  # different ones whose keys are equal stay apart
+        new[again] |= np.take(x, one) != np.take(x, other)
+    first = np.flatnonzero(new)
+    return order, np.take(order, first), np.diff(first, append=len(m))
+
+
+def by_row(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in order, and their stable order; number and place are sorted as one value, which is faster than a sort of places."""
+    shift = max(1, len(r) - 1).bit_length()
+    wide = np.uint32 if int(r.max(initial=0)).bit_length() + shift <= 32 else np.uint64
+    key = r.astype(wide)
+    key <<= wide(shift)
+    key |= np.arange(len(r), dtype=wide)
+    key.sort()
+    order = (key & wide((1 << shift) - 1)).astype(np.int64)
+    key >>= wide(shift)
+    return key.astype(np.int64), order
 
 
 def summed(r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different row numbers of ``r``, and the sum of the rows of ``p`` for each."""
-    order = by_row(r)
-    ordered = r[order]
-    new = np.empty(len(r), dtype=bool)
-    new[:1] = True
-    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-    first = np.flatnonzero(new)
-    size = np.diff(first, append=len(r))
-    g = np.take(p, order[first], axis=0)
-    many = np.flatnonzero(size > 1)
-    if len(many):  # most numbers occur once: only the others are added up
-        rest = np.take(p, order[np.repeat(size > 1, size)], axis=0)
+    ordered, order = by_row(r)
+    new = np.ones(len(r) + 1, dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:-1])
+    first = np.flatnonzero(new[:-1])
+    g = np.take(p, np.take(order, first), axis=0)
+    alone = new[:-1] & new[1:]
+    rest = np.flatnonzero(~alone)
+    if len(rest):  # most numbers occur once: only the others are added up
+        many = np.flatnonzero(~np.take(alone, first))
         # two neighbouring numbers are added as one complex number, which takes half the time
-        g[many] = np.add.reduceat(rest.view(np.complex64), np.cumsum(size[many]) - size[many], axis=0).view(np.float32)
-    return ordered[first], g
+        g[many] = np.add.reduceat(np.take(p, np.take(order, rest), axis=0).view(np.complex64), np.flatnonzero(np.take(new, rest)), axis=0).view(np.float32)
+    return np.take(ordered, first), g
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -285,7 +330,7 @@ def places(model: Model, listed: tuple[pa.Array, int], texts: pa.Array) -> tuple
     found = pc.fill_null(pc.index_in(flat, value_set=listed[0]), -1).to_numpy(zero_copy_only=False)
     rank[inner] = found
     missing = np.flatnonzero(found < 0)
-    unlisted = [w.encode() for w in flat.take(pa.array(missing)).to_pylist()]
+    unlisted = flat.take(pa.array(missing)).cast(pa.binary()).to_pylist()
     m = np.minimum(rank.view(np.uint64), np.uint64(model.size)).view(np.int64)  # -1 is the largest number without sign
     hashes = np.take(model.hashes, rank, mode="clip") if len(model.hashes) else np.zeros(len(rank), dtype=np.uint64)
     if listed[1] < 0:
@@ -317,7 +362,7 @@ def train_round(training: DataFrame, model: Model, phase: int) -> None:
             texts = batch.column(0)
             if len(texts) and own is None:
                 own = object.__new__(Model)
-                own.__dict__.update(shared.value.__dict__, weights=shared.value.weights.copy())
+                own.__dict__.update(shared.value.__dict__, weights=lined_up(shared.value.weights))
                 seen, listed = np.zeros(len(own.weights), dtype=np.float32), own.listed()
             for at, end in slices(texts):
                 _, _, _, _, *m = places(own, listed, texts.slice(at, end - at))

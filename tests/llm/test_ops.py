@@ -1,6 +1,7 @@
 """Small tests of the training-data operators: brute force, round trips, and hard input."""
 
 import hashlib
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -380,6 +381,29 @@ def test_language_model_step_against_brute_force():
     assert np.abs(before - model.weights).max() < 1e-3
 
 
+def test_language_model_computes_equal_positions_once(monkeypatch):
+    """Copies of a position in a step and in scores; sums by row, also of numbers beyond 19 bits."""
+    words = [f"w{i}".encode() for i in range(40)]
+    model = pickle.loads(pickle.dumps(lm.Model(words, np.arange(80, 40, -1), 3000, 60, np.full(16, 20.0))))
+    assert model.weights.ctypes.data % 64 == 0
+    rng = np.random.default_rng(6)
+    model.weights += rng.normal(0, 0.3, model.weights.shape).astype(np.float32)
+    few = [rng.integers(0, 41, 20), *(rng.integers(0, 1 << 60, 20).astype(np.uint64) for _ in range(2)), rng.integers(0, 16, 20)]
+    pick = rng.integers(0, 20, 500)
+    sizes, forward = [], lm.Model.forward
+    monkeypatch.setattr(lm.Model, "forward", lambda self, m, *rest: sizes.append(len(m)) or forward(self, m, *rest))
+    single = np.array([model.log_probs(*(x[i : i + 1] for x in few))[0] for i in range(20)])
+    sizes.clear()
+    assert model.log_probs(*(x[pick] for x in few)) == pytest.approx(single[pick], rel=1e-5)
+    model.step(*(x[pick] for x in few), np.zeros(len(model.weights), dtype=np.float32))
+    assert sizes == [len(set(pick.tolist()))] * 2
+    for top in (1 << 16, 1 << 30):
+        r, p = rng.integers(top - 50, top, 300).astype(np.uint16 if top == 1 << 16 else np.uint32), rng.normal(size=(300, lm.WIDTH)).astype(np.float32)
+        at, g = lm.summed(r, p)
+        assert at.tolist() == sorted(set(r.tolist()))
+        assert np.abs(g - [p[r == x].sum(0) for x in at]).max() < 1e-5
+
+
 def test_language_model_is_a_distribution_and_takes_hard_input(spark, hard):
     model = lm.Model([b"a", b"b", lm.END], np.array([5, 3, 2]), 12, 5)
     p = np.exp([model.log_probs(np.array([m]), np.array([0]), np.array([1]))[0] for m in range(model.size + 1)])
