@@ -6,11 +6,12 @@ machines first tell language families apart (one against the rest), then the
 languages of the winning family one against one; the language with most wins
 is predicted, ties going to the larger sum of margins.
 
-The machines are fitted on the driver from a bounded, documented sample of the
+The machines are fitted by tasks from a bounded, documented sample of the
 labelled rows: LANGUAGE_ROWS of each language, fewer where SAMPLE_ROWS in all
 would be passed, but at least one; those of least hash of id and text, so the
 choice is the same at any partitioning. Every language of a labelled row with a
-letter is learned. What reaches the driver are sparse counts of DIM cells.
+letter is learned. What reaches the driver are the weights, DIM numbers for each
+machine; the sample doesn't.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter,
 or when no language could be learned; every input row gives one row; an empty
@@ -31,6 +32,8 @@ from .base import fold_of, map_batches, tune
 
 DIM = 1 << 13
 SAMPLE_ROWS, LANGUAGE_ROWS = 6000, 600
+#: Bundles of machines that are fitted beside each other; each gets its rows of the sample once.
+FITTERS = 16
 #: Characters that are counted at a time.
 SLICE = 1 << 20
 #: Families of language codes (fixed values); another code is a family of its own.
@@ -103,21 +106,29 @@ def fit_svm(x: np.ndarray, sign: np.ndarray, rounds: int = 120, weight: float =
 class Model:
     """The learned hierarchy; small enough to go to every worker (DIM numbers for each pair within a family)."""
 
-    def __init__(self, langs: list[str], x: np.ndarray, y: list[str]):
+    def __init__(self, langs: list[str]):
         self.langs = sorted(langs)
         known = {c: name for name, codes in FAMILIES.items() for c in codes.split()}
         self.family = {c: known.get(c.replace("_", "-").split("-")[0].lower(), c) for c in self.langs}
         self.families = sorted(set(self.family.values()))
-        y = np.array(y)
-        of = np.array([self.family[c] for c in y]) if len(y) else y
-        self.family_w = np.array([fit_svm(x, np.where(of == f, 1, -1).astype(np.float32)) for f in self.families], dtype=np.float32) if len(self.families) > 1 else None
-        self.pairs: dict[str, list[tuple[str, str]]] = {}
+        self.pairs = {f: list(combinations([c for c in self.langs if self.family[c] == f], 2)) for f in self.families}
+        self.family_w: np.ndarray | None = None
         self.pair_w: dict[str, np.ndarray] = {}
+
+    def machines(self) -> list[dict[str, int]]:
+        """The languages that each machine tells apart and their side, 1 or -1: the families', then each family's pairs."""
+        rest = [{c: 1 if self.family[c] == f else -1 for c in self.langs} for f in self.families] if len(self.families) > 1 else []
+        return rest + [{a: 1, b: -1} for f in self.families for a, b in self.pairs[f]]
+
+    def fitted(self, weights: list[np.ndarray]) -> Model:
+        """This model with the weights of its machines, in their order."""
+        at = len(self.families) if len(self.families) > 1 else 0
+        self.family_w = np.array(weights[:at]) if at else None
         for f in self.families:
-            self.pairs[f] = list(combinations([c for c in self.langs if self.family[c] == f], 2))
-            rows = [np.isin(y, p) for p in self.pairs[f]]
-            if rows:
-                self.pair_w[f] = np.array([fit_svm(x[m], np.where(y[m] == p[0], 1, -1).astype(np.float32)) for p, m in zip(self.pairs[f], rows)])
+            if n := len(self.pairs[f]):
+                self.pair_w[f] = np.array(weights[at : at + n])
+                at += n
+        return self
 
     def predict(self, vector: np.ndarray) -> tuple[str, float]:
         """Language and a score from 0 to 1."""
@@ -142,6 +153,34 @@ class Model:
         return best, score * sure(against)
 
 
+def fit_machines(sample: DataFrame, machines: list[dict[str, int]]) -> list[np.ndarray]:
+    """The weights of each machine from the rows (lang, draw, cells) of its languages; a task fits a bundle of machines, and only weights reach the driver."""
+    if not machines:
+        return []
+    deals = sorted({(c, k % FITTERS) for k, sides in enumerate(machines) for c in sides})
+    dealt = sample.join(F.broadcast(sample.sparkSession.createDataFrame(deals, "lang string, bundle int")), "lang")
+
+    def fit(group: pa.Table) -> pa.Table:
+        # in any partitioning the same order, and so the same sums
+        rows = sorted(zip(*(group[c].to_pylist() for c in ("lang", "draw", "cells"))))
+        x = np.zeros((len(rows), DIM), dtype=np.float32)
+        for row, (_, _, packed) in zip(x, rows):
+            cells = np.frombuffer(packed, dtype="<u4")
+            full = np.zeros(DIM, dtype=np.int64)
+            full[cells[: len(cells) // 2]] = cells[len(cells) // 2 :]
+            row[:] = vector_of(full)
+        numbers = range(group["bundle"][0].as_py(), len(machines), FITTERS)
+        found = []
+        for k in numbers:
+            sign = np.array([machines[k].get(lang, 0) for lang, _, _ in rows], dtype=np.float32)
+            mine = sign != 0
+            found.append((fit_svm(x, sign) if mine.all() else fit_svm(x[mine], sign[mine])).tobytes())
+        return pa.table({"machine": pa.array(numbers, type=pa.int32()), "weights": pa.array(found, type=pa.binary())})
+
+    fits = dealt.groupBy("bundle").applyInArrow(fit, "machine int, weights binary").collect()
+    return [np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(fits, key=lambda r: r["machine"])]
+
+
 def learn(docs: DataFrame, folds: int = 5) -> Model:
     """The model of the rows with a lang, a letter, and fold other than 0."""
     spark = docs.sparkSession
@@ -150,7 +189,7 @@ def learn(docs: DataFrame, folds: int = 5) -> Model:
     rows = rows.where(F.col("lang").isNotNull() & (F.col("fold") != 0) & F.col("text").rlike(r"\p{L}")).drop("fold")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("draw").alias("least")).collect()
     if not counts:
-        return Model([], np.zeros((0, DIM), dtype=np.float32), [])
+        return Model([])
     most = max(1, min(LANGUAGE_ROWS, SAMPLE_ROWS // len(counts)))
     # rows that surely hold the `most` of least hash: about three times as many, and the very least; then exactly these
     shares = spark.createDataFrame([(r["lang"], r["least"], float(min(1.0, (3 * most + 50) / r["rows"]))) for r in counts], "lang string, least long, share double")
@@ -166,15 +205,9 @@ def learn(docs: DataFrame, folds: int = 5) -> Model:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, type=pa.binary())], names=["lang", "draw", "cells"])
 
     order = Window.partitionBy("lang").orderBy("draw", "cells")
-    taken = map_batches(chosen, work, "lang string, draw long, cells binary").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth").collect()
-    taken.sort(key=lambda r: (r["lang"], r["draw"], bytes(r["cells"])))  # in any partitioning the same sums
-    x = np.zeros((len(taken), DIM), dtype=np.float32)
-    for row, r in zip(x, taken):
-        cells = np.frombuffer(r["cells"], dtype="<u4")
-        full = np.zeros(DIM, dtype=np.int64)
-        full[cells[: len(cells) // 2]] = cells[len(cells) // 2 :]
-        row[:] = vector_of(full)
-    return Model(sorted({r["lang"] for r in taken}), x, [r["lang"] for r in taken])
+    taken = map_batches(chosen, work, "lang string, draw long, cells binary").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
+    model = Model([r["lang"] for r in counts])
+    return model.fitted(fit_machines(taken, model.machines()))
 
 
 def add_language(docs: DataFrame, model: Model, lang: str, score: str) -> DataFrame:

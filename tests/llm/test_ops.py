@@ -3,6 +3,7 @@
 import hashlib
 import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -474,6 +475,26 @@ def test_every_language_is_learned_and_any_partitioning_learns_alike(spark):
     assert np.array_equal(one.family_w, many.family_w)
 
 
+def test_language_sample_stays_out_of_the_driver(spark):
+    """The driver's Python holds weights only; these are as if all machines were fitted at one place."""
+    made = {"en": "the house and the garden", "nl": "het huis en de tuin", "de": "das haus und der garten", "fr": "la maison et le jardin"}
+    rows = [(i, f"{made[c]} {'abcdefgh'[i % 8]}{'klmnopq'[i % 7]}", c) for i, c in enumerate(sorted(made) * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = language.learn(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10e6
+    learned = [(text, lang) for i, text, lang in rows if zlib.crc32(str(i).encode()) % 5]  # fewer than a sample
+    x, y = np.array([language.vector_of(language.counts_of(text)) for text, _ in learned]), np.array([lang for _, lang in learned])
+    assert model.families == ["germanic", "romance"] and model.pairs["germanic"] == [("de", "en"), ("de", "nl"), ("en", "nl")] and not model.pairs["romance"]
+    alone = language.fit_svm(x, np.where(y == "fr", -1, 1).astype(np.float32))
+    assert np.allclose(model.family_w, [alone, -alone], atol=1e-4)
+    for (a, b), w in zip(model.pairs["germanic"], model.pair_w["germanic"]):
+        m = np.isin(y, [a, b])
+        assert np.allclose(w, language.fit_svm(x[m], np.where(y[m] == a, 1, -1).astype(np.float32)), atol=1e-4)
+
+
 def test_discovered_secrets(spark):
     seeds = [(i, f'here is token = "{hashlib.sha1(str(i).encode()).hexdigest()}" for you') for i in range(8)]
     rows = spark.createDataFrame([*seeds, (100, 'here is token = "ab12cd34ef56ab12" for you'), (101, "commit ab12cd34ef56ab12 is fine")], "doc_id long, text string")
